@@ -1,0 +1,153 @@
+"""Percentiles of large numeric columns with a stated rank error, from summaries that can be combined.
+
+A summary holds tuples (value, lowest rank, highest rank) of some of a group's values. A new summary of
+sorted values is exact. Merging two adds up the rank intervals; compressing to `size` tuples keeps those
+nearest to evenly spaced ranks. Each summary carries half the widest rank interval between neighbours,
+which bounds the rank error of every answer from it; nothing about it is random.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SIZE = 4096
+#: Values a task buffers, over all groups, before it summarises them.
+BUFFER = 500_000
+FAN_IN = 16
+SUMMARY = "n bigint, v array<bigint>, lo array<bigint>, hi array<bigint>"
+
+
+class Summary:
+    """n values, known by tuples: v sorted, lo and hi the bounds of each one's rank (from 1)."""
+
+    __slots__ = ("n", "v", "lo", "hi")
+
+    def __init__(self, n: int, v: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.n, self.v, self.lo, self.hi = int(n), v, lo, hi
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Summary:
+        v = np.sort(np.asarray(values, np.int64))
+        r = np.arange(1, len(v) + 1, dtype=np.int64)
+        return cls(len(v), v, r, r.copy())
+
+    def merge(self, other: Summary) -> Summary:
+        """Ranks of a value of one side: its own plus the other side's bounds around it."""
+        if not self.n or not other.n:
+            return other if not self.n else self
+
+        def against(a: Summary, b: Summary, side: str) -> tuple[np.ndarray, np.ndarray]:
+            i = np.searchsorted(b.v, a.v, side)  # b's tuples before a's value
+            lo = a.lo + np.where(i > 0, b.lo[np.maximum(i - 1, 0)], 0)
+            hi = a.hi + np.where(i < len(b.v), b.hi[np.minimum(i, len(b.v) - 1)] - 1, b.n)
+            return lo, hi
+
+        (l1, h1), (l2, h2) = against(self, other, "left"), against(other, self, "right")
+        v = np.concatenate([self.v, other.v])
+        order = np.argsort(v, kind="stable")
+        return Summary(self.n + other.n, v[order], np.concatenate([l1, l2])[order], np.concatenate([h1, h2])[order])
+
+    def compress(self, size: int) -> Summary:
+        """At most size + 1 tuples; the first and last stay."""
+        if len(self.v) <= size + 1:
+            return self
+        at = np.unique([self._nearest(r) for r in np.linspace(1, self.n, size + 1)])
+        return Summary(self.n, self.v[at], self.lo[at], self.hi[at])
+
+    def _nearest(self, rank: float) -> int:
+        """The tuple whose rank interval strays least from a rank."""
+        i = int(np.searchsorted(self.lo, rank))
+        near = range(max(0, i - 2), min(len(self.v), i + 3))
+        return min(near, key=lambda k: (max(rank - self.lo[k], self.hi[k] - rank), k))
+
+    def quantile(self, q: float) -> tuple[int, int]:
+        """The value of rank ceil(q n), and the most by which its true rank may differ."""
+        rank = max(1, int(np.ceil(round(q * self.n, 9))))
+        k = self._nearest(rank)
+        return int(self.v[k]), int(max(rank - self.lo[k], self.hi[k] - rank, 0))
+
+    def row(self) -> dict:
+        return {"n": self.n, "v": self.v, "lo": self.lo, "hi": self.hi}
+
+
+def _merged(summaries: list[Summary], size: int) -> Summary:
+    """Pairwise, so that the number of compressions a value goes through is logarithmic."""
+    while len(summaries) > 1:
+        summaries = [summaries[i].merge(summaries[i + 1]).compress(size) if i + 1 < len(summaries) else summaries[i] for i in range(0, len(summaries), 2)]
+    return summaries[0]
+
+
+def _read(pdf: pd.DataFrame) -> list[Summary]:
+    return [Summary(r.n, *(np.asarray(x, np.int64) for x in (r.v, r.lo, r.hi))) for r in pdf.itertuples()]
+
+
+def summaries(df: DataFrame, keys: Sequence[str], value: str, size: int = SIZE) -> DataFrame:
+    """One summary for each key tuple: (keys..., n, v, lo, hi).
+
+    Null values are left out, null keys are a group. Each task summarises what it reads before anything
+    is shuffled, so a hot group costs one small row a task.
+    """
+    keys = list(keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Summary] = {}
+        buffer: list[pd.DataFrame] = []
+
+        def flush() -> None:
+            if buffer:
+                for k, g in pd.concat(buffer).groupby(keys, dropna=False, sort=False):
+                    k = tuple(None if pd.isna(x) else x for x in k)
+                    new = Summary.of(g["__value"].to_numpy())
+                    held[k] = (held[k].merge(new) if k in held else new).compress(size)
+                buffer.clear()
+
+        for pdf in batches:
+            buffer.append(pdf)
+            if sum(map(len, buffer)) >= BUFFER:
+                flush()
+        flush()
+        if held:
+            out = pd.DataFrame([dict(zip(keys, k, strict=True)) | s.row() for k, s in held.items()])
+            yield out.assign(__task=TaskContext.get().partitionId())
+
+    rows = df.select(*keys, F.col(value).cast("bigint").alias("__value")).where("__value is not null")
+    parts = rows.mapInPandas(local, f"{schema}, {SUMMARY}, __task int")
+    return combine(combine(parts.withColumn("__task", F.floor(F.col("__task") / FAN_IN)), [*keys, "__task"], size), keys, size)
+
+
+def combine(parts: DataFrame, keys: Sequence[str], size: int = SIZE) -> DataFrame:
+    """Summaries of parts put together by key, of days or partitions as well as of tasks."""
+    keys = list(keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*keys).schema)
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        key = tuple(None if pd.isna(x) else x for x in key)
+        return pd.DataFrame([dict(zip(keys, key, strict=True)) | _merged(_read(pdf), size).row()])
+
+    return parts.select(*keys, "n", "v", "lo", "hi").groupBy(*keys).applyInPandas(merge, f"{schema}, {SUMMARY}")
+
+
+def combine_tree(parts: DataFrame, keys: Sequence[str], part: str, size: int = SIZE) -> DataFrame:
+    """As combine(), by way of groups of FAN_IN parts: no task takes more summaries of one key than that at first."""
+    fan = F.pmod(F.xxhash64(part), F.lit(FAN_IN)).alias("__fan")
+    return combine(combine(parts.select(*keys, fan, "n", "v", "lo", "hi"), [*keys, "__fan"], size), keys, size)
+
+
+def percentiles(parts: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """Answers from summaries: (keys..., n, p<q>..., rank_error), the last the largest bound of the answers given."""
+    keys, names = list(keys), [f"p{q * 100:g}".replace(".", "_") for q in qs]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*keys).schema)
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [[s.quantile(q) for q in qs] for s in _read(pdf)]
+            yield pdf[[*keys, "n"]].assign(**{m: [g[i][0] for g in got] for i, m in enumerate(names)}, rank_error=[max(x[1] for x in g) for g in got])
+
+    return parts.mapInPandas(answer, f"{schema}, n bigint, " + ", ".join(f"{m} bigint" for m in names) + ", rank_error bigint")
