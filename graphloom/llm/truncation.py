@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.session import checkpoint
+
 #: A length is a spike if its texts are at least so many, such a share of the source, and so many times as many as at the lengths around it.
 SPIKE_ROWS, SPIKE_SHARE, SPIKE_TIMES, AROUND = 4, 0.004, 10, 50
 #: A form of ending is known from such a share of all texts, and two at least.
@@ -21,7 +23,9 @@ FORM_SHARE, FORM_ROWS = 0.0005, 2
 
 _MARK = r"(?:\s*(?:…|\.{3,}|\[[^\[\]\n]{0,24}\]|\((?:more|continued|cont\.|cut|truncated|abridged|snip)[^()\n]{0,20}\)|<(?:more|cut|truncated|snip)>))+\s*$"
 _LIST = r"^\s*(?:[-*+•]|\d+[.)])\s+\S"
-_PAIR = r"^\s*[\p{L}\p{N}][^:\n]{0,40}:\s+\S[^\n]{0,60}$"
+_BLANK = " \t\r\n\f\v\u00a0\u200b"
+#: Characters at a text's end among which marks and sentence ends are looked for.
+TAIL = 120
 
 
 @dataclass(frozen=True)
@@ -35,8 +39,12 @@ class Endings:
 def length_spikes(df: DataFrame, text: str, source: str) -> DataFrame:
     """Spikes of the length histograms: (source, unit, length, n, n_source). Null texts have no length; a null source is one source."""
     t = F.col(text)
-    each = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.char_length(t).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(t).alias("length"))))
-    counts = df.where(t.isNotNull()).select(F.col(source).alias("source"), each.alias("l")).select("source", "l.*").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
+    return _spikes(df.select(F.col(source).alias("source"), F.char_length(t).alias("chars"), F.octet_length(t).alias("bytes")))
+
+
+def _spikes(seen: DataFrame) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")]))
+    counts = seen.where("chars is not null").select("source", each.alias("l")).select("source", "l.*").groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-AROUND, AROUND)
     whole = Window.partitionBy("source", "unit")
     rated = counts.withColumns({"near": (F.sum("n").over(near) - F.col("n")) / (2 * AROUND), "n_source": F.sum("n").over(whole)})
@@ -64,40 +72,45 @@ def endings(df: DataFrame, key: str, text: str, source: str) -> Endings:
     histograms, for the learned forms, and for the judgement, and never shuffled.
     """
     spark = df.sparkSession
-    spikes = length_spikes(df, text, source)
+    t = F.col(text)
+    # of the whole text; only its last TAIL characters can be a mark, however the text is long
+    mark = F.char_length(F.regexp_extract(F.substring(t, -TAIL, TAIL), _MARK, 0))
+    base = df.select(F.col(key).alias("key"), F.col(source).alias("source"), t.alias("t"), F.char_length(t).alias("chars"), F.octet_length(t).alias("bytes"), mark.alias("mark"))
+    base = base.withColumn("end", F.rtrim(F.substring("t", F.lit(1), F.col("chars") - F.col("mark")), F.lit(_BLANK)))
+    fences = F.when(F.instr("t", "```") > 0, F.regexp_count("end", F.lit(r"(?m)^[ \t>]*```"))).otherwise(0)
+    blank = F.col("t").isNull() | (F.trim(F.col("t"), F.lit(_BLANK)) == "")
+    seen = checkpoint(base.select("key", "source", "chars", "bytes", F.substring_index("end", "\n", -1).alias("last"), (fences % 2 == 1).alias("in_code"), (F.col("mark") > 0).alias("marked"), blank.alias("blank")))
+    spikes = checkpoint(_spikes(seen))
     lengths = [(r.source, r.unit, r.length) for r in spikes.collect()]  # at most 1 / SPIKE_SHARE of a source and unit
     limits = spark.createDataFrame(lengths, "source string, unit string, length int")
-    t = F.col(text)
-    base = df.select(F.col(key).alias("key"), F.col(source).alias("source"), t.alias("t"), F.regexp_replace(F.regexp_replace(t, _MARK, ""), r"\s+$", "").alias("end"), F.char_length(t).alias("chars"), F.octet_length(t).alias("bytes"))
+    judged = seen
     for unit in ("chars", "bytes"):
-        at = F.broadcast(limits.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("length").alias(unit), F.lit(True).alias(f"at_{unit}")))
-        base = base.join(at, F.col("source").eqNullSafe(F.col("s")) & (base[unit] == at[unit]), "left").drop(at[unit]).drop("s")
-    spiked = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-    fences = F.regexp_count("end", F.lit(r"(?m)^[ \t>]*```"))
-    last = F.regexp_extract("end", r"([^\n]*)\z", 1)
-    judged = base.select("key", "source", "t", "end", spiked.alias("at_spike"), last.alias("last"), (fences % 2 == 1).alias("in_code"), F.col("t").rlike(_MARK).alias("marked"))
+        at = F.broadcast(limits.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("length").alias("l"), F.lit(True).alias(f"at_{unit}")))
+        judged = judged.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col(unit) == F.col("l")), "left").drop("s", "l")
+    judged = judged.withColumn("at_spike", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
+    texts = df.where(t.isNotNull()).select(t.alias("t"))
     n = judged.count()
 
     stop = r"""[.!?]["'”’»)\]]*$"""
-    plain = ~F.col("at_spike") & ~F.col("marked") & ~F.col("in_code") & (F.col("last") != "") & ~F.col("last").rlike(stop)
-    inner = judged.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?m)^([ \t]*(?:[-*+•]|\d+[.)])[ \t]+[^\n]*)\n"), F.lit(1))).alias("last"))
+    near = F.substring(F.col("last"), -TAIL, TAIL)
+    plain = ~F.col("at_spike") & ~F.col("marked") & ~F.col("in_code") & (F.col("last") != "") & (F.char_length("last") <= 60) & ~near.rlike(stop)
+    inner = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?m)^([ \t]*(?:[-*+•]|\d+[.)])[ \t]+[^\n]*)\n"), F.lit(1))).alias("last"))
     finals = judged.where(plain).select("last")
     finals = finals.where(~F.col("last").rlike(_LIST))
-    forms = inner.where(~F.col("last").rlike(stop)).select(_form(F.col("last")).alias("form")).unionByName(finals.where((F.char_length("last") <= 60)).select(_form(F.col("last")).alias("form")))
+    forms = inner.where(~near.rlike(stop)).select(_form(F.col("last")).alias("form")).unionByName(finals.select(_form(F.col("last")).alias("form")))
     complete = _complete(forms, n * FORM_SHARE)
     numbered = r"(\p{L}+ \p{L}+) \p{N}+\."
-    contexts = judged.select(F.explode(F.regexp_extract_all("t", F.lit(numbered + r"(?=\s+[\p{Lu}¿¡\"#`-]|\n)"), F.lit(1))).alias("form"))
+    contexts = texts.select(F.explode(F.regexp_extract_all("t", F.lit(numbered + r"(?=\s+[\p{Lu}¿¡\"#`-]|\n)"), F.lit(1))).alias("form"))
     counted = _complete(contexts, n * FORM_SHARE / 5)
 
-    ended = judged.withColumns({"form": _form(F.col("last")), "context": F.regexp_extract("last", numbered + "$", 1)})
+    ended = judged.withColumns({"form": _form(F.col("last")), "context": F.regexp_extract(near, numbered + "$", 1)})
     ended = ended.join(F.broadcast(complete.withColumn("known", F.lit(True))), "form", "left").join(F.broadcast(counted.select(F.col("form").alias("context"), F.lit(True).alias("counted"))), "context", "left")
     known = F.coalesce("known", F.lit(False))
-    sentence = F.col("last").rlike(stop) & ~F.col("last").rlike(r"^\s*\p{N}+[.)]$") & ((F.col("context") == "") | F.coalesce("counted", F.lit(False)))
+    sentence = near.rlike(stop) & ~F.col("last").rlike(r"^\s*\p{N}+[.)]$") & ((F.col("context") == "") | F.coalesce("counted", F.lit(False)))
     entry = F.col("last").rlike(_LIST) & known
     fence = F.col("last").rlike(r"^[ \t>]*```[ \t]*$")
     proper = ~F.col("in_code") & (fence | sentence | entry | known)
-    blank = F.col("t").isNull() | ~F.col("t").rlike(r"\S")
-    return Endings(ended.select(F.col("key").alias(key), "source", (~blank & ~proper).alias("cut"), "at_spike", "last"), spikes)
+    return Endings(ended.select(F.col("key").alias(key), "source", (~F.col("blank") & ~proper).alias("cut"), "at_spike", "last"), spikes)
 
 
 def per_source(found: Endings) -> DataFrame:
