@@ -36,7 +36,8 @@ class Value:
         return replace(self, col=col)
 
 
-def null(kind: str = "str") -> Value:
+def null(kind: str = "void") -> Value:
+    """An unbound value; of no kind of its own it takes that of what it meets."""
     types = {"int": "bigint", "dec": DEC, "dbl": "double", "bool": "boolean", "dt": "timestamp_ntz", "date": "date", "term": TERM}
     return Value(kind, F.lit(None).cast(types.get(kind, "string")))
 
@@ -87,6 +88,8 @@ def text(v: Value) -> Column:
 def term(v: Value) -> Value:
     if v.kind == "term":
         return v
+    if v.kind == "void":
+        return null("term")
     if v.kind in ("iri", "key"):
         return Value("term", struct(1, text(v)), maybe=v.maybe)
     return Value("term", struct(3, text(v), DATATYPE[v.kind]), maybe=v.maybe)
@@ -94,6 +97,8 @@ def term(v: Value) -> Value:
 
 def unify(a: Value, b: Value) -> tuple[Value, Value]:
     """Both in one form, in which equal terms are equal columns."""
+    if "void" in (a.kind, b.kind) and a.kind != b.kind:
+        return (Value(b.kind, null(b.kind).col, b.prefix), b) if a.kind == "void" else (a, Value(a.kind, null(a.kind).col, a.prefix))
     if a.kind == b.kind and a.kind != "key":
         return a, b
     if {a.kind, b.kind} <= {"iri", "key"}:
