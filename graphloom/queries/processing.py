@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import drift, features, hierarchy, intervals, quantiles, references
-from graphloom.session import table
+from graphloom.session import checkpoint, table
 
 QS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -85,7 +85,7 @@ def _model_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_features(spark: SparkSession, d: str) -> DataFrame:
-    return features.wide_features(_model_features(spark, d), "execution_id")
+    return features.wide_features(checkpoint(_model_features(spark, d)), "execution_id")
 
 
 def p4_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +110,6 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p5_partitions(spark: SparkSession, d: str) -> DataFrame:
     """Each partition's own percentiles, and with a null partition_no those of all, made of the same summaries."""
     keys = ["scenarioid", "engine"]
-    from graphloom.session import checkpoint
-
     parts = checkpoint(quantiles.summaries(_durations(spark, d), [*keys, "partition_no"], "durationnanoseconds"))
     own = quantiles.percentiles(parts, [*keys, "partition_no"], QS)
     together = quantiles.percentiles(quantiles.combine_tree(parts, keys, "partition_no"), keys, QS)
