@@ -1,0 +1,42 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from graphloom.operators import quantiles
+from graphloom.operators.quantiles import Summary
+
+QS = (0.01, 0.25, 0.5, 0.9, 0.99, 1.0)
+
+
+def ranks(values, v):
+    s = np.sort(values)
+    return int(np.searchsorted(s, v, "left")) + 1, int(np.searchsorted(s, v, "right"))
+
+
+@pytest.mark.parametrize("shape", ["random", "ties", "sorted"])
+def test_bounds_hold_after_many_merges(shape):
+    r = random.Random(1)
+    values = np.array([r.randrange(10) if shape == "ties" else r.randrange(10**9) if shape == "random" else i for i in range(20_000)])
+    parts = [Summary.of(values[i : i + 700]).compress(64) for i in range(0, len(values), 700)]
+    whole = quantiles._merged(parts, 64)
+    assert whole.n == len(values) and len(whole.v) <= 65
+    for q in QS:
+        v, error = whole.quantile(q)
+        lo, hi = ranks(values, v)
+        rank = math.ceil(q * len(values))
+        assert max(lo - rank, rank - hi, 0) <= error <= 0.12 * len(values)
+
+
+def test_small_groups_are_exact():
+    s = quantiles._merged([Summary.of(np.array([5, 1])), Summary.of(np.array([3])), Summary.of(np.array([3, 9]))], 8)
+    assert [s.quantile(q) for q in (0.2, 0.5, 0.8, 1.0)] == [(1, 0), (3, 0), (5, 0), (9, 0)]
+
+
+def test_groups_nulls_and_parts(spark, rows):
+    data = [("a", 1, v) for v in range(1, 101)] + [("a", 2, v) for v in range(101, 201)] + [(None, 1, 7), ("a", 1, None), ("b", 1, None)]
+    df = spark.createDataFrame(data, "g string, part int, v bigint").repartition(5).selectExpr("*", "1 as n", "2 as lo")
+    parts = quantiles.summaries(df, ["g", "part"], "v")
+    assert rows(quantiles.percentiles(quantiles.combine_tree(parts, ["g"], "part"), ["g"], (0.5, 0.99))) == sorted([("a", 200, 100, 198, 0), (None, 1, 7, 7, 0)], key=repr)
+    assert rows(quantiles.percentiles(quantiles.summaries(df.where("false"), ["g"], "v"), ["g"], (0.5,))) == []
