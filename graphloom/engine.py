@@ -75,6 +75,7 @@ class Engine:
     services: dict[str, Engine] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
     row_ceiling: int | None = None
+    frames: dict[str, DataFrame] = field(default_factory=dict)
 
     @staticmethod
     def over_quads(quads: DataFrame, catalog: Catalog | None = None, **more) -> Engine:
@@ -88,7 +89,7 @@ class Engine:
 
     def source(self, active: Active, entailed: bool = True):
         if self.mappings is not None:
-            return VirtualSource(self.spark, self.mappings, active, self.folder)
+            return VirtualSource(self.spark, self.mappings, active, self.folder, self.frames)
         return QuadSource(self.quads, active, self.closure if entailed else None)
 
     def lowering(self, query: Query, principal: frozenset[str], protocol=None) -> Lowering:

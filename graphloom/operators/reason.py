@@ -176,10 +176,6 @@ def _iri(v: str | Column) -> Column:
     return F.struct(F.lit(1).alias("k"), c.alias("v"), F.lit(None).cast("string").alias("d"), F.lit(None).cast("string").alias("l")).cast(TERM)
 
 
-def _term(t: tuple) -> Column:
-    return F.struct(*[F.lit(x).cast("int" if n == "k" else "string").alias(n) for n, x in zip("kvdl", t, strict=True)]).cast(TERM)
-
-
 class _Rules:
     """One round of all rules over facts (s, p, o, support)."""
 
@@ -228,10 +224,12 @@ class _Rules:
             for q in steps[1:]:
                 path = path.join(self.uses(facts, q, "x", "y", "w"), "x").select("s", F.col("y").alias("x"), self.both("u", "w").alias("u"))
             add(path.select("s", F.lit(p).alias("p"), F.col("x").alias("o"), F.col("u").alias("support")))
-        for c, p, v in o.has_value_above:
-            add(types.where(F.col("c") == c).select("s", F.lit(p).alias("p"), _term(v).alias("o"), self.both("support")))
-        for p, v, c in o.has_value_below:
-            typed(facts.where((F.col("p") == p) & (F.col("o") == _term(v))), "s", c, "support")
+        if o.has_value_above:
+            m = F.broadcast(self.spark.createDataFrame(o.has_value_above, f"c string, q string, v {TERM}"))
+            add(types.join(m, "c").select("s", F.col("q").alias("p"), F.col("v").alias("o"), self.both("support")))
+        if o.has_value_below:
+            m = F.broadcast(self.spark.createDataFrame(o.has_value_below, f"p string, o {TERM}, c string"))
+            typed(facts.join(m, ["p", "o"]), "s", F.col("c"), "support")
         for p, d, c in o.some_below:
             use = self.uses(facts, p, "s", "y", "u")
             if d == OWL + "Thing":

@@ -224,9 +224,9 @@ class Query:
     def ordered(self) -> bool:
         """Whether the rows' order means anything: only an outermost ORDER BY makes it so."""
         p = self.pattern
-        while isinstance(p, (Project, Distinct, Reduced, Slice, Extend)):
+        while isinstance(p, (Distinct, Reduced, Slice)):
             p = p.inner
-        return isinstance(p, OrderBy)
+        return isinstance(p.inner if isinstance(p, Project) else p, OrderBy)
 
     @property
     def volatile(self) -> bool:

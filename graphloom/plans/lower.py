@@ -17,7 +17,7 @@ from graphloom.plans import algebra as A
 from graphloom.plans.algebra import XSD, Iri, Triple, Var
 from graphloom.plans.paths import Limits, compile_path, traverse
 from graphloom.plans.relation import UNIT, Rel, cn, join, left_join, semi, union
-from graphloom.plans.values import DEC, DOUBLES, INTEGERS, NUMERIC, TERM, Value, boolean, constant, instant, null, number, struct, term_constant, text
+from graphloom.plans.values import DEC, DOUBLES, INTEGERS, NUMERIC, TERM, Value, boolean, constant, instant, is_term, null, number, struct, term_constant, text
 
 
 class Unsupported(ValueError):
@@ -231,7 +231,7 @@ class Lowering:
             names, p = p.names, p.inner
         if isinstance(p, A.OrderBy):
             order, p = p.keys, p.inner
-        if isinstance(p, (A.Group, A.Distinct, A.Slice)):
+        if any(isinstance(x, (A.Group, A.Distinct, A.Slice)) for x in A.walk(p)):
             raise Unsupported("LATERAL over a grouping")
         row = ".row"
         ided = left.extend(row, Value("int", F.monotonically_increasing_id(), maybe=False))
@@ -327,7 +327,7 @@ class Lowering:
         where = F.lit(True)
         for x, c in ((s, "origin"), (o, "node")):
             if not isinstance(x, Var):
-                where = where & (F.col(c) == term_constant(x).col)
+                where = where & is_term(F.col(c), x)
             elif x.name in vals:
                 where = where & (F.col("origin") == F.col("node"))
             else:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.plans.algebra import RDF, XSD, Iri, Lit
+from graphloom.plans.algebra import XSD, Iri, Lit
 
 TERM = "struct<k:int,v:string,d:string,l:string>"
 STRING = XSD + "string"
@@ -139,8 +139,11 @@ def term_constant(t: Iri | Lit) -> Value:
     return Value("term", struct(3, F.lit(t.value), t.datatype, t.lang), maybe=False)
 
 
-def lang_string() -> str:
-    return RDF + "langString"
+def is_term(c: Column, t: Iri | Lit) -> Column:
+    """Whether a term struct is a constant, by fields, which scans can be filtered by."""
+    if isinstance(t, Iri):
+        return (c["k"] == 1) & (c["v"] == t.value)
+    return (c["k"] == 3) & (c["v"] == t.value) & (c["d"] == t.datatype) & (c["l"].isNull() if t.lang is None else c["l"] == t.lang)
 
 
 # what a term struct is

@@ -24,5 +24,10 @@ MAPPINGS = [
 ALL = frozenset({"public", "finance"})
 
 
+#: Table frames by session and folder: their schemas are read once.
+_FRAMES: dict[tuple[str, str], dict] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine.over_tables(spark, sf_dir, MAPPINGS)
+    frames = _FRAMES.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    return Engine.over_tables(spark, sf_dir, MAPPINGS, frames=frames)

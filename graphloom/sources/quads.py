@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.algebra import Iri, Triple, Var
 from graphloom.plans.lower import Forbidden, Scope
 from graphloom.plans.relation import Rel, join
-from graphloom.plans.values import Value, term_constant
+from graphloom.plans.values import Value, is_term
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ class QuadSource:
             elif v.kind == "iri":
                 where = where & (v.col == x.value)
             else:
-                where = where & (v.col == term_constant(x).col)
+                where = where & is_term(v.col, x)
         if scope.var:
             vals[scope.var] = Value("iri", F.col("g"), maybe=False)
         return Rel.of(df, vals, where)

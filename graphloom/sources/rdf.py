@@ -28,10 +28,17 @@ class BadRdf(ValueError):
     """Input that is no valid RDF text of its format."""
 
 
+#: Stand for an escaped backslash and for \\U while the JSON reader decodes the rest; no text holds these code points.
+_SLASH, _WIDE = "\ufdd0", "\ufdd1"
+
+
 def _unescaped(c: Column) -> Column:
-    """\\uXXXX and the one-letter escapes; the JVM's own decoder is used, so no Python runs."""
-    plain = F.regexp_replace(c, r"\\(?![tnrbfuU\"'\\\\])", r"\\\\\\\\")
-    return F.when(F.instr(c, "\\") > 0, F.from_json(F.concat(F.lit('{"v":"'), F.regexp_replace(F.regexp_replace(plain, "\n", r"\\n"), r"\\'", "'"), F.lit('"}')), "v string")["v"]).otherwise(c)
+    """Escapes of the line formats, decoded inside the JVM: what JSON has too by its reader, \\U by code point."""
+    safe = F.replace(F.replace(F.replace(c, F.lit("\\\\"), F.lit(_SLASH)), F.lit("\\'"), F.lit("'")), F.lit("\\U"), F.lit(_WIDE))
+    read = F.from_json(F.concat(F.lit('{"v":"'), safe, F.lit('"}')), "v string", {"allowUnquotedControlChars": "true"})["v"]
+    parts = F.split(read, f"(?={_WIDE})")
+    wide = F.transform(parts, lambda x: F.when(x.startswith(_WIDE), F.concat(F.decode(F.unhex(F.substring(x, 2, 8)), "UTF-32"), F.substring(x, 10, 1 << 30))).otherwise(x))
+    return F.when(F.instr(c, "\\") > 0, F.replace(F.array_join(wide, ""), F.lit(_SLASH), F.lit("\\"))).otherwise(c)
 
 
 def _term(c: Column, scope: Column) -> Column:
