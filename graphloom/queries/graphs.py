@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.engine import Engine
-from graphloom.operators import graph, reason, text
+from graphloom.operators import governed, graph, reason, text
 from graphloom.plans.values import TERM
 from graphloom.queries.tables import ALL, engine
 from graphloom.session import table
@@ -161,12 +161,55 @@ def memory_search(spark: SparkSession, d: str) -> DataFrame:
     return text.memory_search(rows, "text", ["proof", "archive", "lease", "frontier", "digest"], ["doc_id"], 25).select("doc_id", "score")
 
 
+def invalid_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of calls read as unsigned: what isn't one, and how often."""
+    calls = table(spark, d, "model_call").where("input_tokens is not null")
+    value = F.struct(F.lit(3).alias("k"), F.col("input_tokens").cast("string").alias("v"), F.lit("http://www.w3.org/2001/XMLSchema#unsignedShort").alias("d"), F.lit(None).cast("string").alias("l")).cast(TERM)
+    quads = calls.select(_iri(F.concat(F.lit("urn:call:"), "model_call_id")).alias("s"), F.lit("urn:p:tokens").alias("p"), value.alias("o"), F.lit("urn:g:calls").alias("g"))
+    return governed.invalid_literals(quads).select("value", "fault", "n")
+
+
+def without_source(spark: SparkSession, d: str) -> DataFrame:
+    """Customers without an order, as subjects that nothing is derived from."""
+    quads = _tables(spark, d, ["customer"])
+    orders = table(spark, d, "orders").select(_iri(F.concat(F.lit("urn:customer:"), F.col("o_custkey").cast("string"))).alias("s"), F.lit("urn:from").alias("p"), _iri(F.concat(F.lit("urn:orders:"), F.col("o_orderkey").cast("string"))).alias("o"), F.lit("urn:g:x").alias("g"))
+    return governed.without_source(quads.unionByName(orders), "urn:from").select(F.col("s.v").alias("s")).where(F.col("s").startswith("urn:customer:"))
+
+
+def encoded_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by customer joined with customers by nation: multiplicities and proofs."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("m"), F.array(F.lit("o")).alias("proofs"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("nation"), F.lit(2).cast("bigint").alias("m"), F.array(F.lit("c")).alias("proofs"))
+    return governed.encoded_join(orders, customers, ["c"]).select("c", "nation", "m", F.array_join("proofs", "+").alias("proofs"))
+
+
+def leaf_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of one part and two supplier groups as encoded facts."""
+    facts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("o"), (F.col("l_linenumber")).alias("g"))
+    return governed.leaf_scan(facts, [1, 3], p=7)
+
+
+def routed_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs that a query about nations needs, out of three."""
+    from graphloom.plans.parser import parse
+
+    quads = _tables(spark, d, ["region", "nation", "customer"])
+    q = parse("SELECT * { ?n <urn:p:n_name> ?x . ?r a <urn:c:region> }")
+    got = governed.route_graphs(q, graph.capability_index(quads), ["urn:g:region", "urn:g:nation", "urn:g:customer"])
+    return spark.createDataFrame([(g,) for g in sorted(got)], "g string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (entail_subclass, entail_domain_range, entail_chain, entail_scope, closure_materialize, sameas_rep, hydrate, capability_index, dictionary_encode, encoded_facts, adjacency_degree, semijoin_reduce, query_log, nearest_rank, mapped_observations, chunk_text, reduce_context, memory_search)
+    for f in (entail_subclass, entail_domain_range, entail_chain, entail_scope, closure_materialize, sameas_rep, hydrate, capability_index, dictionary_encode, encoded_facts, adjacency_degree, semijoin_reduce, query_log, nearest_rank, mapped_observations, invalid_literals, without_source, encoded_join, leaf_scan, routed_graphs, chunk_text, reduce_context, memory_search)
 }
 
 SQL: dict[str, str] = {
+    "invalid_literals": "SELECT input_tokens::VARCHAR AS value, 'unsignedShort out of range' AS fault, count(*) AS n FROM model_call WHERE input_tokens < 0 OR input_tokens > 65535 GROUP BY 1",
+    "without_source": "SELECT 'urn:customer:' || c_custkey AS s FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "encoded_join": "SELECT o_custkey AS c, c_nationkey AS nation, 2 * count(*) AS m, 'o+c' AS proofs FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",
+    "leaf_scan": "SELECT l_orderkey AS s, l_partkey AS p, l_suppkey AS o, l_linenumber AS g FROM lineitem WHERE l_partkey = 7 AND l_linenumber IN (1, 3)",
+    "routed_graphs": "SELECT * FROM (VALUES ('urn:g:nation'), ('urn:g:region')) v(g)",
     "entail_subclass": "SELECT 'urn:nation:' || n_nationkey AS s FROM nation UNION ALL SELECT 'urn:region:' || r_regionkey FROM region",
     "entail_domain_range": "SELECT 'urn:supplier:' || s_suppkey AS s, 'urn:x:Seller' AS t FROM supplier UNION SELECT 'urn:nation:' || s_nationkey, 'urn:x:Market' FROM supplier",
     "entail_chain": "SELECT 'urn:region:' || n_regionkey AS r, 'urn:supplier:' || s_suppkey AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey",

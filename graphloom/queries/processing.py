@@ -72,14 +72,22 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 # 4: features
 
 
-def _model_features(spark: SparkSession, d: str) -> DataFrame:
+def _model_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls sent twice count once, in their last state; outcomes are compared in upper case without blanks, a token count below 0 is none."""
     keep = ["execution_id", "model_id", "outcome", "error_code", "input_tokens", "output_tokens", "started_at_epoch_ms"]
     calls = features.latest_state(table(spark, d, "model_call"), "model_call_id", [F.col("loaded_at"), F.col("ended_at_epoch_ms")], keep)
     tokens = {c: F.when(F.col(c) >= 0, F.col(c)) for c in ("input_tokens", "output_tokens")}
-    calls = calls.withColumns(tokens)
-    outcome = F.coalesce(F.nullif(F.upper(F.trim("outcome")), F.lit("")), F.lit("OPEN"))
-    by_model = F.concat_ws("|", F.coalesce("model_id", F.lit("none")), outcome)
+    return calls.withColumns(tokens)
+
+
+def _outcome():
+    return F.coalesce(F.nullif(F.upper(F.trim("outcome")), F.lit("")), F.lit("OPEN"))
+
+
+def _model_features(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds are a model with an outcome, and an error: the hundreds that a wide table is made for."""
+    calls = _model_calls(spark, d)
+    by_model = F.concat_ws("|", F.coalesce("model_id", F.lit("none")), _outcome())
     by_error = F.when(F.col("error_code").isNotNull(), F.concat(F.lit("error|"), "error_code"))
     return features.sparse_features(calls, "execution_id", [by_model, by_error], "started_at_epoch_ms", ["input_tokens", "output_tokens"])
 
@@ -92,6 +100,14 @@ def p4_vectors(spark: SparkSession, d: str) -> DataFrame:
     return _model_features(spark, d).withColumnRenamed("last", "last_started_ms")
 
 
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors with a kind for each model, outcome and error together."""
+    calls = _model_calls(spark, d)
+    kind = F.concat_ws("|", F.coalesce("model_id", F.lit("none")), _outcome(), F.coalesce("error_code", F.lit("none")))
+    out = features.sparse_features(calls, "execution_id", [kind], "started_at_epoch_ms", ["input_tokens", "output_tokens"])
+    return out.withColumnRenamed("last", "last_started_ms")
+
+
 # 5: percentiles
 
 
@@ -139,7 +155,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.per_period(_orphans(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scripts, p1_checks, p2_found, p2_periods, p3_found, p3_paths, p3_descendants, p4_features, p4_vectors, p5_percentiles, p5_partitions, p6_found, p6_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scripts, p1_checks, p2_found, p2_periods, p3_found, p3_paths, p3_descendants, p4_features, p4_vectors, p4_kinds, p5_percentiles, p5_partitions, p6_found, p6_report)}
 
 _SPANS = """spans AS (
   SELECT execution_id e, started_at_epoch_ms s, ended_at_epoch_ms t FROM model_call UNION ALL
@@ -207,6 +223,8 @@ FROM links WHERE child IN (SELECT node FROM up WHERE anc IN (SELECT node FROM up
 FROM (SELECT node, depth, up, unnest(range(1, depth + 1)) i FROM tree) t, LATERAL (SELECT t.up[t.i] anc, t.i i) a""",
     "p4_vectors": f"""WITH {_CALLS} SELECT execution_id, kind, count(*) AS n, max(started_at_epoch_ms) AS last_started_ms,
 sum(CASE WHEN input_tokens >= 0 THEN input_tokens END)::BIGINT AS total_input_tokens, sum(CASE WHEN output_tokens >= 0 THEN output_tokens END)::BIGINT AS total_output_tokens FROM marked GROUP BY 1, 2""",
+    "p4_kinds": f"""WITH {_CALLS} SELECT execution_id, kind || '|' || coalesce(error_code, 'none') AS kind, count(*) AS n, max(started_at_epoch_ms) AS last_started_ms,
+sum(CASE WHEN input_tokens >= 0 THEN input_tokens END)::BIGINT AS total_input_tokens, sum(CASE WHEN output_tokens >= 0 THEN output_tokens END)::BIGINT AS total_output_tokens FROM marked WHERE kind NOT LIKE 'error|%' GROUP BY 1, 2""",
     "p5_percentiles": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine')}",
     "p5_partitions": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine, partition_no')} UNION ALL BY NAME {_percentiles('scenarioid, engine', ', NULL::INTEGER partition_no')}",
     "p6_found": f"WITH {_ORPHANS} SELECT ref_table, ref_field, row_id, case_kind FROM cases WHERE case_kind IS NOT NULL",

@@ -94,6 +94,38 @@ def turtle_subjects(triples: DataFrame) -> DataFrame:
     return grouped.select(F.concat("s", F.lit(" "), "po", F.lit(" .")).alias("value"))
 
 
+def rdfxml_subjects(triples: DataFrame) -> DataFrame:
+    """RDF/XML descriptions of a graph (s, p, o), one a subject, for a document with the usual head and foot.
+
+    A predicate is split before its last run of name characters; one that has none can't be written so.
+    """
+
+    def esc(c: Column) -> Column:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    def attr(name: str, c: Column) -> Column:
+        return F.concat(F.lit(f' {name}="'), esc(c), F.lit('"'))
+
+    local = F.regexp_extract("p", r"([\p{L}_][\p{L}\p{N}_.-]*)$", 1)
+    name = F.when(local == "", F.raise_error(F.concat(F.lit("no XML name in "), F.col("p"))).cast("string")).otherwise(local)
+    space = F.substring("p", F.lit(1), F.char_length("p") - F.char_length(local))
+    o = F.col("o")
+    about = F.when(F.col("s.k") == 1, attr("rdf:about", F.col("s.v"))).otherwise(attr("rdf:nodeID", _label(F.col("s"))))
+    value = (
+        F.when(o["k"] == 1, F.concat(attr("rdf:resource", o["v"]), F.lit("/>"))).when(o["k"] == 2, F.concat(attr("rdf:nodeID", _label(o)), F.lit("/>")))
+        .otherwise(F.concat(F.when(o["l"].isNotNull(), attr("xml:lang", o["l"])).when(o["d"] != XSD + "string", attr("rdf:datatype", o["d"])).otherwise(""), F.lit(">"), esc(o["v"]), F.lit("</n:"), name, F.lit(">")))
+    )
+    prop = F.concat(F.lit("<n:"), name, attr("xmlns:n", space), value)
+    grouped = triples.select(about.alias("about"), prop.alias("prop")).groupBy("about").agg(F.array_join(F.sort_array(F.collect_set("prop")), "").alias("props"))
+    return grouped.select(F.concat(F.lit("<rdf:Description"), "about", F.lit(">"), "props", F.lit("</rdf:Description>")).alias("value"))
+
+
+RDFXML_HEAD = '<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+RDFXML_FOOT = "</rdf:RDF>"
+
+
 def canonical_hash(rel: Rel, names: list[str], ordered: bool) -> str:
     """A digest of a result: by rows in order, or, if order means nothing, of the bag of its rows.
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from pathlib import Path
 from urllib.parse import urljoin
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,14 +143,14 @@ def parse_turtle(text: str, scope: str, base: str = "") -> list[tuple]:
         raise BadRdf(str(e)) from e
 
 
-def read_turtle(spark: SparkSession, path: str | list[str], graph: str | None = None) -> DataFrame:
-    """Quads of Turtle or TriG files, a task parsing a file at a time: neither format can be split."""
+def read_files(spark: SparkSession, path: str | list[str], graph: str | None = None, parser: Callable[[str, str], list[tuple]] = parse_turtle) -> DataFrame:
+    """Quads of files in a format that can't be split, a task parsing a file at a time."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for value, file in zip(pdf["value"], pdf.file, strict=True):
-                rows = parse_turtle(value, file)
+                rows = parser(value, file)
                 for i in range(0, len(rows), 20_000):
                     part = rows[i : i + 20_000]
                     yield pd.DataFrame({"s": [dict(zip("kvdl", r[0], strict=True)) for r in part], "p": [r[1] for r in part], "o": [dict(zip("kvdl", r[2], strict=True)) for r in part], "g": [r[3] if graph is None else graph for r in part]})
@@ -157,13 +158,94 @@ def read_turtle(spark: SparkSession, path: str | list[str], graph: str | None =
     return files.mapInPandas(parse, QUADS)
 
 
+_X = "{http://www.w3.org/XML/1998/namespace}"
+_R = "{" + RDF + "}"
+
+
+def parse_rdfxml(text: str, scope: str, base: str = "") -> list[tuple]:
+    """Rows of QUADS in the default graph from RDF/XML: node and property elements, containers' li, typed and plain
+    literals, parseType Resource, Collection and Literal; BadRdf for anything else."""
+    try:
+        root = ElementTree.fromstring(text)
+    except ElementTree.ParseError as e:
+        raise BadRdf(str(e)) from e
+    key, rows, n = sha256(scope.encode()).hexdigest(), [], 0
+
+    def blank(label: str | None = None) -> tuple:
+        nonlocal n
+        n += label is None
+        return (2, f"{key}||{label or f'.{n}'}", None, None)
+
+    def iri(tag: str) -> str:
+        return tag[1:].replace("}", "", 1)
+
+    def emit(s: tuple, p: str, o: tuple) -> None:
+        rows.append((s, p, o, DEFAULT))
+
+    def literal(v: str, lang: str | None, kind: str | None = None) -> tuple:
+        return (3, v, kind or (RDF + "langString" if lang else XSD + "string"), None if kind else lang)
+
+    def node(e, base: str, lang: str | None) -> tuple:
+        base, lang = e.get(_X + "base", base), (e.get(_X + "lang") or lang or "").lower() or None
+        about, label, own = e.get(_R + "about"), e.get(_R + "nodeID"), e.get(_R + "ID")
+        s = (1, urljoin(base, about if about is not None else "#" + own), None, None) if about is not None or own else blank(label)
+        if e.tag != _R + "Description":
+            emit(s, RDF_TYPE, (1, iri(e.tag), None, None))
+        for k, v in e.attrib.items():
+            if not k.startswith((_R, _X)) and k.startswith("{"):
+                emit(s, iri(k), literal(v, lang))
+            elif k == _R + "type":
+                emit(s, RDF_TYPE, (1, urljoin(base, v), None, None))
+        items(s, e, base, lang)
+        return s
+
+    def items(s: tuple, e, base: str, lang: str | None) -> None:
+        count = 0
+        for c in e:
+            count += c.tag == _R + "li"
+            emit(s, RDF + f"_{count}" if c.tag == _R + "li" else iri(c.tag), value(c, base, lang))
+
+    def value(e, base: str, lang: str | None) -> tuple:
+        base, lang = e.get(_X + "base", base), (e.get(_X + "lang") or lang or "").lower() or None
+        how = e.get(_R + "parseType")
+        if e.get(_R + "resource") is not None:
+            return (1, urljoin(base, e.get(_R + "resource")), None, None)
+        if how == "Resource":
+            o = blank()
+            items(o, e, base, lang)
+            return o
+        if how == "Collection":
+            head: tuple = (1, RDF + "nil", None, None)
+            for x in reversed([node(c, base, lang) for c in e]):
+                cell = blank()
+                emit(cell, RDF + "first", x)
+                emit(cell, RDF + "rest", head)
+                head = cell
+            return head
+        if how == "Literal":
+            return literal((e.text or "") + "".join(ElementTree.tostring(c, encoding="unicode") for c in e), None, RDF + "XMLLiteral")
+        if how is not None:
+            raise BadRdf(f"parseType {how}")
+        if len(e) > 1:
+            raise BadRdf("a property with two values")
+        if len(e):
+            return node(e[0], base, lang)
+        if e.get(_R + "nodeID"):
+            return blank(e.get(_R + "nodeID"))
+        return literal(e.text or "", lang, e.get(_R + "datatype"))
+
+    for e in root if root.tag == _R + "RDF" else [root]:
+        node(e, root.get(_X + "base", base), root.get(_X + "lang"))
+    return rows
+
+
 def read(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
     """Quads of a file or folder, by the name's ending."""
     kind = Path(path).suffix.lower()
     if kind in (".nt", ".nq"):
         return read_lines(spark, path, graph)
-    if kind in (".ttl", ".trig"):
-        return read_turtle(spark, path, graph)
+    if kind in (".ttl", ".trig", ".rdf", ".xml", ".owl"):
+        return read_files(spark, path, graph, parse_turtle if kind in (".ttl", ".trig") else parse_rdfxml)
     raise BadRdf(f"unknown RDF format {kind!r}")
 
 
@@ -195,4 +277,4 @@ def write_lines(quads: DataFrame, path: str) -> None:
     quads.select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
-__all__ = ["DEFAULT", "QUADS", "RDF_TYPE", "BadRdf", "Var", "from_text", "normalized", "ntriples", "parse_turtle", "read", "read_lines", "read_turtle", "unescape", "write_lines"]
+__all__ = ["DEFAULT", "QUADS", "RDF_TYPE", "BadRdf", "Var", "from_text", "normalized", "ntriples", "parse_rdfxml", "parse_turtle", "read", "read_files", "read_lines", "unescape", "write_lines"]
