@@ -115,10 +115,20 @@ def _doubled(inter: DataFrame) -> DataFrame:
 
 
 def _merged(inter: DataFrame, paths: bool) -> tuple[DataFrame, int]:
-    """The contracted graph, resolved."""
+    """The contracted graph, resolved.
+
+    Paths are doubled only for nodes whose ancestry is known to end: on a cycle a path would grow with
+    every round.
+    """
     inter = checkpoint(inter)
+    if paths:
+        ends, n = _merged(inter.withColumn("seg", F.lit(None).cast("string")), False)
+        ends = checkpoint(ends)
+        trees = inter.join(ends.where("not endless").select("child"), "child", "left_semi")
+        segs = _doubled(trees).select("child", "seg")
+        return ends.drop("seg").join(segs, "child", "left"), n
     n = inter.count()
-    if paths or n > TASK_LINKS:
+    if n > TASK_LINKS:
         return _doubled(inter), n
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
