@@ -123,15 +123,43 @@ def summaries(df: DataFrame, keys: Sequence[str], value: str, size: int = SIZE)
 
 
 def combine(parts: DataFrame, keys: Sequence[str], size: int = SIZE) -> DataFrame:
-    """Summaries of parts put together by key, of days or partitions as well as of tasks."""
+    """Summaries of parts put together by key, of days or partitions as well as of tasks.
+
+    Rows are laid out and sorted by key, and a task merges each key's as they pass, pairwise by a binary
+    counter, so it holds about the logarithm of their number.
+    """
     keys = list(keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*keys).schema)
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        key = tuple(None if pd.isna(x) else x for x in key)
-        return pd.DataFrame([dict(zip(keys, key, strict=True)) | _merged(_read(pdf), size).row()])
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, stack, out = None, [], []
 
-    return parts.select(*keys, "n", "v", "lo", "hi").groupBy(*keys).applyInPandas(merge, f"{schema}, {SUMMARY}")
+        def close() -> None:
+            if stack:
+                whole = stack[-1][1]
+                for _, x in reversed(stack[:-1]):
+                    whole = x.merge(whole).compress(size)
+                out.append(dict(zip(keys, key, strict=True)) | whole.row())
+
+        for pdf in batches:
+            columns = [[None if pd.isna(x) else x for x in pdf[k]] for k in keys]
+            for k, n, v, lo, hi in zip(zip(*columns, strict=True), pdf.n, pdf.v, pdf.lo, pdf.hi, strict=True):
+                if k != key:
+                    close()
+                    key, stack = k, []
+                level, s = 0, Summary(n, np.asarray(v, np.int64), np.asarray(lo, np.int64), np.asarray(hi, np.int64))
+                while stack and stack[-1][0] == level:
+                    s, level = stack.pop()[1].merge(s).compress(size), level + 1
+                stack.append((level, s))
+            if len(out) >= 500:
+                yield pd.DataFrame(out)
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out)
+
+    laid = parts.select(*keys, "n", "v", "lo", "hi").repartition(*keys).sortWithinPartitions(*keys)
+    return laid.mapInPandas(merge, f"{schema}, {SUMMARY}")
 
 
 def combine_tree(parts: DataFrame, keys: Sequence[str], part: str, size: int = SIZE) -> DataFrame:
