@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_ROWS, checkpoint, shuffle_partitions
+from graphloom.session import BROADCAST_ROWS, checkpoint, round_checkpoint, shuffle_partitions
 
 #: Links that one task may take.
 TASK_LINKS = 500_000
@@ -108,7 +108,7 @@ def _doubled(inter: DataFrame) -> DataFrame:
             F.when(found & F.col("s2").isNotNull(), F.concat_ws(SEP, "s2", "seg")).otherwise(F.col("seg")).alias("seg"),
             (found & F.col("open2") & ~F.col("e2")).alias("open"),
         )
-        state = checkpoint(on.unionByName(done.select(*on.columns)))
+        state = round_checkpoint(on.unionByName(done.select(*on.columns)))
         if not state.where("open").limit(1).count():
             break
     return state.select("child", "root", "offset", (F.col("endless") | F.col("open")).alias("endless"), "seg")
@@ -177,7 +177,7 @@ def cycles(resolved: DataFrame) -> DataFrame:
         return x.coalesce(1).mapInPandas(image, "node string, case_kind string")
     state, before = x.select("child", F.col("parent").alias("up")), -1
     for _ in range(n.bit_length() + 1):
-        state = checkpoint(state.join(state.select(F.col("child").alias("up"), F.col("up").alias("u2")), "up").select("child", F.col("u2").alias("up")))
+        state = round_checkpoint(state.join(state.select(F.col("child").alias("up"), F.col("up").alias("u2")), "up").select("child", F.col("u2").alias("up")))
         on = state.select(F.col("up").alias("child")).distinct()
         if (count := on.count()) == before:
             break

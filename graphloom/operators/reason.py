@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.algebra import RDF, RDF_TYPE
 from graphloom.plans.values import TERM
-from graphloom.session import checkpoint
+from graphloom.session import checkpoint, round_checkpoint
 
 RDFS, OWL = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
 SAME = OWL + "sameAs"
@@ -280,7 +280,7 @@ def materialize(quads: DataFrame, onto: Ontology | None = None, rounds: int = 10
         new = checkpoint(new.join(known, held, "left_anti"))
         if not new.limit(1).count():
             break
-        facts = checkpoint(facts.unionByName(new))
+        facts = round_checkpoint(facts.unionByName(new))
     else:
         raise UnsupportedAxiom("no end of consequences within the rounds")
     if onto.disjoint:
@@ -312,7 +312,7 @@ def representatives(same: DataFrame) -> DataFrame:
         near = edges.join(label.select(F.col("member").alias("b"), F.col("representative").alias("r")), "b").groupBy(F.col("a").alias("member")).agg(F.min("r").alias("r"))
         least = label.join(near, "member").select("member", F.least("representative", "r").alias("up"), "representative")
         jump = least.join(label.select(F.col("member").alias("up"), F.col("representative").alias("r2")), "up", "left")
-        new = checkpoint(jump.select("member", F.least("up", "r2").alias("representative"), (F.least("up", "r2") < F.col("representative")).alias("moved")))
+        new = round_checkpoint(jump.select("member", F.least("up", "r2").alias("representative"), (F.least("up", "r2") < F.col("representative")).alias("moved")))
         label = new.select("member", "representative")
         if not new.where("moved").limit(1).count():
             return label

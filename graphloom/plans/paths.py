@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.algebra import PAlt, PInv, PIri, PNot, PRepeat, PSeq
-from graphloom.session import BROADCAST_ROWS, checkpoint
+from graphloom.session import BROADCAST_ROWS, checkpoint, round_checkpoint
 
 
 class PathCeiling(RuntimeError):
@@ -142,7 +142,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, automaton: Automaton, limits: L
             raise PathCeiling(f"path stopped after {rounds} rounds with {total} states")
         near = F.broadcast(frontier) if count <= BROADCAST_ROWS else frontier
         step = moves.join(near, ["node", "q", "g"]).select("origin", F.col("to").alias("node"), F.col("q2").alias("q"), "g").distinct()
-        frontier = checkpoint(step.join(visited, columns, "left_anti"))
+        frontier = round_checkpoint(step.join(visited, columns, "left_anti"))
         count = frontier.count()
         total += count
         visited = visited.unionByName(frontier)

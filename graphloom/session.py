@@ -37,6 +37,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def round_checkpoint(df: DataFrame) -> DataFrame:
+    """A checkpoint for loops that join a frame with itself, without the size estimate of its plan.
+
+    A checkpoint keeps the estimate, and that of a join is the product of its sides: in such a loop its
+    digits would double each round, and planning soon take longer than the work.
+    """
+    spark = df.sparkSession
+    kept = checkpoint(df)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(fresh, spark)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
