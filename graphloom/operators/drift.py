@@ -328,29 +328,48 @@ def field_names(edits: DataFrame, files: DataFrame, group: str = "checks", suppo
     return {k: find(k) for k in used}
 
 
+def _placed(members: dict, fields: dict[str, str]) -> dict[str, str]:
+    """The members that are not null by the key of their column: a field, or for what has no free field \\0 and its own name."""
+    row: dict[str, str] = {}
+    for k in sorted(members, key=lambda k: (fields.get(k, k) != k, k)):
+        if members[k] is not None:
+            field = fields.get(k)
+            row["\0" + k if field is None or field in row else field] = _text(members[k])
+    return row
+
+
 def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "checks") -> DataFrame:
     """All named objects of the group in all files, one row each, with one text column for each field.
 
     Values keep their JSON text, strings their content; a member that is null or absent is null, and an
-    object inside is JSON text. Columns are component, phase_no, check_name and the sorted fields.
+    object inside is JSON text. Where members of one object meet in a field, the one that has the field's
+    name is its value, else the least by name; each other has, like a member that fields doesn't list, its
+    value in a column of its own name, so no value is lost. Columns are component, phase_no, check_name,
+    the sorted fields, and the sorted names of such members, of which there are none in most data.
     """
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for c, n, doc in _files(batches):
             for name, members in _objects(doc, group).items():
-                row: dict[str, str] = {}
-                for k, v in members.items():
-                    if v is not None:
-                        row.setdefault(fields.get(k, k), _text(v))
-                rows.append((c, n, name, row))
+                rows.append((c, n, name, _placed(members, fields)))
             if len(rows) > 5000:
                 yield pd.DataFrame(rows, columns=["component", "phase_no", "check_name", "m"])
                 rows = []
         yield pd.DataFrame(rows, columns=["component", "phase_no", "check_name", "m"])
 
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = {k for _, _, doc in _files(batches) for m in _objects(doc, group).values() for k in _placed(m, fields) if k.startswith("\0")}
+        yield pd.DataFrame([(k[1:],) for k in sorted(found)], columns=["k"])
+
     out = files.mapInPandas(project, "component string, phase_no int, check_name string, m map<string,string>")
+    extra = sorted(r.k for r in files.mapInPandas(own, "k string").distinct().collect())
     taken = {"component", "phase_no", "check_name"}
     lower: Counter = Counter(f.lower() for f in set(fields.values()))
     columns = sorted(set(fields.values()))
-    return out.select("component", "phase_no", "check_name", *[F.try_element_at("m", F.lit(f)).alias(f"member_{i}_{f}" if f.lower() in taken or lower[f.lower()] > 1 else f) for i, f in enumerate(columns)])
+    named = [(f, f"member_{i}_{f}" if f.lower() in taken or lower[f.lower()] > 1 else f) for i, f in enumerate(columns)]
+    used = taken | {name.lower() for _, name in named}
+    for i, k in enumerate(extra, len(columns)):
+        named.append(("\0" + k, f"member_{i}_{k}" if k.lower() in used else k))
+        used.add(named[-1][1].lower())
+    return out.select("component", "phase_no", "check_name", *[F.try_element_at("m", F.lit(key)).alias(name) for key, name in named])

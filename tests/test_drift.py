@@ -84,6 +84,18 @@ def test_consistent_table(spark):
     assert got.columns == ["component", "phase_no", "check_name", "n", "status"] and got.where("status = 'okstatus' and n = '1'").count() == 12
 
 
+def test_members_that_meet_in_a_field(spark):
+    """Every value of every member is in the table: the field's own name first, the others under their names."""
+    bodies = ['{"note": "old", "summary": "new", "n": 1}', '{"note": "alone"}', '{"summary": null, "note": "left"}', '{"text": "t", "note": "s"}', '{"Summary": "S", "text": "u", "summary": "v"}']
+    data = [(i, "c", i, f'{{"checks": {{"a": {b}}}}}') for i, b in enumerate(bodies)]
+    files = drift.sorted_files(spark.createDataFrame(data, "record_id bigint, component string, phase_no int, body string"))
+    got = drift.consistent_table(files, {"note": "summary", "text": "summary", "summary": "summary", "n": "n"})
+    assert got.columns[3:] == ["n", "summary", "member_2_Summary", "note", "text"]
+    assert [tuple(r)[3:] for r in got.orderBy("phase_no").collect()] == [
+        ("1", "new", None, "old", None), (None, "alone", None, None, None), (None, "left", None, None, None), (None, "s", None, None, "t"), (None, "v", "S", None, "u"),
+    ]
+
+
 def test_no_files(spark):
     files = drift.sorted_files(spark.createDataFrame([], "record_id bigint, component string, phase_no int, body string"))
     assert drift.changes(files).collect() == [] and drift.consistent_table(files, {}).collect() == []
