@@ -49,6 +49,15 @@ def _text(v: Any) -> str:
     return v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)
 
 
+def _json(v: Any) -> str:
+    """The JSON text of a value, numbers as they were written."""
+    if isinstance(v, dict):
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {_json(v[k])}" for k in sorted(v)) + "}"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(_json, v)) + "]"
+    return str(v) if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False)
+
+
 def _same(v: Any) -> tuple[str, str] | None:
     """What two values share if they count as the same; None for null, which equals nothing."""
     return None if v is None else ("text" if isinstance(v, str) else kind(v), _text(v))
@@ -292,6 +301,12 @@ def _objects(doc: dict, group: str) -> dict[str, dict]:
     return {k: v for k, v in held.items() if isinstance(v, dict)} if isinstance(held, dict) else {}
 
 
+def _others(doc: dict, group: str) -> dict[str, Any]:
+    """What the group holds that is no object."""
+    held = doc.get(group)
+    return {k: v for k, v in held.items() if not isinstance(v, dict)} if isinstance(held, dict) else {}
+
+
 def field_names(edits: DataFrame, files: DataFrame, group: str = "checks", support: float = 0.02) -> dict[str, str]:
     """Which member names of the group's objects mean one field: name to the name used most.
 
@@ -338,7 +353,7 @@ def _placed(members: dict, fields: dict[str, str]) -> dict[str, str]:
     return row
 
 
-def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "checks") -> DataFrame:
+def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "checks", value: str | None = None) -> DataFrame:
     """All named objects of the group in all files, one row each, with one text column for each field.
 
     Values keep their JSON text, strings their content; a member that is null or absent is null, and an
@@ -346,25 +361,30 @@ def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "che
     name is its value, else the least by name; each other has, like a member that fields doesn't list, its
     value in a column of its own name, so no value is lost. Columns are component, phase_no, check_name,
     the sorted fields, and the sorted names of such members, of which there are none in most data.
+
+    value: the name of one more column, after check_name; with it, what the group holds under a name that is
+    no object (a string, number, boolean, array or null) is a row as well, with its JSON text there.
     """
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for c, n, doc in _files(batches):
             for name, members in _objects(doc, group).items():
-                rows.append((c, n, name, _placed(members, fields)))
+                rows.append((c, n, name, None, _placed(members, fields)))
+            if value:
+                rows += [(c, n, name, _json(v), {}) for name, v in _others(doc, group).items()]
             if len(rows) > 5000:
-                yield pd.DataFrame(rows, columns=["component", "phase_no", "check_name", "m"])
+                yield pd.DataFrame(rows, columns=["component", "phase_no", "check_name", "value", "m"])
                 rows = []
-        yield pd.DataFrame(rows, columns=["component", "phase_no", "check_name", "m"])
+        yield pd.DataFrame(rows, columns=["component", "phase_no", "check_name", "value", "m"])
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = {k for _, _, doc in _files(batches) for m in _objects(doc, group).values() for k in _placed(m, fields) if k.startswith("\0")}
         yield pd.DataFrame([(k[1:],) for k in sorted(found)], columns=["k"])
 
-    out = files.mapInPandas(project, "component string, phase_no int, check_name string, m map<string,string>")
+    out = files.mapInPandas(project, "component string, phase_no int, check_name string, value string, m map<string,string>")
     extra = sorted(r.k for r in files.mapInPandas(own, "k string").distinct().collect())
-    taken = {"component", "phase_no", "check_name"}
+    taken = {"component", "phase_no", "check_name", *([value.lower()] if value else [])}
     lower: Counter = Counter(f.lower() for f in set(fields.values()))
     columns = sorted(set(fields.values()))
     named = [(f, f"member_{i}_{f}" if f.lower() in taken or lower[f.lower()] > 1 else f) for i, f in enumerate(columns)]
@@ -372,4 +392,5 @@ def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "che
     for i, k in enumerate(extra, len(columns)):
         named.append(("\0" + k, f"member_{i}_{k}" if k.lower() in used else k))
         used.add(named[-1][1].lower())
-    return out.select("component", "phase_no", "check_name", *[F.try_element_at("m", F.lit(key)).alias(name) for key, name in named])
+    kept = [F.col("value").alias(value)] if value else []
+    return out.select("component", "phase_no", "check_name", *kept, *[F.try_element_at("m", F.lit(key)).alias(name) for key, name in named])

@@ -27,7 +27,7 @@ def p1_scripts(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_checks(spark: SparkSession, d: str) -> DataFrame:
     files = drift.sorted_files(table(spark, d, "verification_record"))
-    return drift.consistent_table(files, drift.field_names(drift.changes(files, paths=False), files))
+    return drift.consistent_table(files, drift.field_names(drift.changes(files, paths=False), files), value="check_value")
 
 
 # 2: intervals

@@ -96,6 +96,20 @@ def test_members_that_meet_in_a_field(spark):
     ]
 
 
+def test_checks_that_are_no_objects(spark, tmp_path):
+    """p1_checks has a row for every check, whatever its type in a file."""
+    from graphloom.queries.processing import p1_checks
+
+    bodies = ['{"checks": {"a": {"status": "ok", "check_value": 1}, "b": "ok"}}', '{"checks": {"a": 8.0, "b": {"status": "ok"}, "c": true, "d": [1, "1", {"k": null}], "e": null, "f": "8"}}']
+    spark.createDataFrame([(i, "c", i, b) for i, b in enumerate(bodies)], "record_id bigint, component string, phase_no int, body string").write.parquet(f"{tmp_path}/verification_record.parquet")
+    got = p1_checks(spark, str(tmp_path))
+    assert got.columns == ["component", "phase_no", "check_name", "check_value", "member_0_check_value", "status"]
+    assert [tuple(r)[1:] for r in got.orderBy("phase_no", "check_name").collect()] == [
+        (0, "a", None, "1", "ok"), (0, "b", '"ok"', None, None), (1, "a", "8.0", None, None), (1, "b", None, None, "ok"), (1, "c", "true", None, None),
+        (1, "d", '[1, "1", {"k": null}]', None, None), (1, "e", "null", None, None), (1, "f", '"8"', None, None),
+    ]
+
+
 def test_no_files(spark):
     files = drift.sorted_files(spark.createDataFrame([], "record_id bigint, component string, phase_no int, body string"))
     assert drift.changes(files).collect() == [] and drift.consistent_table(files, {}).collect() == []
