@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 GROUP_ROWS = 5_000
 #: Completions tried for one context, and nodes of the search over one window.
 COMPLETIONS, NODES = 40, 400
+#: Steps of the search for the completions of one context that are less full than its fullest.
+STEPS = 1_200
 #: Contexts searched together; a window's packing is settled before the next is opened.
 WINDOW = 6
 
@@ -90,47 +93,58 @@ class _Pool:
         return self.keys[0] if self.keys else None
 
 
-def completions(pool: _Pool, keys: np.ndarray, room: int, most: int = COMPLETIONS) -> list[tuple[int, ...]]:
-    """Undominated sets of sizes that fit a room, fullest first.
+def _sums(pool: _Pool, sizes: list[int], room: int) -> list[int]:
+    """For each i, the sums up to a room that copies of the sizes from i on add up to, as bits; at the end that of none."""
+    reach, within = [1] * (len(sizes) + 1), (1 << (room + 1)) - 1
+    for i in range(len(sizes) - 1, -1, -1):
+        sums, copies, step = reach[i + 1], min(pool.n[sizes[i]], room // sizes[i]), 1
+        while copies:
+            step = min(step, copies)
+            sums |= (sums << (step * sizes[i])) & within
+            copies, step = copies - step, step * 2
+        reach[i] = sums
+    return reach
+
+
+def completions(pool: _Pool, keys: np.ndarray, room: int, most: int = COMPLETIONS) -> Iterator[tuple[int, ...]]:
+    """Undominated sets of sizes that fit a room, fullest first: all of them, or the first `most`.
 
     A set is dominated if a size left out could be added, or could take the place of a smaller one, and
-    still fit. The search goes from large to small and stops at exact fills or after `most` sets.
+    still fit. The sums that the smaller sizes can add up to are worked out first, so the search for the
+    sets of one sum, from large to small, enters no branch that misses it. None of the fullest is
+    dominated; those of a smaller sum are found within STEPS steps in all. The pool may change between
+    two sets.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = most * 30
-
-    def search(left: int, start: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal budget
-        budget -= 1
-        i = start + int(np.searchsorted(-keys[start:], -left))
-        fitted = False
-        while i < len(keys):
-            s = int(keys[i])
-            if pool.n[s] - chosen.count(s) > 0:
-                fitted = True
-                if search(left - s, i, (*chosen, s)):
-                    return True
-                if budget <= 0 or len(found) >= most:
-                    return True
+    sizes = [int(k) for k in keys if k <= room]
+    counts = dict(pool.n)
+    reach = _sums(pool, sizes, room)
+    steps = STEPS
+
+    def search(i: int, left: int, chosen: tuple[int, ...], waste: int, free: bool) -> Iterator[tuple[int, ...]]:
+        nonlocal steps
+        if not left:
+            if free or not _dominated(counts, chosen, waste):
+                yield chosen
+            return
+        while i < len(sizes) and reach[i] >> left & 1:
+            if not free:
+                steps -= 1
+                if steps < 0:
+                    return
+            s = sizes[i]
+            for m in range(min(counts[s], left // s), 0, -1):
+                if reach[i + 1] >> (left - m * s) & 1:
+                    yield from search(i + 1, left - m * s, (*chosen, *[s] * m), waste, free)
             i += 1
-            if len(chosen) >= 2 and fitted:
-                break  # deeper sets only in their largest form: others are dominated but for ties
-        if not fitted:
-            found.append((left, chosen))
-            return left == 0
-        return False
 
-    search(room, 0, ())
-    out, seen = [], set()
-    for left, chosen in sorted(found):
-        if chosen not in seen and not _dominated(pool, chosen, left):
-            seen.add(chosen)
-            out.append(chosen)
-    return out or [()]
+    fullest = reach[0].bit_length() - 1
+    found = (c for total in range(fullest, -1, -1) if steps > 0 and reach[0] >> total & 1 for c in search(0, total, (), room - total, total == fullest))
+    return islice(found, most)
 
 
-def _dominated(pool: _Pool, chosen: tuple[int, ...], left: int) -> bool:
-    return any(s + d in pool.n and pool.n[s + d] - chosen.count(s + d) > 0 for s in set(chosen) for d in range(1, left + 1))
+def _dominated(counts: dict[int, int], chosen: tuple[int, ...], left: int) -> bool:
+    rest = {d: n - chosen.count(d) for d, n in counts.items()}
+    return any(rest.get(d, 0) > 0 for d in range(1, left + 1)) or any(rest.get(s + d, 0) > 0 for s in set(chosen) for d in range(1, left + 1))
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -178,6 +192,9 @@ def _window(pool: _Pool, capacity: int) -> list[tuple[int, ...]]:
     best: list[tuple[int, ...]] = []
     least = float("inf")
     nodes = NODES
+    sizes = [k for k in pool.keys if pool.n[k] > 0]
+    spare = capacity + 1 - _sums(pool, sizes, capacity)[0].bit_length()  # that any context must waste
+    need = min(WINDOW, -(-sum(k * pool.n[k] for k in sizes) // capacity))  # contexts, at least
 
     def search(done: list[tuple[int, ...]], waste: int) -> None:
         nonlocal best, least, nodes
@@ -195,13 +212,13 @@ def _window(pool: _Pool, capacity: int) -> list[tuple[int, ...]]:
         for rest in options:
             chosen = (top, *rest)
             more = waste + capacity - sum(chosen)
-            if more >= least:
+            if more + spare * max(0, need - len(done) - 1) >= least:
                 break  # the others waste more
             nodes -= 1
             pool.take(chosen)
             search([*done, chosen], more)
             pool.put(chosen)
-            if nodes <= 0 or least == 0:
+            if nodes <= 0 or least <= spare * need:
                 return
 
     search([], 0)

@@ -38,6 +38,36 @@ def test_small_packings_are_optimal(sizes):
     assert len(where) == len(sizes) and (loads <= 30).all() and len(loads) == optimum(sizes, 30)
 
 
+def undominated(sizes, room):
+    """All sets that fit and can't be bettered by one size added or put for a smaller one, by trying every subset."""
+    out = set()
+    for bits in range(1 << len(sizes)):
+        chosen = [s for i, s in enumerate(sizes) if bits >> i & 1]
+        left = [s for i, s in enumerate(sizes) if not bits >> i & 1]
+        waste = room - sum(chosen)
+        if waste >= 0 and not any(s <= waste for s in left) and not any(0 < s - c <= waste for s in left for c in chosen):
+            out.add(tuple(sorted(chosen, reverse=True)))
+    return out
+
+
+def completed(sizes, room, most):
+    pool = packing._Pool(sizes)
+    return list(packing.completions(pool, np.array(pool.keys, np.int64), room, most))
+
+
+def test_deep_completion():
+    """The exact filling has a third size that is not the largest that fits."""
+    assert (20, 20, 13, 7) in completed([20, 20, 19, 13, 7], 60, 40)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 25), min_size=1, max_size=9), st.integers(1, 60))
+def test_all_completions(sizes, room):
+    got = completed(sizes, room, 1000)
+    assert len(set(got)) == len(got) and set(got) == undominated(sizes, room)
+    assert [sum(c) for c in got] == sorted((sum(c) for c in got), reverse=True)
+
+
 def test_better_than_best_fit():
     """Best fit takes four containers here, bin completion three."""
     sizes = np.array([44, 24, 24, 22, 21, 17, 8, 8, 6, 6])
