@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import small
+
 
 def latest_state(df: DataFrame, key: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """One row per key: the one that is greatest by order, then by the kept columns, so that the choice is never left to chance.
@@ -23,19 +25,35 @@ def latest_state(df: DataFrame, key: str, order: Sequence[Column], keep: Sequenc
     return df.where(F.col(key).isNotNull()).groupBy(F.unhex(F.md5(F.col(key).cast("string"))).alias("__k")).agg(top).select(*[f"__r.{c}" for c in keep])
 
 
-def sparse_features(events: DataFrame, entity: str, kinds: Sequence[Column], time: str, totals: Sequence[str]) -> DataFrame:
+def kind_codes(rows: DataFrame, kinds: Sequence[Column]) -> DataFrame:
+    """(kind, code): the kinds of the rows, sorted and numbered from 0. Their number is that of the event types, not of the rows."""
+    found = rows.select(F.explode(F.array(*kinds)).alias("kind")).where(F.col("kind").isNotNull()).distinct()
+    names = sorted(r.kind for r in found.collect())
+    return small(rows.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "kind string, code int"), len(names))
+
+
+def sparse_features(events: DataFrame, entity: str, kinds: Sequence[Column], time: str, totals: Sequence[str], codes: DataFrame | None = None) -> DataFrame:
     """Long form of the vectors: (entity, kind, n, last, total_...).
 
     Each of kinds maps a row to the name of a kind, null for none; a row counts once for each. Rows with
     a null entity are left out; null totals add nothing, a kind without any value has a null total.
+
+    codes: of kind_codes(), for these events or for more rows that are cheaper to read; made of the events
+    if it is None. A kind that it lacks is an error. Only the codes are shuffled and merged.
     """
+    codes = kind_codes(events, kinds) if codes is None else codes
     base = events.where(F.col(entity).isNotNull())
     aggs = [F.count(F.lit(1)).alias("n"), F.max(time).alias("last"), *[F.sum(t).alias(f"total_{t}") for t in totals]]
     fine = base.select(entity, time, *totals, *[k.alias(f"__k{i}") for i, k in enumerate(kinds)])
-    fine = fine.groupBy(entity, *[f"__k{i}" for i in range(len(kinds))]).agg(*aggs)
+    for i in range(len(kinds)):
+        fine = fine.join(codes.select(F.col("kind").alias(f"__k{i}"), F.col("code").alias(f"__c{i}")), f"__k{i}", "left")
+        lost = F.raise_error(F.concat(F.lit("no code for the kind "), F.col(f"__k{i}"))).cast("int")
+        fine = fine.withColumn(f"__c{i}", F.when(F.col(f"__k{i}").isNotNull(), F.coalesce(f"__c{i}", lost)))
+    fine = fine.groupBy(entity, *[f"__c{i}" for i in range(len(kinds))]).agg(*aggs)
     merged = [F.sum("n").alias("n"), F.max("last").alias("last"), *[F.sum(f"total_{t}").alias(f"total_{t}") for t in totals]]
-    each = fine.withColumn("kind", F.explode(F.array(*[f"__k{i}" for i in range(len(kinds))]))).where(F.col("kind").isNotNull())
-    return each.groupBy(entity, "kind").agg(*merged)
+    each = fine.withColumn("code", F.explode(F.array(*[f"__c{i}" for i in range(len(kinds))]))).where(F.col("code").isNotNull())
+    vectors = each.groupBy(entity, "code").agg(*merged)
+    return vectors.join(codes, "code").select(entity, "kind", "n", "last", *[f"total_{t}" for t in totals])
 
 
 def wide_features(sparse: DataFrame, entity: str, names: Sequence[str] | None = None) -> DataFrame:

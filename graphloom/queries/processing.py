@@ -89,7 +89,8 @@ def _model_features(spark: SparkSession, d: str) -> DataFrame:
     calls = _model_calls(spark, d)
     by_model = F.concat_ws("|", F.coalesce("model_id", F.lit("none")), _outcome())
     by_error = F.when(F.col("error_code").isNotNull(), F.concat(F.lit("error|"), "error_code"))
-    return features.sparse_features(calls, "execution_id", [by_model, by_error], "started_at_epoch_ms", ["input_tokens", "output_tokens"])
+    codes = features.kind_codes(table(spark, d, "model_call"), [by_model, by_error])
+    return features.sparse_features(calls, "execution_id", [by_model, by_error], "started_at_epoch_ms", ["input_tokens", "output_tokens"], codes)
 
 
 def p4_features(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,8 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
     """The vectors with a kind for each model, outcome and error together."""
     calls = _model_calls(spark, d)
     kind = F.concat_ws("|", F.coalesce("model_id", F.lit("none")), _outcome(), F.coalesce("error_code", F.lit("none")))
-    out = features.sparse_features(calls, "execution_id", [kind], "started_at_epoch_ms", ["input_tokens", "output_tokens"])
+    codes = features.kind_codes(table(spark, d, "model_call"), [kind])
+    out = features.sparse_features(calls, "execution_id", [kind], "started_at_epoch_ms", ["input_tokens", "output_tokens"], codes)
     return out.withColumnRenamed("last", "last_started_ms")
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import features
@@ -13,6 +14,21 @@ def test_wide_equals_counting(spark):
     assert wide["e1"]["n__a_b"] == 2 and wide["e1"]["n__a_b_1"] == 1 and wide["e1"]["total_v__a_b"] == 10 and wide["e2"]["n__a_b"] == 0 and wide["e2"]["last__z"] is None
 
 
+def test_codes_are_shuffled(spark):
+    """The vectors are grouped by integers, also with a dictionary of more kinds than the events have; one that lacks a kind is an error."""
+    df = spark.createDataFrame([("e1", "a", "x", 1, 2), ("e1", "a", None, 3, 4), ("e2", None, "x", 5, None)], "e string, k string, l string, t bigint, v bigint")
+    kinds = [F.col("k"), F.col("l")]
+    more = features.kind_codes(df.union(df.withColumn("k", F.lit("0"))), kinds)
+    assert [tuple(r) for r in more.orderBy("code").collect()] == [("0", 0), ("a", 1), ("x", 2)]
+    sparse = features.sparse_features(df, "e", kinds, "t", ["v"], more)
+    assert sorted(tuple(r) for r in sparse.collect()) == [("e1", "a", 2, 3, 6), ("e1", "x", 1, 1, 2), ("e2", "x", 1, 5, None)]
+    plan = sparse._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(grouped) == 2 and all("kind" not in line.split("]")[0] and "__k" not in line.split("]")[0] for line in grouped)
+    with pytest.raises(Exception, match="no code for the kind a"):
+        features.sparse_features(df, "e", kinds, "t", ["v"], more.where("kind <> 'a'")).collect()
+
+
 def test_latest_state(spark):
     data = [("k", 1, None, "early"), ("k", 1, 9, "done"), ("k", 1, 9, "done"), (None, 5, 5, "lost")]
     df = spark.createDataFrame(data, "id string, loaded int, ended int, what string")
