@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from graphloom.engine import Engine
 from graphloom.operators import governed, graph, reason, text
 from graphloom.plans.values import TERM
-from graphloom.queries.tables import ALL, engine
+from graphloom.queries.tables import ALL, MAPPINGS, engine
 from graphloom.session import table
 from graphloom.sources import rdf
-from graphloom.sources.mapping import VirtualSource
+from graphloom.sources.mapping import Mapping, VirtualSource
 
 #: A small ontology over the tables: classes of places, and properties that say what follows.
 ONTOLOGY = """
@@ -101,6 +101,19 @@ def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("iri", "id")
 
 
+def capability_all(spark: SparkSession, d: str) -> DataFrame:
+    """The capability index of all mapped tables, which grow with the scale."""
+    return graph.capability_index(_tables(spark, d, [m.name for m in MAPPINGS]))
+
+
+def dictionary_all(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of all mapped tables by ids of one dictionary, counted by predicate and graph."""
+    quads = _tables(spark, d, [m.name for m in MAPPINGS])
+    terms = graph.dictionary(quads)
+    counts = graph.encoded(quads, terms).groupBy("p", "g").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(terms.withColumnRenamed("id", "p"), "p").select(F.split("term_key", "\0")[1].alias("iri"), "g", "n")
+
+
 def encoded_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts by ids, decoded again through the dictionary: an exact round trip, counted by predicate."""
     quads = _tables(spark, d, ["region", "nation", "customer"])
@@ -201,10 +214,26 @@ def routed_graphs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (entail_subclass, entail_domain_range, entail_chain, entail_scope, closure_materialize, sameas_rep, hydrate, capability_index, dictionary_encode, encoded_facts, adjacency_degree, semijoin_reduce, query_log, nearest_rank, mapped_observations, invalid_literals, without_source, encoded_join, leaf_scan, routed_graphs, chunk_text, reduce_context, memory_search)
+    for f in (entail_subclass, entail_domain_range, entail_chain, entail_scope, closure_materialize, sameas_rep, hydrate, capability_index, dictionary_encode, capability_all, dictionary_all, encoded_facts, adjacency_degree, semijoin_reduce, query_log, nearest_rank, mapped_observations, invalid_literals, without_source, encoded_join, leaf_scan, routed_graphs, chunk_text, reduce_context, memory_search)
 }
 
+
+
+def _facts_of(m: Mapping) -> str:
+    """The facts of a mapped table by predicate: columns that are not null, references, and the class of each row."""
+    hidden = f" EXCLUDE ({', '.join(m.payload)})" if m.payload else ""
+    parts = [f"SELECT 'urn:p:' || c AS iri, count(*) AS n FROM (UNPIVOT (SELECT COLUMNS(*{hidden})::VARCHAR FROM {m.name}) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY 1"]
+    parts += [f"SELECT 'urn:p:{c}:ref', count({c}) FROM {m.name}" for c, _ in m.links]
+    parts.append(f"SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', count(*) FROM {m.name}")
+    return " UNION ALL ".join(f"SELECT iri, 'urn:g:{m.name}' AS g, n FROM ({x}) x(iri, n) WHERE n > 0" for x in parts)
+
+
+_FACTS = "facts AS (" + " UNION ALL ".join(map(_facts_of, MAPPINGS)) + ")"
+
 SQL: dict[str, str] = {
+    "dictionary_all": f"WITH {_FACTS} SELECT iri, g, n FROM facts",
+    "capability_all": f"""WITH {_FACTS} SELECT 'predicate' AS kind, iri, string_agg(g, ' ' ORDER BY g) AS graphs, sum(n)::BIGINT AS n FROM facts GROUP BY iri
+UNION ALL SELECT 'class', replace(g, 'urn:g:', 'urn:c:'), g, n FROM facts WHERE iri LIKE '%#type'""",
     "invalid_literals": "SELECT input_tokens::VARCHAR AS value, 'unsignedShort out of range' AS fault, count(*) AS n FROM model_call WHERE input_tokens < 0 OR input_tokens > 65535 GROUP BY 1",
     "without_source": "SELECT 'urn:customer:' || c_custkey AS s FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "encoded_join": "SELECT o_custkey AS c, c_nationkey AS nation, 2 * count(*) AS m, 'o+c' AS proofs FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",

@@ -137,3 +137,13 @@ def test_stream_keeps_each_fact_once(spark, tmp_path):
     q = ingest.append_once(ingest.quad_stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_all_tables_are_indexed(spark):
+    """The dictionary's facts and the capability index take every mapped table, the growing ones included."""
+    from graphloom.queries.graphs import QUERIES
+    from graphloom.queries.tables import MAPPINGS
+
+    d, want = "/root/testdata/sf0.001", {m.graph for m in MAPPINGS}
+    assert {r.g for r in QUERIES["dictionary_all"](spark, d).collect()} == want
+    assert {g for r in QUERIES["capability_all"](spark, d).collect() for g in r.graphs.split(" ")} == want
