@@ -26,11 +26,13 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.matches(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    """Every place where a document and an item share a passage."""
+    shards = checkpoint(leaks.index(table(spark, d, "documents")))
+    return leaks.search(shards, table(spark, d, "eval_item"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_matches(spark, d).select("doc_id", "item_id")
+    return p8_matches(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -52,4 +54,19 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_contexts, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_report)}
 
-SQL: dict[str, str] = {}
+_PASSAGES = r"""plain AS (
+  SELECT 'd' side, doc_id id, lower(text) t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, lower(text) FROM eval_item WHERE text IS NOT NULL),
+bare AS (
+  SELECT side, id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}]', '', 'g'),
+    '</?(?:p|br|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|pre|blockquote|section)(?:\s[^<>]*)?/?>', ' ', 'g'), '</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>', '', 'g'), '(?m)^[ \t]*(?:>[ \t]?)+', '', 'g') t FROM plain),
+readings AS (
+  SELECT side, id, t FROM bare UNION ALL
+  SELECT side, id, regexp_replace(t, '([\p{L}\p{N}])[-\x{2010}\x{2011}][ \t]*\r?\n[ \t]*([\p{L}\p{N}])', '\1\2', 'g') FROM bare),
+lists AS (SELECT side, id, regexp_extract_all(t, '[\p{L}\p{N}]+') w FROM readings),
+grams AS (SELECT DISTINCT side, id, array_to_string(w[k:k + 11], ' ') g FROM (SELECT side, id, w, unnest(range(1, len(w) - 10)) k FROM lists)),
+leaked AS (SELECT DISTINCT a.id doc_id, b.id item_id FROM grams a JOIN grams b ON a.side = 'd' AND b.side = 'i' AND a.g = b.g)"""
+
+SQL: dict[str, str] = {
+    "p8_found": f"WITH {_PASSAGES} SELECT doc_id, item_id FROM leaked",
+    "p8_clean": f"WITH {_PASSAGES} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
+}
