@@ -51,22 +51,23 @@ def p2_periods(spark: SparkSession, d: str) -> DataFrame:
 # 3: hierarchies
 
 
-def _memories(spark: SparkSession, d: str) -> DataFrame:
+def _memories(spark: SparkSession, d: str) -> hierarchy.Resolved:
+    """All links of both types; a memory with one of each, or several of one, keeps them all."""
     edges = table(spark, d, "agent_memory_edge").where(F.lower(F.trim("edge_type")).isin("supersedes", "derived_from"))
-    return hierarchy.links(edges, F.lower("source_memory_id"), F.lower("target_memory_id"), "tenant_id", "created_at_epoch_ms")
+    return hierarchy.resolve(hierarchy.links(edges, F.lower("source_memory_id"), F.lower("target_memory_id"), "tenant_id", "created_at_epoch_ms"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.cycles(hierarchy.resolve(_memories(spark, d))).withColumnRenamed("node", "memory_id")
+    return hierarchy.cycles(_memories(spark, d)).withColumnRenamed("node", "memory_id")
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    out = hierarchy.nodes(hierarchy.resolve(_memories(spark, d), paths=True))
+    out = hierarchy.nodes(_memories(spark, d)).withColumn("path", F.array_join("path", "/"))
     return out.withColumnsRenamed({"node": "memory_id", "root": "root_id"})
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.resolve(_memories(spark, d), paths=True))
+    return hierarchy.descendants(_memories(spark, d))
 
 
 # 4: features

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session names; set for the context at first use.
 
-    The partitions keep their number and order. Where spark.checkpoint.dir is unset and the master is
-    local, a temporary folder is used; a cluster without the setting is an error, since a machine's own
-    folder would not survive the loss of an executor.
+    Where spark.checkpoint.dir is unset and the master is local, a temporary folder is used until the
+    process ends; a cluster without the setting is an error, since a machine's own folder would not
+    survive the loss of an executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,20 +35,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
             if not (sc.master or "").startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint; the partitions keep their number and order."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def round_checkpoint(df: DataFrame) -> DataFrame:
-    """A checkpoint for loops that join a frame with itself, without the size estimate of its plan.
+    """A written table for loops that join a frame with itself; partitions are not kept.
 
-    A checkpoint keeps the estimate, and that of a join is the product of its sides: in such a loop its
-    digits would double each round, and planning soon take longer than the work.
+    A checkpoint keeps the size estimate of its plan, and that of a join is the product of its sides: in
+    such a loop its digits would double each round, and planning soon take longer than the work. A table
+    has the size of its files.
     """
     spark = df.sparkSession
-    kept = checkpoint(df)._jdf
-    fresh = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
-    return DataFrame(fresh, spark)
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
