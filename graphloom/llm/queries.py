@@ -66,7 +66,45 @@ lists AS (SELECT side, id, regexp_extract_all(t, '[\p{L}\p{N}]+') w FROM reading
 grams AS (SELECT DISTINCT side, id, array_to_string(w[k:k + 11], ' ') g FROM (SELECT side, id, w, unnest(range(1, len(w) - 10)) k FROM lists)),
 leaked AS (SELECT DISTINCT a.id doc_id, b.id item_id FROM grams a JOIN grams b ON a.side = 'd' AND b.side = 'i' AND a.g = b.g)"""
 
+_MARK = r"(?:\s*(?:…|\.{3,}|\[[^\[\]\n]{0,24}\]|\((?:more|continued|cont\.|cut|truncated|abridged|snip)[^()\n]{0,20}\)|<(?:more|cut|truncated|snip)>))+\s*$"
+_ITEM, _STOP = r"^\s*(?:[-*+•]|\d+[.)])\s+\S", r"""[.!?]["''”’»)\]]*$"""
+
+
+def _form(line: str) -> str:
+    bare = rf"regexp_replace(trim({line}), '\p{{N}}+', '9', 'g')"
+    return rf"""CASE WHEN NOT regexp_matches({line}, '{_ITEM}') THEN 'line ' || {bare} WHEN contains({bare}, ': ') THEN 'entry ' || string_split_regex({bare}, ':\s+')[-1] ELSE 'item ' || regexp_extract({bare}, '(\S+)$', 1) END"""
+
+
+# a number's point is marked as one that goes on or ends a sentence, since the pattern language can't look ahead
+_ENDINGS = rf"""base AS (
+  SELECT doc_id, source, text t, length(text) chars, strlen(text) bytes, length(text) - length(regexp_extract(right(text, 120), '{_MARK}')) body, E' \t\r\n\f\v' || chr(160) || chr(8203) blanks FROM documents),
+ended AS (SELECT *, coalesce(rtrim(left(t, body), blanks), '') e FROM base),
+tails AS (SELECT *, regexp_extract(e, '[^\n]*$') last, regexp_replace(regexp_replace(e, '(\p{{N}}\.)(\p{{N}})', '\1⟂\2', 'g'), '(\p{{N}}\.)(\s+[\p{{Lu}}¿¡"#`-]|\n)', '\1⊥\2', 'g') points FROM ended),
+told AS (
+  SELECT doc_id, source, chars, bytes, body, last, t IS NULL OR trim(t, blanks) = '' blank, body < chars marked, len(regexp_extract_all(e, '(?m)^[ \t>]*```')) % 2 = 1 in_code,
+    right(left(e, length(e) - length(last)), 200) before, {_form("last")} form, regexp_matches(last, '{_STOP}') stop, regexp_matches(last, '{_ITEM}') is_list, regexp_extract(last, '(\p{{L}}+ \p{{L}}+) \p{{N}}+\.$', 1) context,
+    regexp_extract_all(e, '(?m)^([ \t]*(?:[-*+•]|\d+[.)])[ \t]+[^\n]*)\n', 1) entries, regexp_extract_all(points, '(\p{{L}}+ \p{{L}}+) \p{{N}}+\.⊥', 1) ends, regexp_extract_all(points, '(\p{{L}}+ \p{{L}}+) \p{{N}}+\.⟂', 1) goes_on FROM tails),
+lengths AS (SELECT source, unit, length, count(*) n FROM told UNPIVOT (length FOR unit IN (chars, bytes, body)) GROUP BY ALL),
+rated AS (
+  SELECT *, (sum(n) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) - n) / 100 near,
+    sum(n) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) longer, sum(n) OVER (PARTITION BY source, unit) n_source FROM lengths),
+spikes AS (SELECT * FROM rated WHERE n >= greatest(4, n_source * 0.004) AND n >= 10 * near AND n >= longer * 0.25),
+seen AS (
+  SELECT *, EXISTS (FROM spikes s WHERE s.source IS NOT DISTINCT FROM a.source AND ((unit = 'chars' AND length = chars) OR (unit = 'bytes' AND length = bytes) OR (unit = 'body' AND length = body))) at_spike FROM told a),
+plain AS (SELECT form, count(*) n FROM seen WHERE NOT at_spike AND NOT marked AND NOT in_code AND last <> '' AND NOT is_list AND NOT stop GROUP BY form HAVING count(DISTINCT before) >= 2),
+known AS (
+  SELECT form FROM plain p WHERE n >= 0.1 * (SELECT count(*) FROM seen s WHERE NOT is_list AND starts_with(s.form, p.form)) UNION ALL
+  SELECT {_form("x")} FROM (SELECT doc_id, unnest(entries) x FROM seen) WHERE NOT regexp_matches(x, '{_STOP}') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+points AS (SELECT context, sum(w) w FROM (SELECT DISTINCT doc_id, unnest(ends) context, 1 w FROM seen UNION ALL SELECT DISTINCT doc_id, unnest(goes_on), -1 FROM seen) GROUP BY 1),
+judged AS (
+  SELECT doc_id, source, at_spike, NOT blank AND (in_code OR NOT (regexp_matches(last, '^[ \t>]*```[ \t]*$') OR coalesce(form IN (FROM known), false)
+    OR (stop AND NOT regexp_matches(last, '^\s*\p{{N}}+[.)]$') AND coalesce((SELECT w FROM points p WHERE p.context = s.context), 0) >= 0))) cut FROM seen s)"""
+
 SQL: dict[str, str] = {
     "p8_found": f"WITH {_PASSAGES} SELECT doc_id, item_id FROM leaked",
     "p8_clean": f"WITH {_PASSAGES} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
+    "p9_found": f"WITH {_ENDINGS} SELECT doc_id FROM judged WHERE cut",
+    "p9_report": f"""WITH {_ENDINGS}, limits AS (SELECT source, string_agg(unit || ':' || length, ' ' ORDER BY unit || ':' || length) limits FROM spikes GROUP BY source)
+SELECT source, count(*) AS n_texts, count(*) FILTER (cut) AS n_cut, round(count(*) FILTER (cut) / count(*), 6) AS cut_share, count(*) FILTER (cut AND at_spike) AS n_cut_at_limit, coalesce(any_value(limits), '') AS limits
+FROM judged LEFT JOIN limits USING (source) GROUP BY source""",
 }

@@ -56,6 +56,36 @@ def test_limit(judged):
     assert row.n_texts == 120 and "chars:500" in row.limits and row.n_cut == row.n_cut_at_limit > 40
 
 
+def judge(spark, rows):
+    found = truncation.endings(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
+    return {r.doc_id: r.cut for r in found.texts.collect()}
+
+
+def test_a_long_closing_line(spark):
+    line = "Sent on behalf of the duty officers of the northern and the southern region"
+    assert len(line) > 60
+    got = judge(spark, [(i, f"Report {i} was read{' again' * (i % 9)}.\n\n{line}", "mail") for i in range(50)] + [(99, "Report 7 was read.\n\n" + line[:-9], "mail")])
+    assert [i for i, cut in got.items() if cut] == [99]
+
+
+def test_other_texts_change_nothing(spark):
+    few = [(i, f"Case {'x' * i} was closed.\n\nGreetings from the archive", "a") for i in range(4)] + [(10, "Case y was closed.\n\nGreetings from the arc", "a"), (11, "The rate rose to 6.", "a"), (12, "The rate rose to 6.5 again.", "a")]
+    many = [(100 + i, f"Entry {i} is whole and says so{' indeed' * (i % 200)}.", "b") for i in range(20_000)]
+    alone, among = judge(spark, few), judge(spark, few + many)
+    assert alone == {k: v for k, v in among.items() if k < 100} == {0: False, 1: False, 2: False, 3: False, 10: True, 11: True, 12: False}
+
+
+def test_reasons_and_the_maximum(spark):
+    body = " ".join(SENTENCES * 9)
+    rows = [(i, (f"Case {i}. " + body)[:500], "limited") for i in range(40)] + [(100 + i, f"Case {i}. " + body[: 100 + 7 * i], "free") for i in range(40)]
+    rows += [(200 + i, f"Case {1000 + i}. Nothing changed!", "free") for i in range(12)]  # equal lengths, but others are longer
+    found = truncation.endings(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
+    assert {(r.source, r.length) for r in found.spikes.collect()} == {("limited", 500)}
+    got = {r.doc_id: (r.cut, r.reason) for r in found.texts.collect()}
+    assert all(r == (cut, ("limit" if i < 100 else "transfer") if cut else None) for i, r in got.items() for cut in [r[0]])
+    assert sum(r[0] for i, r in got.items() if i < 100) > 25 and not any(r[0] for i, r in got.items() if i >= 200)
+
+
 def test_empty(spark):
     found = truncation.endings(spark.createDataFrame([], "doc_id bigint, text string, source string"), "doc_id", "text", "source")
     assert found.texts.collect() == [] and truncation.per_source(found).collect() == []
