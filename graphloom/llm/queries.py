@@ -7,10 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, packing, truncation
+from graphloom.llm import leaks, packing, quantiles, truncation
+from graphloom.operators.features import latest_state
 from graphloom.session import checkpoint, table
 
 CAPACITY = 2048
+QS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def _durations(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Observations sent twice count once; durations that are null or not above 0 are none; engines are compared in lower case without blanks."""
+    rows = table(spark, d, "performance_observation")
+    keep = ["observation_id", "scenarioid", "engine", "partition_no", "durationnanoseconds"]
+    last = latest_state(rows, "observation_id", [F.col("loaded_at")], [*keep[1:], "observation_id"])
+    return last.where("durationnanoseconds > 0").withColumn("engine", F.nullif(F.lower(F.trim("engine")), F.lit(""))), quantiles.blocks_for(rows.count())
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["scenarioid", "engine"]
+    rows, blocks = _durations(spark, d)
+    return quantiles.percentiles(quantiles.summaries(rows, keys, "durationnanoseconds", F.col("observation_id"), blocks), keys, QS)
+
+
+def p5_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Each partition's own percentiles, and with a null partition_no those of all, made of the same summaries."""
+    keys = ["scenarioid", "engine"]
+    rows, blocks = _durations(spark, d)
+    parts = checkpoint(quantiles.summaries(rows, [*keys, "partition_no"], "durationnanoseconds", F.col("observation_id"), blocks))
+    own = quantiles.percentiles(parts, [*keys, "partition_no"], QS)
+    together = quantiles.percentiles(quantiles.combine(parts, keys, "partition_no"), keys, QS)
+    return own.unionByName(together.withColumn("partition_no", F.lit(None).cast("int")))
+
+
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """For each trial phase, from summaries of 128 tuples, whether the true ranks of all answers lie within the stated error."""
+    raw = table(spark, d, "performance_observation")
+    last = latest_state(raw, "observation_id", [F.col("loaded_at")], ["trialphase", "durationnanoseconds", "observation_id"])
+    rows = checkpoint(last.where("durationnanoseconds > 0").select("trialphase", F.col("durationnanoseconds").alias("v"), "observation_id"))
+    got = quantiles.percentiles(quantiles.summaries(rows, ["trialphase"], "v", F.col("observation_id"), size=128), ["trialphase"], QS)
+    answers = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"p{q * 100:g}").alias("answer")) for q in QS])
+    long = got.select("trialphase", "n", "rank_error", F.inline(answers))  # a few rows a phase
+    ranked = rows.join(F.broadcast(long.withColumnRenamed("trialphase", "t")), F.col("trialphase").eqNullSafe(F.col("t"))).groupBy("t", "q", "n", "rank_error").agg((F.count_if(F.col("v") < F.col("answer")) + 1).alias("lo"), F.count_if(F.col("v") <= F.col("answer")).alias("hi"))
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n"), 9)))
+    true_error = F.greatest(F.col("lo") - rank, rank - F.col("hi"), F.lit(0))
+    within = F.bool_and(true_error <= F.col("rank_error")) & (F.max("rank_error") <= 0.05 * F.max("n"))
+    return ranked.groupBy("t").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_answers"), within.alias("within_bounds"), (F.max("rank_error") > 0).alias("compressed")).withColumnRenamed("t", "trialphase")
 
 
 def p7_contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +93,19 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.per_source(_endings(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_contexts, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_percentiles, p5_partitions, p5_bounds, p7_contexts, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_report)}
+
+_DURATIONS = """obs AS (
+  SELECT scenarioid, nullif(lower(trim(engine)), '') engine, partition_no, trialphase, durationnanoseconds v FROM (
+    SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY loaded_at DESC, durationnanoseconds DESC NULLS LAST) rn
+    FROM performance_observation WHERE observation_id IS NOT NULL) WHERE rn = 1 AND durationnanoseconds > 0)"""
+
+
+def _percentiles(keys: str, extra: str = "") -> str:
+    ranks = ", ".join(f"max(CASE WHEN rn = greatest(1, ceil(round({q} * n, 9))) THEN v END)::BIGINT AS p{q * 100:g}" for q in QS)
+    return f"""SELECT {keys}{extra}, max(n)::BIGINT n, {ranks}, 0::BIGINT rank_error FROM (
+  SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY v) rn, count(*) OVER (PARTITION BY {keys}) n FROM obs) GROUP BY {keys}"""
+
 
 _PASSAGES = r"""plain AS (
   SELECT 'd' side, doc_id id, lower(text) t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, lower(text) FROM eval_item WHERE text IS NOT NULL),
@@ -101,6 +154,9 @@ judged AS (
     OR (stop AND NOT regexp_matches(last, '^\s*\p{{N}}+[.)]$') AND coalesce((SELECT w FROM points p WHERE p.context = s.context), 0) >= 0))) cut FROM seen s)"""
 
 SQL: dict[str, str] = {
+    "p5_percentiles": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine')}",
+    "p5_partitions": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine, partition_no')} UNION ALL BY NAME {_percentiles('scenarioid, engine', ', NULL::INTEGER partition_no')}",
+    "p5_bounds": f"WITH {_DURATIONS} SELECT trialphase, count(*) AS n, {len(QS)}::BIGINT AS n_answers, true AS within_bounds, true AS compressed FROM obs GROUP BY trialphase",
     "p8_found": f"WITH {_PASSAGES} SELECT doc_id, item_id FROM leaked",
     "p8_clean": f"WITH {_PASSAGES} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
     "p9_found": f"WITH {_ENDINGS} SELECT doc_id FROM judged WHERE cut",
