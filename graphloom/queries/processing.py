@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import drift, features, hierarchy, intervals, quantiles, references
+from graphloom.operators import drift, features, hierarchy, intervals, references
 from graphloom.session import checkpoint, table
 
-QS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-
 
 # 1: schemas that drift
 
@@ -111,30 +109,6 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("last", "last_started_ms")
 
 
-# 5: percentiles
-
-
-def _durations(spark: SparkSession, d: str) -> DataFrame:
-    """Observations sent twice count once; durations that are null or not above 0 are none; engines are compared in lower case without blanks."""
-    keep = ["scenarioid", "engine", "partition_no", "durationnanoseconds"]
-    rows = features.latest_state(table(spark, d, "performance_observation"), "observation_id", [F.col("loaded_at")], keep)
-    return rows.where("durationnanoseconds > 0").withColumn("engine", F.nullif(F.lower(F.trim("engine")), F.lit("")))
-
-
-def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["scenarioid", "engine"]
-    return quantiles.percentiles(quantiles.summaries(_durations(spark, d), keys, "durationnanoseconds"), keys, QS)
-
-
-def p5_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """Each partition's own percentiles, and with a null partition_no those of all, made of the same summaries."""
-    keys = ["scenarioid", "engine"]
-    parts = checkpoint(quantiles.summaries(_durations(spark, d), [*keys, "partition_no"], "durationnanoseconds"))
-    own = quantiles.percentiles(parts, [*keys, "partition_no"], QS)
-    together = quantiles.percentiles(quantiles.combine_tree(parts, keys, "partition_no"), keys, QS)
-    return own.unionByName(together.withColumn("partition_no", F.lit(None).cast("int")))
-
-
 # 6: references
 
 CLAIM = references.Reference("claim_validation", "query_execution_id", "query", "validation_id", "created_at_epoch_ms")
@@ -158,7 +132,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.per_period(_orphans(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scripts, p1_checks, p2_found, p2_periods, p3_found, p3_paths, p3_descendants, p4_features, p4_vectors, p4_kinds, p5_percentiles, p5_partitions, p6_found, p6_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scripts, p1_checks, p2_found, p2_periods, p3_found, p3_paths, p3_descendants, p4_features, p4_vectors, p4_kinds, p6_found, p6_report)}
 
 _SPANS = """spans AS (
   SELECT execution_id e, started_at_epoch_ms s, ended_at_epoch_ms t FROM model_call UNION ALL
@@ -184,18 +158,6 @@ marked AS (
   SELECT *, coalesce(model_id, 'none') || '|' || coalesce(nullif(upper(trim(outcome)), ''), 'OPEN') kind FROM calls
   UNION ALL SELECT *, 'error|' || error_code FROM calls WHERE error_code IS NOT NULL)"""
 
-_DURATIONS = """obs AS (
-  SELECT scenarioid, nullif(lower(trim(engine)), '') engine, partition_no, durationnanoseconds v FROM (
-    SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY loaded_at DESC, durationnanoseconds DESC NULLS LAST) rn
-    FROM performance_observation WHERE observation_id IS NOT NULL) WHERE rn = 1 AND durationnanoseconds > 0)"""
-
-
-def _percentiles(keys: str, extra: str = "") -> str:
-    ranks = ", ".join(f"max(CASE WHEN rn = greatest(1, ceil(round({q} * n, 9))) THEN v END)::BIGINT AS p{q * 100:g}" for q in QS)
-    return f"""SELECT {keys}{extra}, max(n)::BIGINT n, {ranks}, 0::BIGINT rank_error FROM (
-  SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY v) rn, count(*) OVER (PARTITION BY {keys}) n FROM obs) GROUP BY {keys}"""
-
-
 _UUID = "regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^urn:uuid:', ''), '^[{{]|[}}]$', '', 'g'), '-', '', 'g')"
 _Q, _A = _UUID.format(c="query_execution_id"), _UUID.format(c="approval_id")
 
@@ -228,8 +190,6 @@ FROM (SELECT node, depth, up, unnest(range(1, depth + 1)) i FROM tree) t, LATERA
 sum(CASE WHEN input_tokens >= 0 THEN input_tokens END)::BIGINT AS total_input_tokens, sum(CASE WHEN output_tokens >= 0 THEN output_tokens END)::BIGINT AS total_output_tokens FROM marked GROUP BY 1, 2""",
     "p4_kinds": f"""WITH {_CALLS} SELECT execution_id, kind || '|' || coalesce(error_code, 'none') AS kind, count(*) AS n, max(started_at_epoch_ms) AS last_started_ms,
 sum(CASE WHEN input_tokens >= 0 THEN input_tokens END)::BIGINT AS total_input_tokens, sum(CASE WHEN output_tokens >= 0 THEN output_tokens END)::BIGINT AS total_output_tokens FROM marked WHERE kind NOT LIKE 'error|%' GROUP BY 1, 2""",
-    "p5_percentiles": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine')}",
-    "p5_partitions": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine, partition_no')} UNION ALL BY NAME {_percentiles('scenarioid, engine', ', NULL::INTEGER partition_no')}",
     "p6_found": f"WITH {_ORPHANS} SELECT ref_table, ref_field, row_id, case_kind FROM cases WHERE case_kind IS NOT NULL",
     "p6_report": f"WITH {_ORPHANS} SELECT ref_table, ref_field, case_kind, strftime(make_timestamp(at_ms * 1000), '%Y-%m') AS period, count(*) AS n FROM cases WHERE case_kind IS NOT NULL GROUP BY ALL",
 }
