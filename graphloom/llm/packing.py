@@ -4,12 +4,16 @@ Bin completion: a context is opened with the largest text left; the undominated
 fit beside it are tried, fullest first, and whole packings are bounded by the space they must waste. The
 best-fit packing is the first incumbent. Each group of texts is packed on its own; groups have a bounded
 number of texts, so a group wastes at most part of one context beyond what it must.
+
+A packing that reaches the lower bound is proven best. For other groups contexts are searched in windows,
+and then the whole group within a budget of nodes; without a budget the search is exact.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -25,6 +29,10 @@ COMPLETIONS, NODES = 40, 400
 STEPS = 1_200
 #: Contexts searched together; a window's packing is settled before the next is opened.
 WINDOW = 6
+#: Equal rows numbered at once.
+COPIES = 10_000
+#: Nodes of the search over a whole group, where the windows' packing is not proven best.
+GROUP_NODES = 2_000
 
 
 def token_counts(df: DataFrame, text: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern: str | None = None, out: str = "n_tokens") -> DataFrame:
@@ -106,19 +114,19 @@ def _sums(pool: _Pool, sizes: list[int], room: int) -> list[int]:
     return reach
 
 
-def completions(pool: _Pool, keys: np.ndarray, room: int, most: int = COMPLETIONS) -> Iterator[tuple[int, ...]]:
-    """Undominated sets of sizes that fit a room, fullest first: all of them, or the first `most`.
+def completions(pool: _Pool, keys: np.ndarray, room: int, most: int | None = COMPLETIONS) -> Iterator[tuple[int, ...]]:
+    """Undominated sets of sizes that fit a room, fullest first: the first `most`, or with None all of them.
 
     A set is dominated if a size left out could be added, or could take the place of a smaller one, and
     still fit. The sums that the smaller sizes can add up to are worked out first, so the search for the
     sets of one sum, from large to small, enters no branch that misses it. None of the fullest is
-    dominated; those of a smaller sum are found within STEPS steps in all. The pool may change between
-    two sets.
+    dominated; those of a smaller sum are found within STEPS steps in all, unless all are asked for. The
+    pool may change between two sets.
     """
     sizes = [int(k) for k in keys if k <= room]
     counts = dict(pool.n)
     reach = _sums(pool, sizes, room)
-    steps = STEPS
+    steps = STEPS if most is not None else 1 << 62
 
     def search(i: int, left: int, chosen: tuple[int, ...], waste: int, free: bool) -> Iterator[tuple[int, ...]]:
         nonlocal steps
@@ -147,44 +155,139 @@ def _dominated(counts: dict[int, int], chosen: tuple[int, ...], left: int) -> bo
     return any(rest.get(d, 0) > 0 for d in range(1, left + 1)) or any(rest.get(s + d, 0) > 0 for s in set(chosen) for d in range(1, left + 1))
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The context number of each size, all of them from 1 to capacity.
-
-    Contexts are searched in windows: within one, depth first over completions of the largest size left,
-    cut where the waste so far cannot beat the window's best. Best fit of everything is the incumbent of
-    the whole; the result is the better of the two, so it is never worse than best fit.
+def _full(pool: _Pool, keys: list[int], room: int) -> tuple[int, ...] | None:
+    """Sizes that fill a room to the brim, if large ones and a last pair do; keys are the sizes left, largest first."""
+    chosen: list[int] = []
+    used: dict[int, int] = {}
+
+    def free(s: int) -> int:
+        return pool.n.get(s, 0) - used.get(s, 0)
+
+    for s in keys:
+        while s <= room and free(s) > 0:
+            for t in (room,) if free(room) > 0 else ():
+                return (*chosen, t)
+            if 2 * s < room and free(room - s) > 0:
+                return tuple(sorted((*chosen, s, room - s), reverse=True))
+            chosen.append(s)
+            used[s] = used.get(s, 0) + 1
+            room -= s
+            if not room:
+                return tuple(chosen)
+    return None
+
+
+def least_contexts(sizes: np.ndarray, capacity: int) -> int:
+    """A lower bound: for each k, texts that leave less than k free beside them, those above half, and what the rest of at least k must add to these."""
+    s = np.sort(np.asarray(sizes, np.int64))
+    if not len(s):
+        return 0
+    total = np.concatenate(([0], np.cumsum(s)))
+    k = np.unique(np.concatenate(([0], s[s * 2 <= capacity])))
+    above, half, from_k = (np.searchsorted(s, x, "right") for x in (capacity - k, np.full(len(k), capacity // 2), k - 1))
+    above = np.maximum(above, half)
+    large, middle = len(s) - above, above - half
+    free = middle * capacity - (total[above] - total[half])
+    more = np.maximum(0, total[half] - total[np.minimum(from_k, half)] - free)
+    return int((large + middle + -(-more // capacity)).max())
+
+
+@dataclass(frozen=True)
+class Packing:
+    """where: the context of each size; least: the lower bound; proven: whether no packing has fewer contexts; nodes: searched."""
+
+    where: np.ndarray
+    best_fit: int
+    contexts: int
+    least: int
+    proven: bool
+    nodes: int
+
+
+def pack(sizes: np.ndarray, capacity: int, nodes: int | None = GROUP_NODES) -> Packing:
+    """The contexts of sizes, all from 1 to capacity, by bin completion.
+
+    Best fit of everything is the incumbent. Contexts are completed in windows, depth first over the
+    completions of the largest size left, cut where the waste so far can't beat the window's best. Where
+    that misses the lower bound, the whole group is searched: nodes limits it, and None never does, so
+    that the result is then the best there is. It is never worse than best fit.
     """
     order = np.argsort(-sizes, kind="stable")
     ordered = [int(s) for s in sizes[order]]
-    incumbent = _best_fit(ordered, capacity)
-    bound = -(-sum(ordered) // capacity)
-    bins = incumbent if len(incumbent) <= bound else _completed(ordered, capacity, len(incumbent)) or incumbent
+    best_fit = [tuple(ordered[i] for i in c) for c in _best_fit(ordered, capacity)]
+    least = least_contexts(sizes, capacity)
+    bins = _completed(ordered, capacity, len(best_fit)) or best_fit
+    seen, proven = 0, len(bins) <= least
+    if not proven:
+        bins, proven, seen = _whole(ordered, capacity, bins, least, nodes)
+    places: dict[int, list[int]] = {}
+    for i, s in enumerate(ordered):
+        places.setdefault(s, []).append(int(order[i]))
     out = np.empty(len(sizes), np.int64)
-    for number, members in enumerate(bins):
-        out[order[members]] = number
-    return out
+    for number, chosen in enumerate(bins):
+        for s in chosen:
+            out[places[s].pop()] = number
+    return Packing(out, len(best_fit), len(bins), least, proven, seen)
 
 
-def _completed(ordered: list[int], capacity: int, best: int) -> list[list[int]] | None:
-    """Bin completion; None if it needs as many contexts as the incumbent."""
+def _completed(ordered: list[int], capacity: int, best: int) -> list[tuple[int, ...]] | None:
+    """Windows of completed contexts; None if there are more than the incumbent has."""
     pool = _Pool(ordered)
-    allowed = (best - 1) * capacity - sum(ordered)  # waste that still beats the incumbent
+    allowed = best * capacity - sum(ordered)  # waste that doesn't lose to the incumbent
     packed: list[tuple[int, ...]] = []
     wasted = 0
     while pool.largest() is not None:
-        window = _window(pool, capacity)
-        for chosen in window:
+        for chosen in _window(pool, capacity):
             pool.take(chosen)
             packed.append(chosen)
             wasted += capacity - sum(chosen)
         if wasted > allowed + capacity:  # one context, the last, may be left open
             return None
-    if len(packed) >= best:
-        return None
-    places: dict[int, list[int]] = {}
-    for i, s in enumerate(ordered):
-        places.setdefault(s, []).append(i)
-    return [[places[s].pop() for s in chosen] for chosen in packed]
+    return packed if len(packed) <= best else None
+
+
+def _whole(ordered: list[int], capacity: int, best: list[tuple[int, ...]], least: int, nodes: int | None) -> tuple[list[tuple[int, ...]], bool, int]:
+    """Bin completion of a whole group: the best packing found, whether it is proven best, and the nodes it took.
+
+    A branch is left where its contexts and the lower bound of what is left don't beat the best packing.
+    It is a loop over a stack of completions, so a group may have any number of contexts.
+    """
+    pool = _Pool(ordered)
+    done: list[tuple[int, ...]] = []
+    seen = 0
+
+    def options() -> Iterator[tuple[int, ...]]:
+        left = np.repeat(*zip(*((k, n) for k, n in pool.n.items() if n), strict=True))
+        if len(done) + least_contexts(left, capacity) >= len(best):
+            return iter(())
+        top = int(left.max())
+        pool.n[top] -= 1
+        found = completions(pool, np.unique(left)[::-1] if pool.n[top] else np.unique(left)[-2::-1], capacity - top, None)
+        pool.n[top] += 1
+        return ((top, *rest) for rest in found)
+
+    stack = [options()] if ordered else []
+    while stack:
+        if nodes is not None and seen >= nodes:
+            return best, len(best) <= least, seen
+        chosen = next(stack[-1], None)
+        if chosen is None:
+            stack.pop()
+            if done:
+                pool.put(done.pop())
+            continue
+        seen += 1
+        pool.take(chosen)
+        done.append(chosen)
+        if not any(pool.n.values()):
+            if len(done) < len(best):
+                best = list(done)
+                if len(best) <= least:
+                    return best, True, seen
+            pool.put(done.pop())
+        else:
+            stack.append(options())
+    return best, True, seen
 
 
 def _window(pool: _Pool, capacity: int) -> list[tuple[int, ...]]:
@@ -193,24 +296,31 @@ def _window(pool: _Pool, capacity: int) -> list[tuple[int, ...]]:
     least = float("inf")
     nodes = NODES
     sizes = [k for k in pool.keys if pool.n[k] > 0]
-    spare = capacity + 1 - _sums(pool, sizes, capacity)[0].bit_length()  # that any context must waste
     need = min(WINDOW, -(-sum(k * pool.n[k] for k in sizes) // capacity))  # contexts, at least
+    spare = 0  # that any context must waste; worked out once a window that wastes nothing wasn't found
+
+    def options(keys: np.ndarray) -> Iterator[tuple[int, ...]]:
+        top = int(keys[0])
+        full = None
+        for quick in (True, False):
+            pool.n[top] -= 1
+            try:
+                found = [f for f in (_full(pool, keys.tolist(), capacity - top),) if f] if quick else completions(pool, keys, capacity - top)
+            finally:
+                pool.n[top] += 1
+            for rest in found:
+                if quick or rest != full:
+                    full = full or rest
+                    yield (top, *rest)
 
     def search(done: list[tuple[int, ...]], waste: int) -> None:
-        nonlocal best, least, nodes
+        nonlocal best, least, nodes, spare
         keys = np.array([k for k in pool.keys if pool.n[k] > 0], np.int64)
         if len(done) == WINDOW or not len(keys):
             if waste < least:
                 best, least = list(done), waste
             return
-        top = int(keys[0])
-        pool.n[top] -= 1
-        try:
-            options = completions(pool, keys, capacity - top)
-        finally:
-            pool.n[top] += 1
-        for rest in options:
-            chosen = (top, *rest)
+        for chosen in options(keys):
             more = waste + capacity - sum(chosen)
             if more + spare * max(0, need - len(done) - 1) >= least:
                 break  # the others waste more
@@ -218,6 +328,8 @@ def _window(pool: _Pool, capacity: int) -> list[tuple[int, ...]]:
             pool.take(chosen)
             search([*done, chosen], more)
             pool.put(chosen)
+            if 0 < least < float("inf") and not spare:
+                spare = capacity + 1 - _sums(pool, sizes, capacity)[0].bit_length()
             if nodes <= 0 or least <= spare * need:
                 return
 
@@ -225,34 +337,54 @@ def _window(pool: _Pool, capacity: int) -> list[tuple[int, ...]]:
     return best
 
 
-def pack_texts(sized: DataFrame, key: str, size: str, capacity: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_texts(sized: DataFrame, key: str, size: str, capacity: int, group_rows: int = GROUP_ROWS, nodes: int | None = GROUP_NODES) -> DataFrame:
     """The context of each text: (key, part, start_token, n_tokens, context_id).
 
     A text longer than the capacity, and only that, is divided: whole parts of exactly the capacity are
     contexts of their own and the rest is packed like a text. A text without tokens is part 0 with the
-    null context. Keys must not be null; of rows that share a key each is packed by itself, in order of
-    their sizes. Only keys and sizes are shuffled, into groups by a hash of the key.
+    null context. Keys must not be null; of rows that share a key each is packed by itself. Only keys and
+    sizes are shuffled, into groups by a hash, in which rows that are the same are counted first and then
+    spread, so no key makes a group large. nodes: of pack(); None proves every group's packing best.
     """
-    n = sized.count()
-    groups = max(1, round(n / group_rows))
     kind = sized.schema[key].dataType.simpleString()
-    rows = sized.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")).where("k is not null")
-    whole = F.expr(f"n div {capacity}")
-    cut = rows.select(
-        "k", F.explode(F.concat(
-            F.transform(F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<bigint>")), lambda i: F.struct((i - 1).cast("int").alias("part"), ((i - 1) * capacity).alias("at"), F.lit(capacity).cast("bigint").alias("n"))),
-            F.when((F.col("n") % capacity > 0) | (F.col("n") == 0), F.array(F.struct(whole.cast("int").alias("part"), (whole * capacity).alias("at"), (F.col("n") % capacity).alias("n")))).otherwise(F.array().cast("array<struct<part:int,at:bigint,n:bigint>>")),
-        )).alias("p"),
-    ).select("k", "p.*")
-    full = cut.where(F.col("n") == capacity).select("k", "part", "at", "n", F.concat(F.lit("full-"), F.col("k").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("c"))
+    cut, groups = _cut(sized, key, size, capacity, group_rows)
+    full = cut.where(F.col("n") == capacity).select("k", "part", "at", "n", F.concat(F.lit("full-"), F.col("k").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit("-"), F.col("copy").cast("string")).alias("c"))
     empty = cut.where("n = 0").select("k", "part", "at", "n", F.lit(None).cast("string").alias("c"))
-    loose = cut.where((F.col("n") > 0) & (F.col("n") < capacity)).withColumn("g", F.pmod(F.xxhash64("k"), F.lit(groups)))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "k", "at"]).reset_index(drop=True)
-        where = pack(pdf.n.to_numpy(), capacity)
+        pdf = pdf.sort_values(["n", "k", "at", "copy"]).reset_index(drop=True)
+        where = pack(pdf.n.to_numpy(), capacity, nodes).where
         return pdf[["k", "part", "at", "n"]].assign(c=[f"{pdf.g.iloc[0]}-{b}" for b in where])
 
-    packed = loose.groupBy("g").applyInPandas(group, f"k {kind}, part int, at bigint, n bigint, c string")
+    packed = _loose(cut, capacity, groups).groupBy("g").applyInPandas(group, f"k {kind}, part int, at bigint, n bigint, c string")
     out = packed.unionByName(full).unionByName(empty)
     return out.select(F.col("k").alias(key), "part", F.col("at").alias("start_token"), F.col("n").cast("int").alias("n_tokens"), F.col("c").alias("context_id"))
+
+
+def pack_report(sized: DataFrame, key: str, size: str, capacity: int, group_rows: int = GROUP_ROWS, nodes: int | None = GROUP_NODES) -> DataFrame:
+    """Of each group that pack_texts() makes: (group_no, n_pieces, n_tokens, best_fit, contexts, least, proven, nodes)."""
+    cut, groups = _cut(sized, key, size, capacity, group_rows)
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pack(pdf.n.to_numpy(), capacity, nodes)
+        return pd.DataFrame([(pdf.g.iloc[0], len(pdf), pdf.n.sum(), p.best_fit, p.contexts, p.least, p.proven, p.nodes)], columns=["group_no", "n_pieces", "n_tokens", "best_fit", "contexts", "least", "proven", "nodes"])
+
+    return _loose(cut, capacity, groups).groupBy("g").applyInPandas(group, "group_no bigint, n_pieces bigint, n_tokens bigint, best_fit int, contexts int, least int, proven boolean, nodes int")
+
+
+def _loose(cut: DataFrame, capacity: int, groups: int) -> DataFrame:
+    return cut.where((F.col("n") > 0) & (F.col("n") < capacity)).withColumn("g", F.pmod(F.xxhash64("k", "at", "n", "copy"), F.lit(groups)))
+
+
+def _cut(sized: DataFrame, key: str, size: str, capacity: int, group_rows: int) -> tuple[DataFrame, int]:
+    """Pieces (k, copy, part, at, n) of at most the capacity, and the number of groups; copy tells equal rows apart."""
+    rows = sized.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")).where("k is not null")
+    counted = rows.groupBy("k", "n").agg(F.count(F.lit(1)).alias("rows"))
+    # copies are numbered in steps, so that no array grows with their number
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(rows - 1) div {COPIES}"))))
+    copies = steps.select("k", "n", F.explode(F.sequence(F.expr(f"step * {COPIES}"), F.expr(f"least(rows, (step + 1) * {COPIES}) - 1"))).alias("copy"))
+    whole = F.expr(f"n div {capacity}")
+    none = F.array().cast("array<struct<part:int,at:bigint,n:bigint>>")
+    full = F.transform(F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<bigint>")), lambda i: F.struct((i - 1).cast("int").alias("part"), ((i - 1) * capacity).alias("at"), F.lit(capacity).cast("bigint").alias("n")))
+    rest = F.when((F.col("n") % capacity > 0) | (F.col("n") == 0), F.array(F.struct(whole.cast("int").alias("part"), (whole * capacity).alias("at"), (F.col("n") % capacity).alias("n")))).otherwise(none)
+    return copies.select("k", "copy", F.explode(F.concat(full, rest)).alias("p")).select("k", "copy", "p.*"), max(1, round(sized.count() / group_rows))

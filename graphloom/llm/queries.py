@@ -59,6 +59,20 @@ def p7_contexts(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(sized, "doc_id", "n_tokens", CAPACITY)
 
 
+def p7_tight(spark: SparkSession, d: str) -> DataFrame:
+    """Small groups and contexts, where best fit often misses the bound: what bin completion makes of each group."""
+    sized = checkpoint(packing.token_counts(table(spark, d, "documents").select("doc_id", "text"), "text"))
+    return packing.pack_report(sized, "doc_id", "n_tokens", 768, 100)
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """With sizes in characters: the pieces of each text, their sum, and whether its contexts are all within the capacity."""
+    packed = checkpoint(packing.pack_texts(table(spark, d, "documents"), "doc_id", "n_chars", 8192))
+    loads = packed.where("context_id is not null").groupBy("context_id").agg(F.sum("n_tokens").alias("load"))
+    pieces = packed.join(loads, "context_id", "left").groupBy("doc_id")
+    return pieces.agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_chars"), F.bool_and(F.coalesce("load", F.lit(0)) <= 8192).alias("within"))
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the contexts are, against the least number that could hold all tokens."""
     contexts = p7_contexts(spark, d).where("context_id is not null").groupBy("context_id").agg(F.sum("n_tokens").alias("n"))
@@ -93,7 +107,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.per_source(_endings(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_percentiles, p5_partitions, p5_bounds, p7_contexts, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_percentiles, p5_partitions, p5_bounds, p7_contexts, p7_fill, p7_tight, p7_pieces, p8_found, p8_matches, p8_clean, p9_found, p9_report)}
 
 _DURATIONS = """obs AS (
   SELECT scenarioid, nullif(lower(trim(engine)), '') engine, partition_no, trialphase, durationnanoseconds v FROM (
@@ -157,6 +171,7 @@ SQL: dict[str, str] = {
     "p5_percentiles": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine')}",
     "p5_partitions": f"WITH {_DURATIONS} {_percentiles('scenarioid, engine, partition_no')} UNION ALL BY NAME {_percentiles('scenarioid, engine', ', NULL::INTEGER partition_no')}",
     "p5_bounds": f"WITH {_DURATIONS} SELECT trialphase, count(*) AS n, {len(QS)}::BIGINT AS n_answers, true AS within_bounds, true AS compressed FROM obs GROUP BY trialphase",
+    "p7_pieces": "SELECT doc_id, greatest(1, ceil(n_chars / 8192))::BIGINT AS n_pieces, n_chars, true AS within FROM documents WHERE doc_id IS NOT NULL",
     "p8_found": f"WITH {_PASSAGES} SELECT doc_id, item_id FROM leaked",
     "p8_clean": f"WITH {_PASSAGES} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
     "p9_found": f"WITH {_ENDINGS} SELECT doc_id FROM judged WHERE cut",
