@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from decimal import Decimal
+from itertools import count
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,42 +54,76 @@ class Lowering:
     services: dict[str, Source] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
     now: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
-
-    def __post_init__(self) -> None:
-        self.fresh = 0
+    numbers: Iterator[int] = field(default_factory=lambda: count(1))
+    outer: Rel | None = None
+    mark: str = ""
 
     @property
     def spark(self) -> SparkSession:
         return self.source.spark
 
     def new(self) -> Var:
-        self.fresh += 1
-        return Var(f".l{self.fresh}")
+        return Var(f".l{next(self.numbers)}")
+
+    # an EXISTS whose pattern refers to its solution in a nested place is lowered over the solutions' distinct bindings
+
+    def within(self, rel: Rel, pattern) -> Lowering:
+        """A lowering of the pattern over the bindings it uses; its mark tells them apart."""
+        used = {x.name for x in A.walk(pattern) if isinstance(x, Var)} | set(A.visible(pattern))
+        names = [n for n in rel.vars if n in used or n == self.mark]
+        bindings = rel.project(names).distinct()
+        mark = f".o{next(self.numbers)}"
+        return replace(self, outer=bindings.extend(mark, row_value(bindings.vars)), mark=mark)
+
+    def correlated(self, rel: Rel) -> Rel:
+        """A relation for each binding of the solutions around it."""
+        return rel if self.outer is None or self.mark in rel.vars else join(self.outer, rel)
+
+    def leaf(self, rel: Rel) -> Rel:
+        return self.correlated(rel) if self.outer is not None and set(rel.vars) & set(self.outer.vars) else rel
+
+    def needs(self, e) -> bool:
+        return self.outer is not None and e is not None and any(isinstance(x, Var) and x.name in self.outer.vars for x in A.walk(e))
+
+    def sides(self, a, b, scope: Scope, e=None) -> tuple[Rel, Rel]:
+        """Two patterns; if one is correlated, or their expression is, both are."""
+        x, y = self(a, scope), self(b, scope)
+        if self.outer is not None and (self.mark in x.vars or self.mark in y.vars or self.needs(e)):
+            return self.correlated(x), self.correlated(y)
+        return x, y
 
     # patterns
 
     def __call__(self, p, scope: Scope = Scope()) -> Rel:
         match p:
             case A.Bgp(triples):
-                return self.bgp(triples, scope)
+                return self.leaf(self.bgp(triples, scope))
             case A.Join(a, b):
                 return join(self(a, scope), self(b, scope))
             case A.LeftJoin(a, b, e):
-                return left_join(self(a, scope), self(b, scope), self.extra(e, scope))
+                x, y = self.sides(a, b, scope, e)
+                return self.optional(x, y, e, scope)
             case A.Union(a, b):
-                return union(self(a, scope), self(b, scope))
+                return union(*self.sides(a, b, scope))
             case A.Minus(a, b):
-                return semi(self(a, scope), self(b, scope), True, minus=True, graph=scope.var)
+                x, y = self.sides(a, b, scope)
+                bound = set(self.outer.vars) if self.outer is not None else set()
+                return semi(x, y, True, minus=True, apart={scope.var} | bound)
             case A.Filter(e, inner):
                 return self.filter(e, inner, scope)
             case A.Extend(inner, name, e):
-                return self.extend(self(inner, scope), name, e, scope)
+                rel = self(inner, scope)
+                return self.extend(self.correlated(rel) if self.needs(e) else rel, name, e, scope)
             case A.Graph(name, inner):
-                return self(inner, Scope(graph=name.value) if isinstance(name, Iri) else Scope(var=name.name)) if not self.bare(inner) else self.graphs(name, inner)
+                return self(inner, Scope(graph=name.value) if isinstance(name, Iri) else Scope(var=name.name)) if not self.bare(inner) else self.leaf(self.graphs(name, inner))
             case A.Service():
-                return self.service(p, scope)
+                return self.leaf(replace(self, outer=None).service(p, scope))
             case A.Values(names, rows):
-                return self.values(names, rows)
+                return self.leaf(self.values(names, rows))
+            case A.Lateral(a, b):
+                return self.lateral(self.correlated(self(a, scope)), b, scope)
+            case _ if self.outer is not None:
+                return self.leaf(replace(self, outer=None)(p, scope))  # a subquery is answered by itself
             case A.Group():
                 return self.group(p, scope)
             case A.OrderBy(inner, keys):
@@ -105,8 +140,6 @@ class Lowering:
                 rel = self(inner, scope)
                 df = rel.df.offset(offset) if offset else rel.df
                 return Rel(df if limit is None else df.limit(limit), rel.vars)
-            case A.Lateral(a, b):
-                return self.lateral(self(a, scope), b, scope)
         raise Unsupported(f"no pattern: {p!r}")
 
     def bare(self, inner) -> bool:
@@ -119,19 +152,29 @@ class Lowering:
         return rel.project([name.name] if isinstance(name, Var) else []).distinct()
 
     def compiler(self, rel: Rel, scope: Scope, exists: Callable | None = None) -> Compiler:
-        row = F.sha2(F.to_json(F.struct(*[F.coalesce(text(v), F.lit("")).alias(cn(n)) for n, v in rel.vars.items()] or [F.lit(1).alias(UNIT)])), 256)
-        return Compiler(rel.vars, exists, self.base, self.now, row, self.functions)
+        return Compiler(rel.vars, exists, self.base, self.now, row_value(rel.vars).col, self.functions)
 
     def extra(self, e, scope: Scope) -> Callable[[dict[str, Value]], Column] | None:
         if e is None:
             return None
-        if any(isinstance(x, A.Exists) for x in A.walk(e)):
-            raise Unsupported("EXISTS inside the filter of an OPTIONAL")
         return lambda vars_: Compiler(vars_, None, self.base, self.now, None, self.functions).condition(e)
 
+    def optional(self, left: Rel, right: Rel, e, scope: Scope) -> Rel:
+        """OPTIONAL. An EXISTS in its filter is asked of the joined rows; left rows none of which pass stay as they are."""
+        if e is None or not any(isinstance(x, A.Exists) for x in A.walk(e)):
+            return left_join(left, right, self.extra(e, scope))
+        key = self.new().name
+        told = left.extend(key, row_value(left.vars))
+        passed = self.where(join(told, right), e, scope)
+        rest = semi(told, passed.project([key]).distinct(), True)
+        return union(passed, rest).project([n for n in dict.fromkeys([*left.vars, *right.vars])])
+
     def filter(self, e, inner, scope: Scope) -> Rel:
-        """Conjuncts that are EXISTS become semi-joins; EXISTS elsewhere becomes a mark."""
         rel = self(inner, scope)
+        return self.where(self.correlated(rel) if self.needs(e) else rel, e, scope)
+
+    def where(self, rel: Rel, e, scope: Scope) -> Rel:
+        """Conjuncts that are EXISTS become semi-joins; EXISTS elsewhere becomes a mark."""
         for c in _conjuncts(e):
             if isinstance(c, A.Exists):
                 rel = self.exists(rel, c.pattern, c.negated, scope)
@@ -153,26 +196,39 @@ class Lowering:
 
     def exists(self, rel: Rel, pattern, negated: bool, scope: Scope) -> Rel:
         inner, e = self.inner_and_filter(pattern, set(rel.vars))
+        if _nested(inner, set(rel.vars)):
+            told, hits, _ = self.answered(rel, pattern, scope)
+            return semi(told, hits, negated).project(list(rel.vars))
         return semi(rel, self(inner, scope), negated, self.extra(e, scope))
 
+    def answered(self, rel: Rel, pattern, scope: Scope) -> tuple[Rel, Rel, str]:
+        """The relation with the mark of each row's binding, and the marks, each once, for which the pattern has a solution."""
+        low = self.within(rel, pattern)
+        hits = low.correlated(low(pattern, scope)).project([low.mark]).distinct()
+        return rel.extend(low.mark, row_value({n: rel.vars[n] for n in low.outer.vars if n != low.mark})), hits, low.mark
+
     def marked(self, rel: Rel, e, scope: Scope) -> tuple[Rel, Compiler]:
         """A compiler of an expression whose EXISTS are columns, marked by joins with the distinct keys that have a match."""
         marks: dict[A.Exists, str] = {}
         for x in A.walk(e):
             if isinstance(x, A.Exists) and x not in marks:
+                name = f".mark{len(marks)}_{self.new().name[1:]}"
+                marks[x] = name
+                names = list(rel.vars)
                 inner, cond = self.inner_and_filter(x.pattern, set(rel.vars))
+                if _nested(inner, set(rel.vars)):
+                    told, hits, _ = self.answered(rel, x.pattern, scope)
+                    rel = left_join(told, hits.extend(name, Value("bool", F.lit(True)))).project([*names, name])
+                    continue
                 hit = self(inner, scope)
-                name = f".mark{len(marks)}_{self.new().name[1:]}"
                 shared = [n for n in rel.vars if n in hit.vars]
                 loose = any(rel.vars[n].maybe or hit.vars[n].maybe for n in shared)
                 if cond is not None or loose:
-                    ided = rel.extend(".row", Value("int", F.monotonically_increasing_id()))
-                    yes = semi(ided, hit, False, self.extra(cond, scope)).extend(name, Value("bool", F.lit(True)))
-                    no = semi(ided, hit, True, self.extra(cond, scope)).extend(name, Value("bool", F.lit(False)))
-                    rel = union(yes, no).project([n for n in [*rel.vars, name]])
+                    yes = semi(rel, hit, False, self.extra(cond, scope)).extend(name, Value("bool", F.lit(True)))
+                    no = semi(rel, hit, True, self.extra(cond, scope)).extend(name, Value("bool", F.lit(False)))
+                    rel = union(yes, no).project([*names, name])
                 else:
                     rel = left_join(rel, hit.project(shared).distinct().extend(name, Value("bool", F.lit(True))))
-                marks[x] = name
         return rel, self.compiler(rel, scope, lambda x: F.coalesce(F.col(cn(marks[x])), F.lit(False)) != F.lit(x.negated))
 
     def extend(self, rel: Rel, name: str, e, scope: Scope) -> Rel:
@@ -413,5 +469,58 @@ class Lowering:
         return Value(kind, F.when(whole == 0, F.lit(0).cast(DEC if kind == "dec" else "double" if kind == "dbl" else "bigint")).when(whole == F.count(x), c))
 
 
+def row_value(vars_: dict[str, Value]) -> Value:
+    """A value that is the same for equal bindings, and differs for others as far as a digest of 256 bits tells."""
+
+    def whole(v: Value) -> Column:
+        return v.col if v.kind == "term" else text(v)
+
+    return Value("str", F.sha2(F.to_json(F.struct(*[whole(v).alias(cn(n)) for n, v in vars_.items()] or [F.lit(1).alias(UNIT)])), 256), maybe=False)
+
+
+def _surely(p) -> set[str]:
+    """Variables that every solution of a pattern binds."""
+    match p:
+        case A.Bgp():
+            return set(A.visible(p))
+        case A.Join(a, b) | A.Lateral(a, b):
+            return _surely(a) | _surely(b)
+        case A.Union(a, b):
+            return _surely(a) & _surely(b)
+        case A.LeftJoin(a, _, _) | A.Minus(a, _):
+            return _surely(a)
+        case A.Graph(name, inner):
+            return _surely(inner) | ({name.name} if isinstance(name, Var) else set())
+        case A.Values(names, rows):
+            return {n for i, n in enumerate(names) if all(r[i] is not None for r in rows)}
+        case A.Project(inner, names):
+            return _surely(inner) & set(names)
+        case A.Filter(_, inner) | A.Extend(inner, _, _) | A.OrderBy(inner, _) | A.Distinct(inner) | A.Reduced(inner) | A.Slice(inner, _, _):
+            return _surely(inner)
+    return set()
+
+
+def _nested(p, outer: set[str]) -> bool:
+    """Whether a pattern's answer depends on what an outer variable is bound to other than by a join with it."""
+
+    def used(*xs) -> set[str]:
+        return {v.name for x in xs if x is not None for v in A.walk(x) if isinstance(v, Var)} & outer
+
+    match p:
+        case A.Filter(e, inner):
+            return bool(used(e) - _surely(inner)) or _nested(inner, outer)
+        case A.Extend(inner, _, e):
+            return bool(used(e) - _surely(inner)) or _nested(inner, outer)
+        case A.LeftJoin(a, b, e):
+            return bool((used(e) | (set(A.visible(b)) & outer)) - _surely(a)) or _nested(a, outer) or _nested(b, outer)
+        case A.Minus(a, b):
+            return bool(set(A.visible(a)) & set(A.visible(b)) & outer) or bool(used(b) - _surely(a)) or _nested(a, outer) or _nested(b, outer)
+        case A.Join(a, b) | A.Union(a, b) | A.Lateral(a, b):
+            return _nested(a, outer) or _nested(b, outer)
+        case A.Graph(_, inner):
+            return _nested(inner, outer)
+    return False
+
+
 def _conjuncts(e) -> list:
     return [*_conjuncts(e.args[0]), *_conjuncts(e.args[1])] if isinstance(e, A.Call) and e.name == "&&" else [e]

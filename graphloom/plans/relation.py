@@ -168,15 +168,15 @@ def left_join(a: Rel, b: Rel, extra=None) -> Rel:
     return Rel.of(joined, {n: v if n in a.vars and not a.vars[n].maybe else replace(v, maybe=True) for n, v in p.vars.items()})
 
 
-def semi(a: Rel, b: Rel, negated: bool, extra=None, minus: bool = False, graph: str | None = None) -> Rel:
-    """EXISTS and MINUS; MINUS also asks that some shared variable, but for that of the graph, be bound on both sides."""
+def semi(a: Rel, b: Rel, negated: bool, extra=None, minus: bool = False, apart: set[str | None] = frozenset()) -> Rel:
+    """EXISTS and MINUS; MINUS also asks that some shared variable, but for those set apart, be bound on both sides."""
     p = _pair(a, b)
     if minus:
-        if not set(p.shared) - {graph}:
+        if not set(p.shared) - apart:
             return a
         both = F.lit(False)
         for n, (x, y) in p.shared.items():
-            if n == graph:
+            if n in apart:
                 continue
             both = F.lit(True) if not x.maybe and not y.maybe else both | (F.col(cn(n)).isNotNull() & F.col(cn(n) + "__r").isNotNull())
             if not x.maybe and not y.maybe:

@@ -111,6 +111,34 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b FILTER EXISTS { ?o p:o_custkey:ref ?c ; p:o_totalprice ?t FILTER(?t > ?b * 60) } }",
         "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 60)",
     ),
+    "exists_union": (
+        "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b FILTER EXISTS { { ?o p:o_custkey:ref ?c ; p:o_totalprice ?t FILTER(?t > ?b * 60) } UNION { ?c p:c_mktsegment \"BUILDING\" FILTER(?b < 0) } } }",
+        "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 60) OR (c_mktsegment = 'BUILDING' AND c_acctbal < 0)",
+    ),
+    "exists_bind": (
+        "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b FILTER EXISTS { ?o p:o_custkey:ref ?c ; p:o_totalprice ?t BIND(?b * 60 AS ?least) FILTER(?t > ?least) } }",
+        "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 60)",
+    ),
+    "exists_optional": (
+        "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b FILTER NOT EXISTS { ?n ^p:c_nationkey:ref ?c OPTIONAL { ?o p:o_custkey:ref ?c ; p:o_totalprice ?t FILTER(?t > ?b * 60) } FILTER(BOUND(?t)) } }",
+        "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 60)",
+    ),
+    "exists_minus": (
+        "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_nationkey:ref ?n FILTER EXISTS { ?s p:s_nationkey:ref ?n ; p:s_suppkey ?k MINUS { ?s p:s_acctbal ?b ; p:s_nationkey:ref ?n FILTER(?b < 5000) } } }",
+        "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND NOT s_acctbal < 5000)",
+    ),
+    "exists_nested": (
+        "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b FILTER EXISTS { ?o p:o_custkey:ref ?c FILTER NOT EXISTS { ?o p:o_totalprice ?t FILTER(?t < ?b * 40) } } }",
+        "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT o_totalprice < c_acctbal * 40)",
+    ),
+    "exists_union_in_or": (
+        "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b FILTER(?key < 20 || EXISTS { { ?o p:o_custkey:ref ?c ; p:o_totalprice ?t FILTER(?t > ?b * 60) } UNION { ?o p:o_custkey:ref ?c ; p:o_orderstatus \"P\" } }) }",
+        "SELECT c_custkey AS key FROM customer WHERE c_custkey < 20 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_totalprice > c_acctbal * 60 OR o_orderstatus = 'P'))",
+    ),
+    "optional_exists": (
+        "SELECT ?key ?order WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b OPTIONAL { ?o p:o_custkey:ref ?c ; p:o_orderkey ?order FILTER(?b > 5000 && EXISTS { ?l p:l_orderkey:ref ?o ; p:l_quantity ?q FILTER(?q * 200 > ?b) }) } }",
+        "SELECT c_custkey AS key, o_orderkey AS \"order\" FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND c_acctbal > 5000 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity * 200 > c_acctbal)",
+    ),
     # VALUES, BIND
     "values_join": (
         "SELECT ?name ?tag WHERE { VALUES (?k ?tag) { (1 \"one\") (2 \"two\") (99 \"none\") } ?n p:n_nationkey ?k ; p:n_name ?name }",
