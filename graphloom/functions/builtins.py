@@ -6,15 +6,18 @@ see the notes beside each.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime, timezone
+from urllib.parse import urlsplit
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.algebra import RDF, XSD, Call, Exists, Iri, Lit, Var
 from graphloom.plans.values import (
-    DATATYPE, DEC, DOUBLES, INTEGERS, NUMERIC, STRING, TERM, Value, boolean, constant, ebv, instant, is_numeric, language, null, number,
+    DATATYPE, DEC, DOUBLES, INTEGERS, NUMERIC, STRING, TERM, Value, boolean, constant, divide, ebv, instant, is_numeric, language, multiply, null, number,
     plain, string_arg, struct, term, text, unify,
 )
 
@@ -66,6 +69,10 @@ class Compiler:
             for x in args[1:]:
                 found = found | self.equal(self(args[0]), self(x))
             return Value("bool", found if name == "IN" else ~found)
+        if name in ("REGEX", "REPLACE"):
+            return self.match(name, args)
+        if name == "=" and (years := self.years(*args)) is not None:
+            return Value("bool", years)
         vs = [self(a) for a in args]
         if name in ("=", "!="):
             c = self.equal(*vs)
@@ -80,6 +87,29 @@ class Compiler:
             return self.cast(name, vs)
         return getattr(self, "f_" + name.lower())(*vs)
 
+    def match(self, name: str, args: tuple) -> Value:
+        """REGEX and REPLACE; a pattern that can't be compiled is an error of the expression, not of the query."""
+        flags = args[2 if name == "REGEX" else 3] if len(args) > (2 if name == "REGEX" else 3) else None
+        fixed = all(isinstance(x, Lit) for x in (args[1], flags) if x is not None)
+        if fixed and not _compiles(args[1].value, flags.value if flags is not None else ""):
+            return null("bool" if name == "REGEX" else "str")
+        vs = [self(a) for a in args]
+        if not fixed:
+            vs[1] = Value("str", _checked_rows(plain(vs[1])))
+        return getattr(self, "f_" + name.lower())(*vs)
+
+    def years(self, a, b) -> Column | None:
+        """YEAR(?t) = 1994 as a range of times, which scans can be filtered by."""
+        if isinstance(b, Call):
+            a, b = b, a
+        if not (isinstance(a, Call) and a.name == "YEAR" and isinstance(b, Lit) and b.datatype == XSD + "integer" and b.value.isdigit() and 0 < int(b.value) < 9999):
+            return None
+        v = self(a.args[0])
+        if v.kind not in ("dt", "date"):
+            return None
+        first, after = (F.lit(f"{y:04d}-01-01").cast("timestamp_ntz" if v.kind == "dt" else "date") for y in (int(b.value), int(b.value) + 1))
+        return (v.col >= first) & (v.col < after)
+
     # choices
 
     def alike(self, vs: list[Value]) -> list[Value]:
@@ -166,29 +196,42 @@ class Compiler:
                 return Value("dbl", F.when(y == 0, F.when(x.isNotNull(), by_zero)).otherwise(F.try_divide(x, y)))
             return Value("dbl", x + y if op == "+" else x - y if op == "-" else x * y)
         if op == "/":
-            # decimal(38, 18) / decimal(38, 18) would keep six digits
-            return Value("dec", F.try_divide(x.cast("decimal(20,6)"), y.cast("decimal(20,6)")).try_cast(DEC))
+            return Value("dec", divide(x.cast("decimal(19,0)") if a.kind == "int" == b.kind else x, y.cast("decimal(19,0)") if b.kind == "int" == a.kind else y))
+        if op == "*" and kind == "dec":
+            return Value("dec", multiply(x, y))
         f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
         return Value(kind, f(x, y).cast(DEC) if kind == "dec" else f(x, y))
 
-    def numeric(self, v: Value, f: Callable[[Column], Column]) -> Value:
+    def numeric(self, v: Value, decimals: Callable[[Column], Column], doubles: Callable[[Column], Column], integers: Callable[[Column], Column] = lambda c: c) -> Value:
+        """A function of one number, which keeps its type."""
         if v.kind == "int":
-            return Value("int", f(v.col).cast("bigint"))
+            return v.to(integers(v.col))
         if v.kind == "dec":
-            return Value("dec", f(v.col).cast(DEC))
-        return Value("dbl", f(number(v)).cast("double"))
+            return Value("dec", decimals(v.col).try_cast(DEC))
+        if v.kind != "term":
+            return Value("dbl", doubles(number(v)).cast("double"))
+        d, n = v.col["d"], number(v)
+        whole, decimal = d.isin(*INTEGERS), d == XSD + "decimal"
+        shown = (
+            F.when(whole, integers(v.col["v"].try_cast("bigint")).cast("string"))
+            .when(decimal, text(Value("dec", decimals(v.col["v"].try_cast(DEC)).try_cast(DEC))))
+            # bound by a lambda, since its text mentions the number many times
+            .otherwise(F.element_at(F.transform(F.array(n), lambda x: text(Value("dbl", doubles(x)))), 1))
+        )
+        return Value("term", F.when(n.isNotNull(), struct(3, shown, F.when(whole, XSD + "integer").otherwise(d))).cast(TERM))
 
     def f_abs(self, v):
-        return self.numeric(v, F.abs)
+        return self.numeric(v, F.abs, F.abs, lambda c: F.when(c >= 0, c).otherwise(F.try_subtract(F.lit(0).cast("bigint"), c)))
 
     def f_ceil(self, v):
-        return self.numeric(v, F.ceil)
+        return self.numeric(v, F.ceil, lambda c: _whole(c, F.ceil))
 
     def f_floor(self, v):
-        return self.numeric(v, F.floor)
+        return self.numeric(v, F.floor, lambda c: _whole(c, F.floor))
 
     def f_round(self, v):
-        return self.numeric(v, lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)" if v.kind == "dec" else "double")))  # halves go up, also below 0
+        """Halves go up, also below 0."""
+        return self.numeric(v, lambda c: F.floor(F.try_add(c, F.lit(0.5).cast("decimal(2,1)"))), lambda c: _whole(c, lambda x: F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)))
 
     # terms
 
@@ -211,7 +254,7 @@ class Compiler:
         if v.kind in ("iri", "key"):
             return v
         c = F.when(v.col["k"] != 2, v.col["v"]) if v.kind == "term" else v.col.cast("string")
-        return Value("iri", F.when(c.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), c).otherwise(F.concat(F.lit(self.base), c)))
+        return Value("iri", F.when(c.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), c).otherwise(_resolved(self.base, c)))
 
     def f_bnode(self, *vs):
         """One node for a row and label."""
@@ -443,6 +486,59 @@ class Compiler:
         return null()
 
 
+def _resolved(base: str, c: Column) -> Column:
+    """A relative reference against a fixed base: merged with its path, dot segments taken out. Without a base it stays as it is."""
+    parts = urlsplit(base)
+    if not parts.scheme:
+        return c
+    root = f"{parts.scheme}:" + (f"//{parts.netloc}" if parts.netloc else "")
+    bare = root + parts.path + (f"?{parts.query}" if parts.query else "")
+    path, tail = F.regexp_extract(c, "^([^?#]*)", 1), F.regexp_extract(c, "^[^?#]*(.*)$", 1)
+    up = parts.path.rpartition("/")[0] + "/"
+    segments = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(up), path)), "/")
+
+    def step(out: Column, x: Column) -> Column:
+        shorter = F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
+        return F.when(x == "..", shorter).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.element_at(segments, 1)), step)
+    last = F.element_at(segments, -1)
+    whole = F.concat(F.lit(root), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"), tail)
+    return F.when(path.startswith("//"), F.concat(F.lit(f"{parts.scheme}:"), c)).when(path != "", whole).when(tail.startswith("?"), F.concat(F.lit(root + parts.path), tail)).otherwise(F.concat(F.lit(bare), tail))
+
+
+def _whole(c: Column, f: Callable[[Column], Column]) -> Column:
+    """A rounding that Spark does by way of bigint; doubles of 2^53 and more, INF and NaN are whole already."""
+    return F.when(F.isnan(c) | (F.abs(c) >= float(1 << 53)), c).otherwise(f(c).cast("double"))
+
+
+def _compiles(pattern: str, flags: str) -> bool:
+    """Whether Java's regular expressions take a pattern, asked without a job."""
+    if re.search("[^ismxq]", flags):
+        return False
+    try:
+        SparkSession.active().sql("SELECT regexp_like('', :p)", args={"p": pattern if "q" not in flags else re.escape(pattern)}).collect()
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
+def _checked_rows(c: Column) -> Column:
+    """Patterns that differ by row, null where they can't be compiled; the only function here that leaves the JVM."""
+
+    @F.pandas_udf("string")
+    def checked(patterns: pd.Series) -> pd.Series:
+        ok: dict[str | None, str | None] = {}
+        for p in patterns.unique():
+            try:
+                ok[p] = p if p is not None and re.compile(re.sub(r"\\[pP]\{\w+\}", "a", p)) else None
+            except re.error:
+                ok[p] = None
+        return patterns.map(ok)
+
+    return checked(c)
+
+
 def _numbers(a: Value, b: Value) -> tuple[Column, Column]:
     if "dbl" in (a.kind, b.kind):
         return a.col.cast("double"), b.col.cast("double")

@@ -18,7 +18,7 @@ from graphloom.plans import algebra as A
 from graphloom.plans.algebra import XSD, Iri, Triple, Var
 from graphloom.plans.paths import Limits, compile_path, traverse
 from graphloom.plans.relation import UNIT, Rel, cn, join, left_join, semi, union
-from graphloom.plans.values import DEC, DOUBLES, INTEGERS, NUMERIC, TERM, Value, boolean, constant, instant, is_term, null, number, struct, term_constant, text
+from graphloom.plans.values import DEC, DOUBLES, INTEGERS, NUMERIC, TERM, Value, boolean, constant, divide, instant, is_term, null, number, struct, term_constant, text
 
 
 class Unsupported(ValueError):
@@ -451,21 +451,22 @@ class Lowering:
             ints, dbls = F.bool_and(v.col["d"].isin(*INTEGERS)), F.bool_or(v.col["d"].isin(*DOUBLES))
             if a.name == "AVG":
                 ints = F.lit(False)
-            shown = F.when(ints, total.cast("bigint").cast("string")).when(dbls, total.cast("string")).otherwise(text(Value("dec", total.try_cast(DEC))))
+            shown = F.when(ints, total.try_cast("bigint").cast("string")).when(dbls, total.cast("string")).otherwise(text(Value("dec", total.try_cast(DEC))))
             kind = F.when(ints, XSD + "integer").when(dbls, XSD + "double").otherwise(XSD + "decimal")
             return Value("term", F.when(whole == 0, struct(3, F.lit("0"), XSD + "integer")).when(whole == F.count(x), struct(3, shown, kind)).cast(TERM))
         if v.kind not in NUMERIC:
             return replace(null("int"), col=F.when(whole == 0, F.lit(0).cast("bigint")))
         x = v.col
-        if a.name == "SUM":
-            c = (F.sum_distinct if a.distinct else F.sum)(x)
-            c = c.cast(DEC) if v.kind == "dec" else c
-            kind = v.kind
+        kind = v.kind if a.name == "SUM" or v.kind == "dbl" else "dec"
+        if v.kind == "dbl":
+            c = (F.sum_distinct if a.distinct else F.sum)(x) if a.name == "SUM" else F.sum_distinct(x) / F.count_distinct(x) if a.distinct else F.avg(x)
+        elif a.name == "SUM" and not a.distinct:
+            c = F.try_sum(x).try_cast(DEC if v.kind == "dec" else "bigint")
         else:
-            wide = x if v.kind == "dbl" else x.cast("decimal(26,6)")
-            c = (F.sum_distinct(wide) / F.count_distinct(wide)) if a.distinct else F.avg(wide)
-            kind = "dbl" if v.kind == "dbl" else "dec"
-            c = c.cast(DEC) if kind == "dec" else c
+            # a sum of integers as decimals doesn't run over before it is divided
+            wide = x.cast("decimal(19,0)") if v.kind == "int" else x
+            total = F.sum_distinct(wide.cast("decimal(28,0)") if v.kind == "int" else wide) if a.distinct else F.try_sum(wide)
+            c = total.try_cast(DEC if kind == "dec" else "bigint") if a.name == "SUM" else divide(total, (F.count_distinct(x) if a.distinct else F.count(x)).cast("decimal(19,0)"))
         return Value(kind, F.when(whole == 0, F.lit(0).cast(DEC if kind == "dec" else "double" if kind == "dbl" else "bigint")).when(whole == F.count(x), c))
 
 

@@ -25,17 +25,41 @@ DEC = "decimal(38,12)"
 
 @dataclass(frozen=True)
 class Value:
-    """kind, column, the fixed beginning of a key's IRI, and whether it may be null."""
+    """kind, column, the fixed beginning of a key's IRI, whether it may be null, and whether a key is an integer."""
 
     kind: str
     col: Column
     prefix: str = ""
     maybe: bool = True
+    integer: bool = False
 
     def to(self, col: Column) -> Value:
         return replace(self, col=col)
 
 
+def divide(x: Column, y: Column) -> Column:
+    """Quotient of two decimals to the 12 digits that DEC has; null by zero or beyond its range.
+
+    Spark gives a quotient the digits that its operands' types leave, so the types are as narrow as the
+    values allow.
+    """
+    narrow = F.try_divide(x.try_cast("decimal(26,12)"), y.try_cast("decimal(24,12)")).try_cast(DEC)
+    whole = y.try_cast("decimal(19,0)")
+    by_whole = F.try_divide(x.try_cast(DEC), whole).try_cast(DEC)
+    return F.when(y == whole, by_whole).otherwise(F.coalesce(narrow, F.try_divide(x.try_cast(DEC), y.try_cast(DEC)).try_cast(DEC)))
+
+
+def multiply(x: Column, y: Column) -> Column:
+    """Product of two decimals to the 12 digits that DEC has, for the same reason by types as narrow as the values allow; null beyond its range."""
+    ways = [("decimal(18,12)", "decimal(18,12)"), ("decimal(28,12)", "decimal(9,0)"), ("decimal(9,0)", "decimal(28,12)"), (DEC, DEC)]
+
+    def cast(c: Column, t: str) -> Column:
+        narrow = c.try_cast(t)
+        return F.when(narrow == c, narrow) if t.endswith(",0)") else narrow
+
+    return F.coalesce(*[F.try_multiply(cast(x, a), cast(y, b)).try_cast(DEC) for a, b in ways])
+
+
 def null(kind: str = "void") -> Value:
     """An unbound value; of no kind of its own it takes that of what it meets."""
     types = {"int": "bigint", "dec": DEC, "dbl": "double", "bool": "boolean", "dt": "timestamp_ntz", "date": "date", "term": TERM}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,8 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     ),
     # filters and expressions
     "filter_cmp": (
-        "SELECT ?key WHERE { ?o p:o_orderkey ?key ; p:o_totalprice ?t ; p:o_orderdate ?d FILTER(?t >= 250000.5 && ?d < \"1995-01-01T00:00:00\"^^xsd:dateTime) }",
-        "SELECT o_orderkey AS key FROM orders WHERE o_totalprice >= 250000.5 AND o_orderdate < TIMESTAMP '1995-01-01'",
+        "SELECT ?key WHERE { ?o p:o_orderkey ?key ; p:o_totalprice ?t ; p:o_orderdate ?d FILTER(?t >= 150000.5 && ?d < \"1999-01-01T00:00:00\"^^xsd:dateTime) }",
+        "SELECT o_orderkey AS key FROM orders WHERE o_totalprice >= 150000.5 AND o_orderdate < TIMESTAMP '1999-01-01'",
     ),
     "filter_logic": (
         "SELECT ?key WHERE { ?o p:o_orderkey ?key ; p:o_orderstatus ?s ; p:o_totalprice ?t FILTER(!(?s = \"F\" || ?t < 1000) || ?key = 7) }",
@@ -100,8 +101,8 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     ),
     "not_exists": (
-        "SELECT ?key WHERE { ?c p:c_custkey ?key FILTER NOT EXISTS { ?o p:o_custkey:ref ?c } }",
-        "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "SELECT ?key WHERE { ?c p:c_custkey ?key FILTER NOT EXISTS { ?o p:o_custkey:ref ?c ; p:o_orderstatus \"P\" } }",
+        "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     ),
     "exists_in_or": (
         "SELECT ?key WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?b FILTER(?b < 0 || EXISTS { ?o p:o_custkey:ref ?c ; p:o_orderpriority \"1-URGENT\" }) }",
@@ -351,6 +352,82 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         "SELECT ?x ?b ?i ?d ?s WHERE { VALUES ?x { \"1\" \"true\" \"yes\" \"2.50\" \"abc\" } BIND(xsd:boolean(?x) AS ?b) BIND(xsd:integer(?x) AS ?i) BIND(xsd:double(?x) AS ?d) BIND(xsd:string(xsd:double(?x)) AS ?s) }",
         "SELECT * FROM (VALUES ('1', true, 1::BIGINT, 1::DOUBLE, '1.0E0'), ('true', true, NULL, NULL, NULL), ('yes', NULL, NULL, NULL, NULL), ('2.50', NULL, NULL, 2.5, '2.5E0'), ('abc', NULL, NULL, NULL, NULL)) v(x, b, i, d, s)",
     ),
+    "fn_numeric_extreme": (
+        "SELECT ?k ?a ?b WHERE { VALUES (?k ?x) { (1 1.5e20) (2 9007199254740993) (3 \"INF\"^^xsd:double) (4 2.5) (5 -2.5) (6 -9007199254740993) } BIND(STR(CEIL(?x)) AS ?a) BIND(STR(FLOOR(?x)) AS ?b) }",
+        "SELECT * FROM (VALUES (1::BIGINT, '1.5E20', '1.5E20'), (2, '9007199254740993', '9007199254740993'), (3, 'INF', 'INF'), (4, '3', '2'), (5, '-2', '-3'), (6, '-9007199254740993', '-9007199254740993')) v(k, a, b)",
+    ),
+    "fn_round_extreme": (
+        "SELECT ?k ?a ?b WHERE { VALUES (?k ?x) { (1 1.5e20) (2 9007199254740993) (3 \"INF\"^^xsd:double) (4 2.5) (5 -2.5) (6 -9007199254740993) } BIND(STR(ROUND(?x)) AS ?a) BIND(STR(ABS(?x)) AS ?b) }",
+        "SELECT * FROM (VALUES (1::BIGINT, '1.5E20', '1.5E20'), (2, '9007199254740993', '9007199254740993'), (3, 'INF', 'INF'), (4, '3', '2.5'), (5, '-2', '2.5'), (6, '-9007199254740993', '9007199254740993')) v(k, a, b)",
+    ),
+    "fn_round_wide": (
+        "SELECT ?key ?a ?b WHERE { ?c p:c_custkey ?key ; p:c_acctbal ?x BIND(ROUND(?key * 6000000000000001) AS ?a) BIND(CEIL(?x * 1.0e20) > 9.3e18 AS ?b) }",
+        "SELECT c_custkey AS key, c_custkey * 6000000000000001 AS a, c_acctbal * 1e20 > 9.3e18 AS b FROM customer",
+    ),
+    "div_wide": (
+        "SELECT ?key ?a ?b WHERE { ?c p:c_custkey ?key BIND(xsd:integer(?key * 1000000000000000 / 7) AS ?a) BIND(xsd:integer(1000000000000 * (0.0000001 / ?key)) AS ?b) }",
+        "SELECT c_custkey AS key, (c_custkey * 1000000000000000) // 7 AS a, CASE WHEN c_custkey <> 0 THEN floor(100000 / c_custkey + 0.5)::BIGINT END AS b FROM customer",
+    ),
+    "agg_small_decimal": (
+        "SELECT ?m (xsd:integer(ROUND(AVG(?x) * 1000000000000)) AS ?a) WHERE { ?c p:c_custkey ?key ; p:c_mktsegment ?m BIND(?key * 0.0000000001 AS ?x) } GROUP BY ?m",
+        "SELECT c_mktsegment AS m, floor(avg(c_custkey) * 100 + 0.5)::BIGINT AS a FROM customer GROUP BY 1",
+    ),
+    "sum_overflow": (
+        "SELECT ?s (SUM(?x) AS ?total) (COUNT(?x) AS ?n) (xsd:integer(AVG(?x)) AS ?mean) WHERE { ?o p:o_orderkey ?key ; p:o_orderstatus ?s BIND(?key * 0 + 9223372036854775000 AS ?x) } GROUP BY ?s",
+        "SELECT o_orderstatus AS s, NULL::BIGINT AS total, count(*) AS n, 9223372036854775000 AS mean FROM orders GROUP BY 1",
+    ),
+    "regex_error": (
+        "SELECT ?k WHERE { ?n p:n_nationkey ?k ; p:n_name ?name FILTER(REGEX(?name, \"([\") || ?k < 5) }",
+        "SELECT n_nationkey::BIGINT AS k FROM nation WHERE n_nationkey < 5",
+    ),
+    "regex_by_row": (
+        "SELECT ?k ?p WHERE { ?n p:n_nationkey ?k ; p:n_name ?name VALUES ?p { \"^NATION_1\" \"([\" \"0$\" } FILTER(REGEX(?name, ?p)) }",
+        "SELECT n_nationkey::BIGINT AS k, p FROM nation, (VALUES ('^NATION_1'), ('0$')) v(p) WHERE regexp_matches(n_name, p)",
+    ),
+    "fn_bound": (
+        "SELECT ?key ?a ?b WHERE { ?c p:c_custkey ?key OPTIONAL { ?c p:c_acctbal ?x FILTER(?x < 0) } BIND(BOUND(?x) AS ?a) BIND(BOUND(?none) AS ?b) }",
+        "SELECT c_custkey AS key, c_acctbal < 0 AS a, false AS b FROM customer",
+    ),
+    "fn_iri_base": (
+        "BASE <http://x.y/a/b/c?q> SELECT ?r ?i WHERE { VALUES ?r { \"d\" \"../d\" \"../../../d\" \"/e/./f\" \"?z\" \"#s\" \"\" \"//h/p\" \"urn:u\" \".\" \"g/..\" } BIND(STR(IRI(?r)) AS ?i) }",
+        "SELECT * FROM (VALUES ('d', 'http://x.y/a/b/d'), ('../d', 'http://x.y/a/d'), ('../../../d', 'http://x.y/d'), ('/e/./f', 'http://x.y/e/f'), ('?z', 'http://x.y/a/b/c?z'), ('#s', 'http://x.y/a/b/c?q#s'), ('', 'http://x.y/a/b/c?q'), ('//h/p', 'http://h/p'), ('urn:u', 'urn:u'), ('.', 'http://x.y/a/b/'), ('g/..', 'http://x.y/a/b/')) v(r, i)",
+    ),
+    "fn_blank_typed": (
+        "SELECT ?k ?a ?b ?d ?e ?f WHERE { ?n p:n_nationkey ?k ; p:n_name ?name BIND(isBLANK(BNODE()) AS ?a) BIND(BNODE(?name) = BNODE(?name) AS ?b) BIND(STRDT(STR(?k), xsd:integer) + 1 AS ?d) BIND(LANG(STRLANG(?name, \"EN\")) AS ?e) BIND(sameTerm(STRDT(\"a\", xsd:string), \"a\") AS ?f) }",
+        "SELECT n_nationkey::BIGINT AS k, true AS a, true AS b, (n_nationkey + 1)::VARCHAR AS d, 'en' AS e, true AS f FROM nation",
+    ),
+    "fn_volatile": (
+        "SELECT ?k ?a ?b ?d ?e WHERE { ?n p:n_nationkey ?k BIND(STRLEN(STRUUID()) AS ?a) BIND(STRSTARTS(STR(UUID()), \"urn:uuid:\") AS ?b) BIND(RAND() < 1 AS ?d) BIND(YEAR(NOW()) > 2020 AS ?e) }",
+        "SELECT n_nationkey::BIGINT AS k, 36::BIGINT AS a, true AS b, true AS d, true AS e FROM nation",
+    ),
+    "fn_hash_long": (
+        "SELECT ?x ?a ?b WHERE { VALUES ?x { \"abc\" \"\" } BIND(SHA384(?x) AS ?a) BIND(SHA512(?x) AS ?b) }",
+        "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{hashlib.sha384(x.encode()).hexdigest()}', '{hashlib.sha512(x.encode()).hexdigest()}')" for x in ("abc", "")) + ") v(x, a, b)",
+    ),
+    "fn_cast_more": (
+        "SELECT ?key ?a ?b ?d ?e ?f WHERE { ?o p:event_id ?key ; p:ts ?t ; p:value ?v BIND(SECONDS(?t) > 30 AS ?a) BIND(STR(xsd:date(?t)) AS ?b) BIND(xsd:dateTime(STR(?t)) = ?t AS ?d) BIND(xsd:integer(xsd:decimal(STR(?key)) * 2.5) AS ?e) BIND(xsd:float(STR(?key)) AS ?f) }",
+        "SELECT event_id AS key, epoch_ms(ts) % 60000 > 30000 OR (second(ts) = 30 AND microsecond(ts) > 30000000) AS a, strftime(ts, '%Y-%m-%d') AS b, true AS d, trunc(event_id * 2.5)::BIGINT AS e, event_id::DOUBLE AS f FROM events",
+    ),
+    "agg_distinct_star": (
+        "SELECT ?f (COUNT(DISTINCT *) AS ?n) WHERE { SELECT ?f ?s WHERE { ?l p:l_returnflag ?f ; p:l_linestatus ?s } } GROUP BY ?f",
+        "SELECT l_returnflag AS f, count(DISTINCT l_linestatus) AS n FROM lineitem GROUP BY 1",
+    ),
+    "agg_per_graph": (
+        "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { SELECT (COUNT(?x) AS ?m) WHERE { ?x a ?t } } } GROUP BY ?g",
+        "SELECT * FROM (VALUES " + ", ".join(f"('urn:g:{t}', 1::BIGINT)" for t in "region nation customer supplier part orders lineitem events documents embeddings".split()) + ") v(g, n)",
+    ),
+    "union_default_overlap": (
+        "SELECT ?s ?o WHERE { ?s p:n_regionkey:ref ?o }",
+        "SELECT DISTINCT 'urn:nation:' || n_nationkey AS s, 'urn:region:' || n_regionkey AS o FROM nation",
+    ),
+    "path_zero_absent": (
+        "SELECT ?x WHERE { <urn:nowhere:1> (p:c_nationkey:ref|p:n_regionkey:ref)* ?x }",
+        "SELECT 'urn:nowhere:1' AS x",
+    ),
+    "path_in_graph": (
+        "SELECT ?x WHERE { GRAPH g:nation { <urn:nation:4> (p:c_nationkey:ref|p:n_regionkey:ref)+ ?x } }",
+        "SELECT 'urn:region:' || n_regionkey AS x FROM nation WHERE n_nationkey = 4",
+    ),
     # larger ones
     "tpch_q1": (
         "SELECT ?f ?s (ROUND(SUM(?q)) AS ?sum_qty) (ROUND(SUM(?e)) AS ?sum_base) (ROUND(SUM(?e * (1 - ?d))) AS ?sum_disc) (COUNT(*) AS ?n) WHERE { ?l p:l_returnflag ?f ; p:l_linestatus ?s ; p:l_quantity ?q ; p:l_extendedprice ?e ; p:l_discount ?d ; p:l_shipdate ?t FILTER(?t <= \"1998-09-02T00:00:00\"^^xsd:dateTime) } GROUP BY ?f ?s",

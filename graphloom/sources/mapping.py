@@ -6,6 +6,7 @@ keys, not IRIs; an IRI is put together only where it is asked for.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -79,14 +80,14 @@ class VirtualSource:
             c = c.cast("bigint") if kind == "int" and not isinstance(f.dataType, T.LongType) else c.cast("timestamp_ntz") if isinstance(f.dataType, T.TimestampType) else c
             out[PREDICATE + f.name] = Value(kind, c, maybe=False)
             if f.name in links:
-                out[f"{PREDICATE}{f.name}:ref"] = Value("key", c, f"urn:{links[f.name]}:", False)
+                out[f"{PREDICATE}{f.name}:ref"] = Value("key", c, f"urn:{links[f.name]}:", False, kind == "int")
         return out
 
     def subject(self, m: Mapping) -> Value:
         if m.key is not None:
             c = F.col(m.key)
             kind = _kind(self.frame(m).schema[m.key].dataType)
-            return Value("key", c.cast("bigint") if kind == "int" else c, f"urn:{m.name}:", False)
+            return Value("key", c.cast("bigint") if kind == "int" else c, f"urn:{m.name}:", False, kind == "int")
         cols = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in self.frame(m).columns if c not in m.payload]
         return Value("key", F.md5(F.concat_ws("\1", *cols)), f"urn:{m.name}:", False)
 
@@ -116,10 +117,9 @@ class VirtualSource:
                 else:
                     vals[x.name] = v
             elif isinstance(x, Iri) and v.kind == "key":
-                rest = x.value.removeprefix(v.prefix)
-                where = where & (v.col.cast("string") == rest if rest != x.value else F.lit(False))
+                where = where & _is_key(v, x.value)
             else:
-                where = where & F.coalesce(Compiler({}).equal(v, constant(x)), F.lit(False))
+                where = where & Compiler({}).equal(v, constant(x))
 
         for i, t in enumerate(triples):
             if isinstance(t.p, Iri):
@@ -184,6 +184,16 @@ class VirtualSource:
         return only.edges(None, Scope(var="g"))
 
 
+def _is_key(v: Value, iri: str) -> Column:
+    """Whether a key makes an IRI, as a comparison of the key's own type, which scans can be filtered by."""
+    rest = iri.removeprefix(v.prefix)
+    if rest == iri:
+        return F.lit(False)
+    if not v.integer:
+        return v.col.cast("string") == rest
+    return v.col == F.lit(int(rest)).cast("bigint") if re.fullmatch("0|-?[1-9][0-9]{0,17}", rest) else F.lit(False)
+
+
 def subject_text(v: Value) -> Column:
     if v.kind not in ("iri", "key", "term"):
         raise Unsupported("a literal is no subject")
