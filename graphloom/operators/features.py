@@ -57,10 +57,13 @@ def sparse_features(events: DataFrame, entity: str, kinds: Sequence[Column], tim
 
 
 def wide_features(sparse: DataFrame, entity: str, names: Sequence[str] | None = None) -> DataFrame:
-    """The vectors as columns <measure>__<kind>; a kind without events has a count of 0 and nulls.
+    """The vectors as columns <kind>__<measure>; a kind without events has a count of 0 and nulls.
 
     names: the kinds, in the order of their columns; all kinds found, sorted, if it is None. Their
-    number is that of the event types, not of the rows.
+    number is that of the event types, not of the rows. What is no letter or digit is an underscore in a
+    column's name; of kinds that would share one, all but the first have their number at its end. Each
+    vector becomes one dense array, by repeated nulls between its sorted cells, from which columns are
+    read by place.
     """
     measures = [c for c in sparse.columns if c not in (entity, "kind")]
     if names is None:
@@ -68,15 +71,25 @@ def wide_features(sparse: DataFrame, entity: str, names: Sequence[str] | None =
     if not names:
         return sparse.select(entity).distinct()
     codes = sparse.sparkSession.createDataFrame(list(enumerate(names)), "__i int, kind string")
-    cells = sparse.join(F.broadcast(codes), "kind").select(entity, "__i", *measures)
-    vectors = cells.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("__i", F.struct(*measures)))).alias("__v"))
-    labels: dict[str, int] = {}
+    cells = sparse.join(small(codes, len(names)), "kind").select(entity, "__i", F.struct(*measures).alias("__m"))
+    rows = cells.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("__i", "__m"))).alias("__c"))
+    none = F.lit(None).cast(cells.schema["__m"].dataType)
+
+    def spaced(x: Column, at: Column) -> Column:
+        before = F.coalesce(F.get("__c", at - 1)["__i"], F.lit(-1))
+        return F.concat(F.array_repeat(none, x["__i"] - before - 1), F.array(x["__m"]))
+
+    dense = rows.select(entity, F.flatten(F.transform("__c", spaced)).alias("__v"))
+    labels, used = [], set()
     for i, k in enumerate(names):
         label = re.sub(r"[^0-9A-Za-z_]+", "_", k)
-        labels[label if label not in labels else f"{label}_{i}"] = i
+        while label.lower() in used:
+            label = f"{label}_{i}"
+        used.add(label.lower())
+        labels.append(label)
 
     def column(m: str, label: str, i: int) -> Column:
-        c = F.try_element_at("__v", F.lit(i))[m]
-        return (F.coalesce(c, F.lit(0)) if m == "n" else c).alias(f"{m}__{label}")
+        c = F.get("__v", F.lit(i))[m]
+        return (F.coalesce(c, F.lit(0)) if m == "n" else c).alias(f"{label}__{m}")
 
-    return vectors.select(entity, *[column(m, k, i) for k, i in labels.items() for m in measures])
+    return dense.select(entity, *[column(m, k, i) for i, k in enumerate(labels) for m in measures])

@@ -186,6 +186,8 @@ FROM links WHERE child IN (SELECT node FROM up WHERE anc IN (SELECT node FROM up
     "p3_paths": f"WITH RECURSIVE {_TREE} SELECT node AS memory_id, root AS root_id, depth, path FROM tree",
     "p3_descendants": f"""WITH RECURSIVE {_TREE} SELECT a.anc AS ancestor, node AS descendant, (depth - a.i + 1)::BIGINT AS distance
 FROM (SELECT node, depth, up, unnest(range(1, depth + 1)) i FROM tree) t, LATERAL (SELECT t.up[t.i] anc, t.i i) a""",
+    "p4_features": f"""WITH {_CALLS}, named AS (SELECT execution_id, regexp_replace(kind, '[^0-9A-Za-z_]+', '_', 'g') kind, started_at_epoch_ms s, CASE WHEN input_tokens >= 0 THEN input_tokens END i, CASE WHEN output_tokens >= 0 THEN output_tokens END o FROM marked)
+SELECT * FROM (PIVOT named ON kind USING count(*) AS _n, max(s) AS _last, sum(i)::BIGINT AS _total_input_tokens, sum(o)::BIGINT AS _total_output_tokens GROUP BY execution_id)""",
     "p4_vectors": f"""WITH {_CALLS} SELECT execution_id, kind, count(*) AS n, max(started_at_epoch_ms) AS last_started_ms,
 sum(CASE WHEN input_tokens >= 0 THEN input_tokens END)::BIGINT AS total_input_tokens, sum(CASE WHEN output_tokens >= 0 THEN output_tokens END)::BIGINT AS total_output_tokens FROM marked GROUP BY 1, 2""",
     "p4_kinds": f"""WITH {_CALLS} SELECT execution_id, kind || '|' || coalesce(error_code, 'none') AS kind, count(*) AS n, max(started_at_epoch_ms) AS last_started_ms,

@@ -11,7 +11,7 @@ def test_wide_equals_counting(spark):
     assert sorted(tuple(r) for r in sparse.collect()) == [("e1", "a b", 2, 7, 10), ("e1", "a-b", 1, 3, 2), ("e2", "z", 1, None, None)]
     wide = {r.e: r.asDict() for r in features.wide_features(sparse, "e").collect()}
     assert set(wide) == {"e1", "e2"} and len(wide["e1"]) == 1 + 3 * 3
-    assert wide["e1"]["n__a_b"] == 2 and wide["e1"]["n__a_b_1"] == 1 and wide["e1"]["total_v__a_b"] == 10 and wide["e2"]["n__a_b"] == 0 and wide["e2"]["last__z"] is None
+    assert wide["e1"]["a_b__n"] == 2 and wide["e1"]["a_b_1__n"] == 1 and wide["e1"]["a_b__total_v"] == 10 and wide["e2"]["a_b__n"] == 0 and wide["e2"]["z__last"] is None
 
 
 def test_codes_are_shuffled(spark):
