@@ -1,9 +1,10 @@
 """Schemas that drift between files: edit scripts between successive nested records, and projections made of them.
 
 Files of one series are sorted by their number; each is compared with the one before it. A tree edit
-distance between the two gives the cheapest script of adds, deletes, renames, moves and changes of type.
-The renames of all scripts, put together, say which member names mean one field, and every file is
-projected to those fields.
+distance between the two gives the cheapest script of adds, deletes, renames, moves and changes of type,
+among the mappings that keep objects' members together. The scripts are compiled to a projection for every
+file: its renames of members, put together, say which column a member goes to, and those of objects, along
+the series, what an object was called at first.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.operators.ordered import range_sorted
+from graphloom.session import checkpoint
 
 Path = tuple[str, ...]
+#: Cost of a rename where scripts are chosen: of those that cost the same, one that keeps names.
+TIE = 1 + 1e-6
 SCRIPT = "component string, phase_no int, op string, old_path string, new_path string, old_type string, new_type string, nested boolean"
 
 
@@ -83,7 +88,7 @@ def leaves(o: Any, at: Path = ()) -> Iterator[tuple[Path, Any]]:
 
 @dataclass(frozen=True)
 class Edit:
-    """op: renamed, retyped, removed, added or moved; nested if the node is an object."""
+    """op: renamed, retyped, removed, added, moved, or kept where only an object above changed its name; nested if the node is an object."""
 
     op: str
     old: Path
@@ -129,60 +134,79 @@ def _assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def _script(a: dict, b: dict, at_a: Path, at_b: Path) -> tuple[float, list[Edit]]:
-    """Cost and script between two objects. Members of one name are one node; the others are paired at least cost.
+def _paired(gain: list[list[float]]) -> list[tuple[int, int]]:
+    """The rows and columns of the cheapest assignment whose cost is below 0."""
+    if not gain or not gain[0]:
+        return []
+    if len(gain) <= len(gain[0]):
+        pairs = enumerate(_assign(gain))
+    else:
+        pairs = ((i, j) for j, i in enumerate(_assign([list(c) for c in zip(*gain, strict=True)])))
+    return [(i, j) for i, j in pairs if gain[i][j] < 0]
+
+
+def _script(a: dict, b: dict, at_a: Path, at_b: Path, by_path: bool) -> tuple[float, list[Edit]]:
+    """Least cost of turning one object's members into another's, and the script.
 
-    Removing or adding costs the nodes of a subtree, a rename or change of type 1. A value may be renamed
-    to one that is the same; an object to one that is cheaper to edit than to write anew.
+    Removing or adding costs the nodes of a subtree, a rename or change of type 1. A value is the one of
+    its name, or renamed to one that is the same, of the same type first; an object may become any other,
+    by the cheapest assignment of them all. by_path: objects of one name are one.
     """
     cost, out = 0.0, []
-    for k in a:
-        if k in b:
-            x, y = a[k], b[k]
-            if isinstance(x, dict) and isinstance(y, dict):
-                c, s = _script(x, y, (*at_a, k), (*at_b, k))
-                cost, out = cost + c, out + s
-            elif isinstance(x, dict) or isinstance(y, dict):
-                cost += _size(x) + _size(y)
-                out += _removed(x, (*at_a, k)) + _added(y, (*at_b, k))
-            elif "null" not in (kind(x), kind(y)) and kind(x) != kind(y):
-                cost += 1
-                out.append(Edit("retyped", (*at_a, k), (*at_b, k), kind(x), kind(y)))
-    gone, new = [k for k in a if k not in b], [k for k in b if k not in a]
-    waiting = defaultdict(list)
-    for k in new:
-        if not isinstance(b[k], dict) and (same := _same(b[k])):
-            waiting[same].append(k)
-    taken: set[str] = set()
-    left = []
-    for k in gone:
-        same = None if isinstance(a[k], dict) else _same(a[k])
-        if same and waiting.get(same):
-            n = waiting[same].pop(0)
-            taken.add(n)
-            cost += 1
+    values_a, values_b = ({k: v for k, v in o.items() if not isinstance(v, dict)} for o in (a, b))
+
+    def turned(k: str, n: str) -> float | None:
+        """Cost of one value becoming another; None where neither its name nor its content stays."""
+        x, y = kind(a[k]), kind(b[n])
+        other = x != y and "null" not in (x, y)
+        return float(other) if k == n else 1.0 + other if _same(a[k]) and _same(a[k]) == _same(b[n]) else None
+
+    both = [k for k in values_a if k in values_b and (by_path or not turned(k, k))]
+    gone, new = [k for k in values_a if k not in both], [k for k in values_b if k not in both]
+    if by_path or not any(k in values_b for k in gone):  # a name is no longer there; values find each other, those of one type first
+        found = []
+        for alike in (kind, lambda _: ""):
+            waiting = defaultdict(list)
+            for n in new:
+                if same := _same(b[n]):
+                    waiting[same, alike(b[n])].append(n)
+            for k in list(gone):
+                if (same := _same(a[k])) and (there := waiting.get((same, alike(a[k])))):
+                    found.append((k, there[0]))
+                    gone.remove(k)
+                    new.remove(there.pop(0))
+    else:
+        gain = [[min(0.0, 0.0 if c is None else c - 2 + (k != n) * (TIE - 1)) for n, c in ((n, turned(k, n)) for n in new)] for k in gone]
+        found = [(gone[i], new[j]) for i, j in _paired(gain)]
+        gone, new = [k for k in gone if k not in {x for x, _ in found}], [n for n in new if n not in {y for _, y in found}]
+    for k, n in [*((k, k) for k in both), *found]:
+        cost += turned(k, n)
+        if k != n:
             out.append(Edit("renamed", (*at_a, k), (*at_b, n), kind(a[k]), kind(b[n])))
-            if kind(a[k]) != kind(b[n]):
-                cost += 1
-                out.append(Edit("retyped", (*at_a, k), (*at_b, n), kind(a[k]), kind(b[n])))
-        else:
-            left.append(k)
-    rest = [k for k in new if k not in taken]
-    objects_a, objects_b = [k for k in left if isinstance(a[k], dict)], [k for k in rest if isinstance(b[k], dict)]
+        elif at_a != at_b:
+            out.append(Edit("kept", (*at_a, k), (*at_b, n), kind(a[k]), kind(b[n])))
+        if kind(a[k]) != kind(b[n]) and "null" not in (kind(a[k]), kind(b[n])):
+            out.append(Edit("retyped", (*at_a, k), (*at_b, n), kind(a[k]), kind(b[n])))
+    objects_a, objects_b = [k for k in a if k not in values_a], [k for k in b if k not in values_b]
+    pairs = []
+    for k in [k for k in objects_a if k in objects_b]:
+        c, s = _script(a[k], b[k], (*at_a, k), (*at_b, k), by_path)
+        if by_path or not c:  # nothing is cheaper than a pair that costs nothing
+            objects_a.remove(k)
+            objects_b.remove(k)
+            cost, out = cost + c, out + s
     if objects_a and objects_b:
-        tries = [[_script(a[x], b[y], (*at_a, x), (*at_b, y)) for y in objects_b] for x in objects_a]
-        matrix = [[min(0.0, 1 + tries[i][j][0] - _size(a[x]) - _size(b[y])) for j, y in enumerate(objects_b)] for i, x in enumerate(objects_a)]
-        pairs = enumerate(_assign(matrix)) if len(objects_a) <= len(objects_b) else ((i, j) for j, i in enumerate(_assign([list(c) for c in zip(*matrix, strict=True)])))
-        for i, j in list(pairs):
-            if matrix[i][j] < 0:
-                x, y = objects_a[i], objects_b[j]
-                out.append(Edit("renamed", (*at_a, x), (*at_b, y), "object", "object", True))
-                cost, out = cost + 1 + tries[i][j][0], out + tries[i][j][1]
-                left.remove(x)
-                rest.remove(y)
-    for k in left:
+        tries = [[_script(a[x], b[y], (*at_a, x), (*at_b, y), by_path) for y in objects_b] for x in objects_a]
+        pairs = _paired([[min(0.0, TIE * (x != y) + tries[i][j][0] - _size(a[x]) - _size(b[y])) for j, y in enumerate(objects_b)] for i, x in enumerate(objects_a)])
+    for i, j in pairs:
+        x, y = objects_a[i], objects_b[j]
+        if x != y:
+            out.append(Edit("renamed", (*at_a, x), (*at_b, y), "object", "object", True))
+        cost, out = cost + (x != y) + tries[i][j][0], out + tries[i][j][1]
+    paired_a, paired_b = {objects_a[i] for i, _ in pairs}, {objects_b[j] for _, j in pairs}
+    for k in [*gone, *(k for k in objects_a if k not in paired_a)]:
         cost, out = cost + _size(a[k]), out + _removed(a[k], (*at_a, k))
-    for k in rest:
+    for k in [*new, *(k for k in objects_b if k not in paired_b)]:
         cost, out = cost + _size(b[k]), out + _added(b[k], (*at_b, k))
     return cost, out
 
@@ -195,9 +219,9 @@ def _added(o: Any, at: Path) -> list[Edit]:
     return [Edit("added", (), p, "", kind(v)) for p, v in leaves(o, at)]
 
 
-def script(a: dict, b: dict) -> list[Edit]:
+def script(a: dict, b: dict, by_path: bool = False) -> list[Edit]:
     """The edits that turn one file's schema into another's; a value that left one object and turned up in another under its name is moved."""
-    _, out = _script(a, b, (), ())
+    _, out = _script(a, b, (), (), by_path)
     old, new = dict(leaves(a)), dict(leaves(b))
     homes = defaultdict(list)
     for e in out:
@@ -211,25 +235,31 @@ def script(a: dict, b: dict) -> list[Edit]:
     return [x for e in out if (x := moved.get(e, e)) is not None]
 
 
-def path_changes(edits: list[Edit], a: dict, b: dict) -> Iterator[tuple[str, Path, Path]]:
-    """A script as changes of paths of values: what lies under a renamed object, or was moved, is removed and added."""
-    old, new = {p for p, _ in leaves(a)}, {p for p, _ in leaves(b)}
-    renamed = {(e.old, e.new) for e in edits if e.op == "renamed" and not e.nested and e.old[:-1] == e.new[:-1]}
-    yield from (("renamed", x, y) for x, y in renamed)
-    gone, come = old - new - {x for x, _ in renamed}, new - old - {y for _, y in renamed}
-    yield from (("retyped", e.old, e.new) for e in edits if e.op == "retyped" and (e.old == e.new or (e.old, e.new) in renamed))
-    yield from (("removed", p, ()) for p in gone)
-    yield from (("added", (), p) for p in come)
+def path_changes(edits: list[Edit]) -> Iterator[tuple[str, Path, Path]]:
+    """A script by path as changes of the paths of values: what is no longer in its object, since that was renamed or the value moved, is removed and added."""
+    stays = {(e.old, e.new) for e in edits if e.op == "renamed" and not e.nested and e.old[:-1] == e.new[:-1]}
+    for e in edits:
+        if e.nested:
+            continue
+        if e.op == "retyped":
+            if e.old == e.new or (e.old, e.new) in stays:
+                yield e.op, e.old, e.new
+        elif e.op in ("removed", "added") or (e.old, e.new) in stays:
+            yield e.op, e.old, e.new
+        else:
+            yield "removed", e.old, ()
+            yield "added", (), e.new
 
 
 def _compare(component: str, number: int, a: dict, b: dict, paths: bool) -> Iterator[tuple]:
-    edits = script(a, b)
+    edits = script(a, b, paths)
     if paths:
-        for op, old, new in path_changes(edits, a, b):
+        for op, old, new in path_changes(edits):
             yield component, number, op, ".".join(old), ".".join(new), "", "", False
     else:
         for e in edits:
-            yield component, number, e.op, ".".join(e.old), ".".join(e.new), e.old_type, e.new_type, e.nested
+            if e.op != "kept":
+                yield component, number, e.op, ".".join(e.old), ".".join(e.new), e.old_type, e.new_type, e.nested
 
 
 def sorted_files(df: DataFrame, component: str = "component", number: str = "phase_no", body: str = "body", order: str = "record_id") -> DataFrame:
@@ -239,22 +269,39 @@ def sorted_files(df: DataFrame, component: str = "component", number: str = "pha
 
 
 def _files(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, dict]]:
-    """One file for each component and number: of rows sent twice, the one whose body is an object and least in text."""
+    """One file for each component and number: of rows sent twice, the last by id whose body is an object."""
     key, held = None, None
     for pdf in batches:
-        for c, n, body in zip(pdf.component, pdf.phase_no, pdf.body, strict=True):
+        for c, n, r, body in zip(pdf.component, pdf.phase_no, pdf.record_id, pdf.body, strict=True):
             if (c, n) != key:
                 if held is not None:
                     yield *key, held[1]
                 key, held = (c, n), None
-            if (held is None or body < held[0]) and (doc := parse(body)) is not None:
-                held = (body, unnumbered(doc, int(n)))
+            order = (0,) if pd.isna(r) else (1, r)
+            if held is None or order > held[0]:
+                if held is not None and body == held[2]:
+                    held = (order, *held[1:])
+                elif (doc := parse(body)) is not None:
+                    held = (order, unnumbered(doc, int(n)), body)
     if held is not None:
         yield *key, held[1]
 
 
+@dataclass(frozen=True)
+class Drift:
+    """edits: every change between successive files; names: (name, n) of the members of the group's objects."""
+
+    edits: DataFrame
+    names: DataFrame
+
+
 def changes(files: DataFrame, paths: bool = True) -> DataFrame:
-    """Every change between successive files of a component, as path changes or as edit scripts.
+    """Every change between successive files of a component, as path changes or as edit scripts."""
+    return compare(files, paths).edits
+
+
+def compare(files: DataFrame, paths: bool = False, group: str = "checks") -> Drift:
+    """Successive files of each component, compared; every file is parsed once.
 
     files: of sorted_files(). A file that can't be read counts as not there, so the one after it is
     compared with the one before it. The first file of a partition finds its predecessor in a second,
@@ -263,37 +310,67 @@ def changes(files: DataFrame, paths: bool = True) -> DataFrame:
     columns = [f.split()[0] for f in SCRIPT.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, rows = None, []
+        first = last = None
+        rows, count = [], Counter()
         for c, n, doc in _files(batches):
             if last and last[0] == c:
-                rows += _compare(c, int(n), last[1], doc, paths)
-            last = (c, doc)
+                rows += _compare(c, int(n), last[2], doc, paths)
+            last = (c, int(n), doc)
+            first = first or last
+            if not paths:
+                count.update(k for m in _objects(doc, group).values() for k in m)
             if len(rows) > 5000:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
+        rows += [(None, n, "named", k, "", "", "", False) for k, n in count.items()]
+        if first:
+            pid = str(TaskContext.get().partitionId())
+            rows += [(x[0], x[1], what, pid, "", "", "", False) for x, what in ((first, "first"), (last, "last"))]
         yield pd.DataFrame(rows, columns=columns)
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [None, None]
-        for c, n, _ in _files(batches):
-            got = [got[0] or (c, int(n)), (c, int(n))]
-        if got[0]:
-            yield pd.DataFrame([(TaskContext.get().partitionId(), *got[0], *got[1])], columns=["pid", "c0", "n0", "c1", "n1"])
-
-    ends = sorted((r for r in files.mapInPandas(edges, "pid int, c0 string, n0 int, c1 string, n1 int").collect()), key=lambda r: r.pid)
-    pairs = [x for p, q in zip(ends, ends[1:], strict=False) if p.c1 == q.c0 for x in ((q.pid, p.pid, p.c1, p.n1), (q.pid, q.pid, q.c0, q.n0))]
-    inner = files.mapInPandas(scan, SCRIPT)
-    if not pairs:
-        return inner
-    seams = files.sparkSession.createDataFrame(pairs, "seam int, pid int, component string, phase_no int")
-    both = files.withColumn("pid", F.spark_partition_id()).join(F.broadcast(seams), ["pid", "component", "phase_no"])
+    log = checkpoint(files.mapInPandas(scan, SCRIPT))
+    names = log.where("op = 'named'").groupBy(F.col("old_path").alias("name")).agg(F.sum("phase_no").alias("n"))
+    ends: dict[int, dict] = defaultdict(dict)
+    for r in log.where("op in ('first', 'last')").collect():  # two rows a partition
+        ends[int(r.old_path)][r.op] = (r.component, r.phase_no)
+    order = sorted(ends)
+    seams = [x for p, q in zip(order, order[1:], strict=False) if ends[p]["last"][0] == ends[q]["first"][0] for x in ((q, p, *ends[p]["last"]), (q, q, *ends[q]["first"]))]
+    inner = log.where("op not in ('named', 'first', 'last')")
+    if not seams:
+        return Drift(inner, names)
+    seam_rows = files.sparkSession.createDataFrame(seams, "seam int, pid int, component string, phase_no int")
+    both = files.withColumn("pid", F.spark_partition_id()).join(F.broadcast(seam_rows), ["pid", "component", "phase_no"])
 
     def seam(pdf: pd.DataFrame) -> pd.DataFrame:
         docs = list(_files(iter([pdf.sort_values(["phase_no", "record_id"])])))
         rows = _compare(docs[1][0], int(docs[1][1]), docs[0][2], docs[1][2], paths) if len(docs) == 2 else []
         return pd.DataFrame(list(rows), columns=columns)
 
-    return inner.unionByName(both.groupBy("seam").applyInPandas(seam, SCRIPT))
+    return Drift(inner.unionByName(both.groupBy("seam").applyInPandas(seam, SCRIPT)), names)
+
+
+def first_names(edits: DataFrame, group: str = "checks") -> DataFrame:
+    """What the group's renamed objects were called before any rename: (component, phase_no, name, first), from that phase on.
+
+    The renames of a component pass in order, with the names that are live held.
+    """
+    nested = edits.where(F.col("nested") & (F.col("op") == "renamed") & F.col("old_path").startswith(f"{group}.") & F.col("new_path").startswith(f"{group}."))
+    at = len(group) + 2
+    renames = nested.select("component", "phase_no", F.expr(f"substring(old_path, {at})").alias("old"), F.expr(f"substring(new_path, {at})").alias("new"))
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, first, phase, fresh = None, {}, None, {}
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if (r.component, r.phase_no) != (component, phase):
+                    first = {**first, **fresh} if r.component == component else {}
+                    component, phase, fresh = r.component, r.phase_no, {}
+                fresh[r.new] = first.get(r.old, r.old)  # renames of one file happen at once
+                out.append((component, phase, r.new, fresh[r.new]))
+            yield pd.DataFrame(out, columns=["component", "phase_no", "name", "first"])
+
+    return renames.repartition("component").sortWithinPartitions("component", "phase_no", "old").mapInPandas(follow, "component string, phase_no int, name string, first string")
 
 
 def _objects(doc: dict, group: str) -> dict[str, dict]:
@@ -307,13 +384,14 @@ def _others(doc: dict, group: str) -> dict[str, Any]:
     return {k: v for k, v in held.items() if not isinstance(v, dict)} if isinstance(held, dict) else {}
 
 
-def field_names(edits: DataFrame, files: DataFrame, group: str = "checks", support: float = 0.02) -> dict[str, str]:
+def field_names(drift: Drift, group: str = "checks", support: float = 0.02) -> dict[str, str]:
     """Which member names of the group's objects mean one field: name to the name used most.
 
     Renames in the scripts link names; a link counts if it makes up the given share of all renames of
     either name, so a chance equality of two values links nothing. What is collected grows with the
     number of different names, not with the files.
     """
+    edits = drift.edits
     renames = edits.where((F.col("op") == "renamed") & ~F.col("nested") & F.col("old_path").startswith(f"{group}."))
     pair = renames.groupBy(F.element_at(F.split("old_path", r"\."), -1).alias("a"), F.element_at(F.split("new_path", r"\."), -1).alias("b")).count()
     links: Counter = Counter()
@@ -324,11 +402,7 @@ def field_names(edits: DataFrame, files: DataFrame, group: str = "checks", suppo
         total[a] += n
         total[b] += n
 
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Counter(k for _, _, doc in _files(batches) for c in _objects(doc, group).values() for k in c)
-        yield pd.DataFrame(list(count.items()), columns=["name", "n"])
-
-    used = {r.name: r.n for r in files.mapInPandas(names, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n")).collect()}
+    used = {r.name: r.n for r in drift.names.collect()}
     home = {k: k for k in used}
 
     def find(k: str) -> str:
@@ -353,17 +427,20 @@ def _placed(members: dict, fields: dict[str, str]) -> dict[str, str]:
     return row
 
 
-def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "checks", value: str | None = None) -> DataFrame:
+def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "checks", value: str | None = None, first: DataFrame | None = None) -> DataFrame:
     """All named objects of the group in all files, one row each, with one text column for each field.
 
-    Values keep their JSON text, strings their content; a member that is null or absent is null, and an
-    object inside is JSON text. Where members of one object meet in a field, the one that has the field's
-    name is its value, else the least by name; each other has, like a member that fields doesn't list, its
-    value in a column of its own name, so no value is lost. Columns are component, phase_no, check_name,
-    the sorted fields, and the sorted names of such members, of which there are none in most data.
+    Values keep their JSON text, strings their content, since a field's type may change; a member that is
+    null or absent is null, and an object inside is JSON text. Where members of one object meet in a field,
+    the one that has the field's name is its value, else the least by name; each other has, like a member
+    that fields doesn't list, its value in a column of its own name, so no value is lost. Columns are
+    component, phase_no, check_name, the sorted fields, and the sorted names of such members, of which
+    there are none in most data.
 
     value: the name of one more column, after check_name; with it, what the group holds under a name that is
     no object (a string, number, boolean, array or null) is a row as well, with its JSON text there.
+    first: of first_names(); with it, a column first_name follows, what the object was called before it was
+    renamed in its series.
     """
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,13 +455,11 @@ def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "che
                 rows = []
         yield pd.DataFrame(rows, columns=["component", "phase_no", "check_name", "value", "m"])
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = {k for _, _, doc in _files(batches) for m in _objects(doc, group).values() for k in _placed(m, fields) if k.startswith("\0")}
-        yield pd.DataFrame([(k[1:],) for k in sorted(found)], columns=["k"])
-
-    out = files.mapInPandas(project, "component string, phase_no int, check_name string, value string, m map<string,string>")
-    extra = sorted(r.k for r in files.mapInPandas(own, "k string").distinct().collect())
-    taken = {"component", "phase_no", "check_name", *([value.lower()] if value else [])}
+    out = checkpoint(files.mapInPandas(project, "component string, phase_no int, check_name string, value string, m map<string,string>"))
+    keys = out.select(F.explode(F.map_keys("m")).alias("k")).where(F.col("k").startswith("\0")).distinct()
+    extra = sorted(r.k[1:] for r in keys.collect())
+    taken_by_first = ["first_name"] if first is not None else []
+    taken = {"component", "phase_no", "check_name", *taken_by_first, *([value.lower()] if value else [])}
     lower: Counter = Counter(f.lower() for f in set(fields.values()))
     columns = sorted(set(fields.values()))
     named = [(f, f"member_{i}_{f}" if f.lower() in taken or lower[f.lower()] > 1 else f) for i, f in enumerate(columns)]
@@ -393,4 +468,14 @@ def consistent_table(files: DataFrame, fields: dict[str, str], group: str = "che
         named.append(("\0" + k, f"member_{i}_{k}" if k.lower() in used else k))
         used.add(named[-1][1].lower())
     kept = [F.col("value").alias(value)] if value else []
+    if first is not None:
+        first = checkpoint(first)
+        if first.limit(1).count():
+            events = first.select("component", "phase_no", F.col("name").alias("check_name"), "first", F.lit(None).cast("string").alias("value"), F.lit(None).cast("map<string,string>").alias("m"), F.lit(0).alias("row"))
+            rows = out.select("component", "phase_no", "check_name", F.lit(None).cast("string").alias("first"), "value", "m", F.lit(1).alias("row"))
+            before = Window.partitionBy("component", "check_name").orderBy("phase_no", "row")
+            out = events.unionByName(rows).withColumn("first", F.last("first", ignorenulls=True).over(before)).where("row = 1")
+        else:
+            out = out.withColumn("first", F.lit(None).cast("string"))
+        kept.append(F.coalesce("first", "check_name").alias("first_name"))
     return out.select("component", "phase_no", "check_name", *kept, *[F.try_element_at("m", F.lit(key)).alias(name) for key, name in named])

@@ -25,7 +25,16 @@ def p1_scripts(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_checks(spark: SparkSession, d: str) -> DataFrame:
     files = drift.sorted_files(table(spark, d, "verification_record"))
-    return drift.consistent_table(files, drift.field_names(drift.changes(files, paths=False), files), value="check_value")
+    found = drift.compare(files)
+    return drift.consistent_table(files, drift.field_names(found), value="check_value", first=drift.first_names(found.edits))
+
+
+def p1_complete(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each check has in the consistent table, wherever its members went."""
+    checks = p1_checks(spark, d)
+    values = [c for c in checks.columns if c not in ("component", "phase_no", "check_name", "check_value", "first_name")]
+    filled = sum((F.col(f"`{c}`").isNotNull().cast("bigint") for c in values), F.lit(0).cast("bigint"))
+    return checks.select("component", "phase_no", "check_name", filled.alias("n_values"), F.col("check_value").isNotNull().alias("plain"))
 
 
 # 2: intervals
@@ -132,7 +141,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.per_period(_orphans(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scripts, p1_checks, p2_found, p2_periods, p3_found, p3_paths, p3_descendants, p4_features, p4_vectors, p4_kinds, p6_found, p6_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scripts, p1_checks, p1_complete, p2_found, p2_periods, p3_found, p3_paths, p3_descendants, p4_features, p4_vectors, p4_kinds, p6_found, p6_report)}
 
 _SPANS = """spans AS (
   SELECT execution_id e, started_at_epoch_ms s, ended_at_epoch_ms t FROM model_call UNION ALL
@@ -176,7 +185,39 @@ cases AS (
   SELECT r.*, CASE WHEN p.k IS NULL THEN 'missing' WHEN p.deleted_ms <= r.at_ms THEN 'deleted' WHEN p.first_loaded > r.loaded_at THEN 'late' END case_kind
   FROM records r LEFT JOIN parents p USING (kind, tenant_id, k))"""
 
+# values of a file by path: what lies inside an array is no value of its own
+_FILES = r"""files AS (
+  SELECT component, phase_no, body FROM (SELECT *, row_number() OVER (PARTITION BY component, phase_no ORDER BY record_id DESC) rn FROM verification_record
+    WHERE component IS NOT NULL AND phase_no IS NOT NULL AND json_valid(body)) WHERE rn = 1 AND json_type(body) = 'OBJECT'),
+numbered AS (SELECT component, phase_no, body, lag(phase_no) OVER (PARTITION BY component ORDER BY phase_no) before FROM files),
+nodes AS (SELECT component, phase_no, t.id, t.type, t.fullkey, json_extract_string(body, t.fullkey) v FROM files, json_tree(body) t WHERE t.type <> 'OBJECT' AND NOT contains(t.path, '[')),
+leaves AS (
+  SELECT component, phase_no, id, regexp_replace(regexp_replace(substr(fullkey, 3), '"', '', 'g'), 'phase' || phase_no || '([^0-9]|$)', 'phaseN\1', 'g') path, v,
+    CASE WHEN type = 'NULL' THEN 'null' WHEN type = 'VARCHAR' THEN 'string' WHEN type IN ('ARRAY', 'BOOLEAN') THEN lower(type) ELSE 'number' END kind FROM nodes WHERE NOT regexp_matches(fullkey, '\[[0-9]+\]$')),
+old AS (SELECT l.*, n.phase_no to_no FROM leaves l JOIN numbered n ON l.component = n.component AND l.phase_no = n.before),
+new AS (SELECT l.* FROM leaves l JOIN numbered n USING (component, phase_no) WHERE n.before IS NOT NULL),
+gone AS (
+  SELECT *, row_number() OVER (PARTITION BY component, to_no, home, alike, v ORDER BY id) k FROM (
+    SELECT o.component, o.to_no, o.path, o.id, o.kind, o.v, regexp_replace(o.path, '[^.]*$', '') home, CASE WHEN o.kind IN ('string', 'number') THEN 'text' WHEN o.kind = 'null' THEN NULL ELSE o.kind END alike
+    FROM old o ANTI JOIN new n ON o.component = n.component AND o.to_no = n.phase_no AND o.path = n.path)),
+come AS (
+  SELECT *, row_number() OVER (PARTITION BY component, phase_no, home, alike, v ORDER BY id) k FROM (
+    SELECT n.component, n.phase_no, n.path, n.id, n.kind, n.v, regexp_replace(n.path, '[^.]*$', '') home, CASE WHEN n.kind IN ('string', 'number') THEN 'text' WHEN n.kind = 'null' THEN NULL ELSE n.kind END alike
+    FROM new n ANTI JOIN old o ON o.component = n.component AND o.to_no = n.phase_no AND o.path = n.path)),
+pairs AS (
+  SELECT g.component, c.phase_no, g.path old_path, c.path new_path, g.kind a, c.kind b FROM gone g JOIN come c
+  ON g.component = c.component AND g.to_no = c.phase_no AND g.home = c.home AND g.alike = c.alike AND g.v = c.v AND g.k = c.k)"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_FILES}
+SELECT component, phase_no, old_path, new_path, 'renamed' AS change_kind FROM pairs UNION ALL
+SELECT component, phase_no, old_path, new_path, 'retyped' FROM pairs WHERE a <> b UNION ALL
+SELECT o.component, n.phase_no, o.path, n.path, 'retyped' FROM old o JOIN new n ON o.component = n.component AND o.to_no = n.phase_no AND o.path = n.path WHERE o.kind <> n.kind AND 'null' NOT IN (o.kind, n.kind) UNION ALL
+SELECT component, to_no, path, '', 'removed' FROM gone g WHERE NOT EXISTS (FROM pairs p WHERE p.component = g.component AND p.phase_no = g.to_no AND p.old_path = g.path) UNION ALL
+SELECT component, phase_no, '', path, 'added' FROM come c WHERE NOT EXISTS (FROM pairs p WHERE p.component = c.component AND p.phase_no = c.phase_no AND p.new_path = c.path)""",
+    "p1_complete": f"""WITH {_FILES}, checks AS (SELECT component, phase_no, c.key k, c.type, c.value v FROM files, json_each(body, '$.checks') c)
+SELECT component, phase_no, regexp_replace(k, 'phase' || phase_no || '([^0-9]|$)', 'phaseN\\1', 'g') AS check_name,
+  CASE WHEN type = 'OBJECT' THEN (SELECT count(*) FROM json_each(v) m WHERE m.type <> 'NULL') ELSE 0 END AS n_values, type <> 'OBJECT' AS plain FROM checks""",
     "p2_found": f"WITH {_SPANS} SELECT e AS execution_id, before AS gap_start_epoch_ms, s AS gap_end_epoch_ms FROM seen WHERE s > before",
     "p2_periods": f"""WITH {_SPANS}, marked AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY e ORDER BY s, t ROWS UNBOUNDED PRECEDING) island FROM seen)
 SELECT e AS execution_id, min(s) AS period_start_epoch_ms, max(t) AS period_end_epoch_ms, count(*) AS n_spans FROM marked GROUP BY e, island""",

@@ -10,7 +10,7 @@ from graphloom.operators.drift import _assign, parse, path_changes, script, unnu
 
 def changes_of(a, b, n=1, m=2):
     x, y = unnumbered(parse(json.dumps(a)), n), unnumbered(parse(json.dumps(b)), m)
-    return sorted((op, ".".join(p), ".".join(q)) for op, p, q in path_changes(script(x, y), x, y))
+    return sorted((op, ".".join(p), ".".join(q)) for op, p, q in path_changes(script(x, y, True)))
 
 
 def test_kinds():
@@ -30,7 +30,55 @@ def test_own_number_only():
 def test_renamed_object_is_removed_and_added():
     a, b = {"checks": {"scan": {"s": "p", "t": "q"}}}, {"checks": {"walk": {"s": "p", "t": "q"}}}
     assert changes_of(a, b) == [("added", "", "checks.walk.s"), ("added", "", "checks.walk.t"), ("removed", "checks.scan.s", ""), ("removed", "checks.scan.t", "")]
-    assert [(e.op, e.nested) for e in script(parse(json.dumps(a)), parse(json.dumps(b)))] == [("renamed", True)]
+    assert [(e.op, e.nested) for e in script(parse(json.dumps(a)), parse(json.dumps(b))) if e.op != "kept"] == [("renamed", True)]
+
+
+def test_an_object_and_a_value_swap_names():
+    edits = script(parse('{"x": {"p": 1, "q": 2}, "y": 5}'), parse('{"y": {"p": 1, "q": 2}, "x": 5}'))
+    assert sorted((e.op, e.old, e.new) for e in edits if e.op != "kept") == [("renamed", ("x",), ("y",)), ("renamed", ("y",), ("x",))]
+
+
+def test_the_same_type_first():
+    edits = script(parse('{"a": 8, "b": "8"}'), parse('{"c": "8", "d": 8}'))
+    assert sorted((e.op, e.old[-1], e.new[-1]) for e in edits) == [("renamed", "a", "d"), ("renamed", "b", "c")]
+
+
+def least(a, b):
+    """Least cost over all pairings of members, by trying them all."""
+    size = drift._size
+    names_a, names_b = list(a), list(b)
+
+    def pair(k, n):
+        x, y = a[k], b[n]
+        if isinstance(x, dict) != isinstance(y, dict):
+            return None
+        if isinstance(x, dict):
+            return (k != n) + least(x, y)
+        retyped = drift.kind(x) != drift.kind(y) and "null" not in (drift.kind(x), drift.kind(y))
+        if k == n:
+            return int(retyped)
+        return 1 + retyped if drift._same(x) and drift._same(x) == drift._same(y) else None
+
+    def best(i, free):
+        if i == len(names_a):
+            return sum(size(b[n]) for n in free)
+        ways = [size(a[names_a[i]]) + best(i + 1, free)]
+        for n in free:
+            if (c := pair(names_a[i], n)) is not None:
+                ways.append(c + best(i + 1, free - {n}))
+        return min(ways)
+
+    return best(0, frozenset(names_b))
+
+
+_TREES = st.recursive(st.sampled_from([1, "1", 2, True, None]), lambda t: st.dictionaries(st.sampled_from("abcd"), t, max_size=3), max_leaves=7).map(lambda t: t if isinstance(t, dict) else {"a": t})
+
+
+@settings(max_examples=200, deadline=None)
+@given(_TREES, _TREES)
+def test_scripts_are_cheapest(a, b):
+    x, y = parse(json.dumps(a)), parse(json.dumps(b))
+    assert drift._script(x, y, (), (), False)[0] == least(x, y)
 
 
 def test_moved():
@@ -65,7 +113,7 @@ def test_changes_over_partitions(spark, rows):
             continue
         if previous:
             x, y = (unnumbered(parse(json.dumps(b)), b["phase"]) for b in (previous, body))
-            want += [("c", n, op, ".".join(p), ".".join(q)) for op, p, q in path_changes(script(x, y), x, y)]
+            want += [("c", n, op, ".".join(p), ".".join(q)) for op, p, q in path_changes(script(x, y, True))]
         previous = body
     data += [(1000, None, 3, "{}", "x"), (1001, "d", None, "{}", "x"), (1002, "d", 1, "{}", "x")]
     df = spark.createDataFrame(data, "record_id bigint, component string, phase_no int, body string, pid string").repartition(4)
@@ -78,12 +126,27 @@ def test_consistent_table(spark):
     body = lambda s: json.dumps({"checks": {"a": {s: "ok" + s, "n": 1}, "b": 3}, "z": 1})
     data = [(i, f"c{i}", n, body("status" if n == 1 else "state" if i % 2 else "status").replace("okstate", "okstatus")) for i in range(6) for n in (1, 2)]
     files = drift.sorted_files(spark.createDataFrame(data, "record_id bigint, component string, phase_no int, body string"))
-    names = drift.field_names(drift.changes(files, paths=False), files)
+    names = drift.field_names(drift.compare(files))
     assert names == {"status": "status", "state": "status", "n": "n"}
     got = drift.consistent_table(files, names)
     assert got.columns == ["component", "phase_no", "check_name", "n", "status"] and got.where("status = 'okstatus' and n = '1'").count() == 12
 
 
+def test_first_names(spark):
+    """A check that is renamed along its series keeps its first name; another component's names are its own."""
+    def body(n, **checks):
+        return json.dumps({"checks": {k: {"s": f"v{v}", "t": f"w{v}", "n": 1} for k, v in checks.items()}})
+
+    series = {"c": [dict(a=1, b=2), dict(a=1, d=2), dict(e=1, d=2), dict(d=1, f=2), dict(d=1, f=2)], "o": [dict(f=1), dict(f=1)]}
+    data = [(i * 10 + n, c, n, body(n, **k), "x") for i, (c, files) in enumerate(series.items()) for n, k in enumerate(files)]
+    files = drift.sorted_files(spark.createDataFrame(data, "record_id bigint, component string, phase_no int, body string, first string"))
+    found = drift.compare(files)
+    got = drift.consistent_table(files, drift.field_names(found), first=drift.first_names(found.edits))
+    names = {(r.component, r.phase_no, r.check_name): r.first_name for r in got.collect()}
+    assert names["c", 1, "d"] == "b" and names["c", 2, "e"] == "a" and names["c", 4, "f"] == names["c", 3, "f"] and names["o", 1, "f"] == "f"
+    assert {names["c", 4, "d"], names["c", 4, "f"]} == {"a", "b"} and len(names) == len(series["c"]) * 2 + 2
+
+
 def test_members_that_meet_in_a_field(spark):
     """Every value of every member is in the table: the field's own name first, the others under their names."""
     bodies = ['{"note": "old", "summary": "new", "n": 1}', '{"note": "alone"}', '{"summary": null, "note": "left"}', '{"text": "t", "note": "s"}', '{"Summary": "S", "text": "u", "summary": "v"}']
@@ -103,8 +166,8 @@ def test_checks_that_are_no_objects(spark, tmp_path):
     bodies = ['{"checks": {"a": {"status": "ok", "check_value": 1}, "b": "ok"}}', '{"checks": {"a": 8.0, "b": {"status": "ok"}, "c": true, "d": [1, "1", {"k": null}], "e": null, "f": "8"}}']
     spark.createDataFrame([(i, "c", i, b) for i, b in enumerate(bodies)], "record_id bigint, component string, phase_no int, body string").write.parquet(f"{tmp_path}/verification_record.parquet")
     got = p1_checks(spark, str(tmp_path))
-    assert got.columns == ["component", "phase_no", "check_name", "check_value", "member_0_check_value", "status"]
-    assert [tuple(r)[1:] for r in got.orderBy("phase_no", "check_name").collect()] == [
+    assert got.columns == ["component", "phase_no", "check_name", "check_value", "first_name", "member_0_check_value", "status"]
+    assert [(*tuple(r)[1:4], *tuple(r)[5:]) for r in got.orderBy("phase_no", "check_name").collect()] == [
         (0, "a", None, "1", "ok"), (0, "b", '"ok"', None, None), (1, "a", "8.0", None, None), (1, "b", None, None, "ok"), (1, "c", "true", None, None),
         (1, "d", '[1, "1", {"k": null}]', None, None), (1, "e", "null", None, None), (1, "f", '"8"', None, None),
     ]
