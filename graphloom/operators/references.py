@@ -1,9 +1,10 @@
 """References to records that do not exist, are deleted or arrive later.
 
-Keys of the parents and of the references are dictionary-encoded as integers. For each range of 32,768
-integers there is a bitmap of the keys referred to in a period, and bitmaps of the keys that were there,
-were deleted by the period's end, or had not arrived at its start. References AND NOT parents are the
-missing ones; references AND the other two are candidates, whose times an exact comparison settles.
+Keys of the parents and of the references are dictionary-encoded as integers by one aggregation over both.
+For each range of 32,768 integers there is a bitmap of the keys that a parent has, and for each period,
+compressed, those that are referred to, deleted or arrive. References AND NOT parents are the missing
+ones; references AND those deleted by then or not yet arrived are candidates, whose times an exact
+comparison settles.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_ROWS, checkpoint
+from graphloom.session import checkpoint, small
 
 DAY_MS = 86_400_000
 KEY = ["kind", "tenant", "key"]
+#: Ids of a bitmap.
+RANGE = 32_768
 
 
 @dataclass(frozen=True)
@@ -66,49 +69,48 @@ def reference_rows(df: DataFrame, refs: list[Reference]) -> DataFrame:
     return records.select("row_id", "tenant", "time_ms", "loaded_us", F.inline(each)).where("key is not null")
 
 
-def _bits(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8)
-
-
 def surviving_keys(dictionary: DataFrame) -> DataFrame:
-    """Ids of keys that some period refers to in vain, or perhaps so: column id.
+    """Ids of keys that some period refers to in vain, or perhaps so: (id, missing).
 
     dictionary: id, present, loaded_day, deleted_day of each key and days, the set of (time_day,
-    loaded_day) in which it is referred to. Bitmaps are built by partial aggregation; one task then holds
-    the bitmaps of one range of ids, whose number is that of the periods, not of the rows.
+    loaded_day) in which it is referred to. A period's keys of a range are kept as sorted positions, which
+    a range of 32,768 ids spread over many periods fills sparsely; presence, which it fills densely, as
+    bits. One task holds one range at a time, whose size is that of its keys and periods, not of the rows.
     """
-    at = [F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("pos")]
-    refs = dictionary.select(*at, F.explode("days").alias("d"))
+    at = [F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").cast("int").alias("pos")]
+    refs = dictionary.where(F.size("days") > 0).select(*at, F.explode("days").alias("d"))
     marks = refs.select("bucket", "pos", F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(f"d.{c}").alias("day")) for n, c in (("ref_time", "time_day"), ("ref_loaded", "loaded_day"))])).alias("m"))
     own = dictionary.where("present").select(*at, F.explode(F.array(F.struct(F.lit("present").alias("what"), F.lit(0).cast("bigint").alias("day")), F.struct(F.lit("deleted").alias("what"), F.col("deleted_day").alias("day")), F.struct(F.lit("loaded").alias("what"), F.col("loaded_day").alias("day")))).alias("m"))
-    maps = marks.unionByName(own).select("bucket", "pos", "m.what", "m.day").where("day is not null").groupBy("bucket", "what", "day").agg(F.bitmap_construct_agg("pos").alias("bits"))
+    laid = marks.unionByName(own).select("bucket", "pos", "m.what", "m.day").where("day is not null").repartition("bucket")
+    dense = F.col("what") == "present"
+    maps = laid.groupBy("bucket", "what", "day").agg(F.collect_set(F.when(~dense, F.col("pos"))).alias("places"), F.bitmap_construct_agg(F.when(dense, F.col("pos").cast("bigint"))).alias("bits"))
+    maps = maps.withColumn("bits", F.when(dense, F.col("bits")))
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         by = {w: g.sort_values("day") for w, g in pdf.groupby("what")}
-        none = np.zeros(4096, np.uint8)
-        present = _bits(by["present"].bits.iloc[0]) if "present" in by else none
-        found = none.copy()
+        present = np.unpackbits(np.frombuffer(by["present"].bits.iloc[0], np.uint8), bitorder="little").astype(bool) if "present" in by else np.zeros(RANGE, bool)
+        missing, perhaps, gone, seen = (np.zeros(RANGE, bool) for _ in range(4))
 
         def events(what: str) -> list[tuple[int, np.ndarray]]:
-            return [(int(d), _bits(b)) for d, b in zip(by[what].day, by[what].bits, strict=True)] if what in by else []
+            return [(int(d), np.asarray(p, np.int64)) for d, p in zip(by[what].day, by[what].places, strict=True)] if what in by else []
 
-        gone, seen, deleted, arrived = none.copy(), none.copy(), events("deleted"), events("loaded")
-        i = 0
+        deleted, arrived, i = events("deleted"), events("loaded"), 0
         for day, refs in events("ref_time"):
             while i < len(deleted) and deleted[i][0] <= day:
-                gone |= deleted[i][1]
+                gone[deleted[i][1]] = True
                 i += 1
-            found |= (refs & ~present) | (refs & gone)
+            missing[refs] |= ~present[refs]
+            perhaps[refs] |= gone[refs]
         i = 0
         for day, refs in events("ref_loaded"):
             while i < len(arrived) and arrived[i][0] < day:
-                seen |= arrived[i][1]
+                seen[arrived[i][1]] = True
                 i += 1
-            found |= refs & present & ~seen
-        pos = np.flatnonzero(np.unpackbits(found, bitorder="little"))
-        return pd.DataFrame({"id": (int(pdf.bucket.iloc[0]) - 1) * 32768 + pos + 1})
+            perhaps[refs] |= present[refs] & ~seen[refs]
+        pos = np.flatnonzero(missing | perhaps)
+        return pd.DataFrame({"id": (int(pdf.bucket.iloc[0]) - 1) * RANGE + pos + 1, "missing": missing[pos]})
 
-    return maps.groupBy("bucket").applyInPandas(bucket, "id bigint")
+    return maps.groupBy("bucket").applyInPandas(bucket, "id bigint, missing boolean")
 
 
 def classify(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -119,24 +121,19 @@ def classify(references: DataFrame, parents: DataFrame) -> DataFrame:
     row of the referring record. A null time is never after a deletion; a null arrival is never late.
     """
     day_us = DAY_MS * 1000
-    own = parents.groupBy(*KEY).agg(F.min("deleted_ms").alias("deleted_ms"), F.min("loaded_us").alias("loaded_us"), F.lit(True).alias("present"))
-    days = references.select(*KEY, F.floor(F.col("time_ms") / DAY_MS).cast("bigint").alias("time_day"), F.floor(F.col("loaded_us") / day_us).cast("bigint").alias("loaded_day"))
-    days = days.fillna(-(1 << 40), ["time_day"])
-    asked = days.groupBy(*KEY).agg(F.collect_set(F.struct("time_day", "loaded_day")).alias("days"))
-    keys = asked.join(own, KEY, "left").select(*KEY, "deleted_ms", "loaded_us", F.coalesce("present", F.lit(False)).alias("present"), "days")
-    keys = keys.sortWithinPartitions(*KEY).withColumn("id", F.monotonically_increasing_id() + 1)
-    keys = checkpoint(keys)
+    references = checkpoint(references)
+    none = F.lit(None)
+    period = F.struct(F.coalesce(F.floor(F.col("time_ms") / DAY_MS).cast("bigint"), F.lit(-(1 << 40))).alias("time_day"), F.floor(F.col("loaded_us") / day_us).cast("bigint").alias("loaded_day"))
+    asked = references.select(*KEY, period.alias("day"), none.cast("bigint").alias("deleted_ms"), none.cast("bigint").alias("loaded_us"), F.lit(False).alias("present"))
+    own = parents.select(*KEY, none.cast(asked.schema["day"].dataType).alias("day"), "deleted_ms", "loaded_us", F.lit(True).alias("present"))
+    keys = asked.unionByName(own).groupBy(*KEY).agg(F.collect_set("day").alias("days"), F.min("deleted_ms").alias("deleted_ms"), F.min("loaded_us").alias("loaded_us"), F.bool_or("present").alias("present"))
+    keys = checkpoint(keys.where(F.size("days") > 0).withColumn("id", F.monotonically_increasing_id() + 1))
     dictionary = keys.select("id", "present", F.floor(F.col("loaded_us") / day_us).cast("bigint").alias("loaded_day"), F.floor(F.col("deleted_ms") / DAY_MS).cast("bigint").alias("deleted_day"), "days")
     survivors = checkpoint(surviving_keys(dictionary))
     n = survivors.count()
-    hint = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
-    vain = keys.drop("days").join(hint(survivors), "id", "left_semi").withColumnsRenamed({"loaded_us": "own_loaded_us"}).drop("id")
-    cases = references.join(vain if n > BROADCAST_ROWS else F.broadcast(vain), KEY)
-    kind = (
-        F.when(~F.col("present"), "missing")
-        .when(F.col("deleted_ms") <= F.col("time_ms"), "deleted")
-        .when(F.col("own_loaded_us") > F.col("loaded_us"), "late")
-    )
+    vain = keys.select(*KEY, "id", "deleted_ms", F.col("loaded_us").alias("own_loaded_us")).join(small(survivors, n), "id").drop("id")
+    cases = references.join(small(vain, n), KEY)
+    kind = F.when(F.col("missing"), "missing").when(F.col("deleted_ms") <= F.col("time_ms"), "deleted").when(F.col("own_loaded_us") > F.col("loaded_us"), "late")
     return cases.select("ref_table", "ref_field", "row_id", kind.alias("case_kind"), "time_ms").where("case_kind is not null")
 
 
