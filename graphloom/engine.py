@@ -8,13 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.governed import route_graphs
 from graphloom.plans import algebra as A
 from graphloom.plans.algebra import Iri, Query, Var
 from graphloom.plans.lower import Forbidden, Lowering, Scope, Unsupported
 from graphloom.plans.parser import parse
 from graphloom.plans.paths import Limits
-from graphloom.plans.relation import Rel, cn
+from graphloom.plans.relation import Rel
 from graphloom.plans.values import TERM, struct, term, term_constant
+from graphloom.session import checkpoint, round_checkpoint
 from graphloom.sources.mapping import Mapping, VirtualSource
 from graphloom.sources.quads import Active, QuadSource
 from graphloom.sources.rdf import DEFAULT, ntriples
@@ -61,9 +63,24 @@ class Catalog:
         return Active(frozenset(default), frozenset(named)), how
 
 
+    def of_roles(self, active: Active, roles: frozenset[str] | None) -> Active:
+        """The part of an active dataset whose graphs have one of the roles; none at all is an error."""
+        if roles is None:
+            return active
+        may = frozenset(g.name for g in self.graphs if g.role in roles)
+        kept = Active(active.default & may, active.named & may)
+        if not kept.default | kept.named:
+            raise Forbidden("no graph of these roles")
+        return kept
+
+
 @dataclass
 class Engine:
-    """A dataset of quads or of mapped tables, with what its queries may do."""
+    """A dataset of quads or of mapped tables, with what its queries may do.
+
+    capabilities: of capability_index(), to read only graphs that can match; roles: those of the graphs
+    that may answer, all if it is None.
+    """
 
     spark: SparkSession
     catalog: Catalog
@@ -75,6 +92,8 @@ class Engine:
     services: dict[str, Engine] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
     row_ceiling: int | None = None
+    capabilities: DataFrame | None = None
+    roles: frozenset[str] | None = None
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
     @staticmethod
@@ -94,12 +113,23 @@ class Engine:
 
     def lowering(self, query: Query, principal: frozenset[str], protocol=None) -> Lowering:
         active, how = self.catalog.resolve(principal, query, protocol)
+        active = self.routed(query, self.catalog.of_roles(active, self.roles))
         services = {}
         for iri, e in self.services.items():
             may = frozenset(e.catalog.authorized(principal))
             services[iri] = e.source(Active(may, may))
         return Lowering(self.source(active, how == "service"), query.base, self.limits, services, self.functions)
 
+    def routed(self, query: Query, active: Active) -> Active:
+        """The graphs that can match, by the capability index if there is one; graphs that the query names stay."""
+        if self.capabilities is None or any(isinstance(x, A.Graph) and x.inner == A.Bgp() for x in A.walk(query.pattern)) or query.form == "DESCRIBE":
+            return active
+        named = {x.name.value for x in A.walk(query.pattern) if isinstance(x, A.Graph) and isinstance(x.name, Iri)}
+        if named - active.named:
+            return active  # refused where the pattern is read
+        needed = route_graphs(query, self.capabilities, sorted(active.default | active.named)) | named
+        return Active(active.default & needed, active.named & needed)
+
     def relation(self, text: str | Query, principal: frozenset[str] = PUBLIC, protocol=None) -> Rel:
         query = parse(text) if isinstance(text, str) else text
         return self.lowering(query, principal, protocol)(query.pattern)
@@ -126,10 +156,17 @@ class Engine:
 
 
 def construct(lower: Lowering, query: Query) -> DataFrame:
-    """Triples (s, p, o) of the template: a set; blank nodes are new for each solution, incomplete triples are left out."""
+    """Triples (s, p, o) of the template: a set; blank nodes are new for each solution, incomplete triples are left out.
+
+    For blank nodes the solutions are numbered and kept by a checkpoint, so that a task that is run again
+    gives the same ones.
+    """
     rel = lower(query.pattern)
+    row = F.lit("")
+    if any(isinstance(x, Var) and x.name.startswith(".") for t in query.template for x in (t.s, t.p, t.o)):
+        rel = Rel(checkpoint(rel.df.withColumn("__row", F.monotonically_increasing_id())), rel.vars)
+        row = F.concat(F.col("__row").cast("string"), F.lit(" "))
     shown = {n: term(v).col for n, v in rel.vars.items()}
-    row = F.sha2(F.to_json(F.struct(*[c.alias(cn(n)) for n, c in shown.items()] or [F.lit(1).alias("one")])), 256)
 
     def cell(x):
         if isinstance(x, Var):
@@ -165,7 +202,7 @@ def describe(lower: Lowering, query: Query) -> DataFrame:
         further = out.where("o.k = 2").select(F.col("o").alias("s")).distinct().join(seen, "s", "left_anti")
         if not further.limit(1).count():
             break
-        seen = seen.unionByName(further)
+        seen = round_checkpoint(seen.unionByName(further))
         out = edges.join(seen, "s", "left_semi")
     return out.select("s", struct(1, F.col("p")).alias("p"), "o").distinct()
 

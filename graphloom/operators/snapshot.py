@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import capability_index
+from graphloom.operators.graph import adjacency, capability_index
 from graphloom.sources.rdf import normalized
 
 
@@ -50,15 +50,24 @@ class Snapshot:
     def quads(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/{self.manifest['folder']}/quads").select("s", "p", "o", "g")
 
+    def adjacency(self, spark: SparkSession, forward: bool = True) -> DataFrame:
+        """Edges laid out and sorted by their anchor, so that a lookup of one reads few row groups."""
+        return spark.read.parquet(f"{self.root}/{self.manifest['folder']}/adjacency_{'out' if forward else 'in'}")
+
+    def closure(self, spark: SparkSession) -> DataFrame | None:
+        """Consequences (s, p, o, support), if the snapshot was published with them."""
+        return spark.read.parquet(f"{self.root}/{self.manifest['folder']}/closure") if self.manifest.get("closure") else None
+
     def capabilities(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/{self.manifest['folder']}/capabilities")
 
 
-def publish(quads: DataFrame, root: str, expected: int | None = None) -> Snapshot:
+def publish(quads: DataFrame, root: str, expected: int | None = None, closure: DataFrame | None = None) -> Snapshot:
     """Writes a snapshot and makes it current; Conflict if the current one isn't the one expected.
 
     Quads are laid out by graph and predicate, so that a scope and a pattern read few row groups.
-    Files are in place before their manifest is; a manifest's name is taken only once.
+    Files are in place before their manifest is; a manifest's name is taken only once. closure: of
+    materialize(), kept with the graphs that support each consequence.
     """
     spark = quads.sparkSession
     now = current(spark, root)
@@ -70,8 +79,12 @@ def publish(quads: DataFrame, root: str, expected: int | None = None) -> Snapsho
     (facts.repartitionByRange("g", "p", F.col("s.v")).sortWithinPartitions("g", "p", F.col("s.v")).write.parquet(f"{root}/{folder}/quads"))
     stored = spark.read.parquet(f"{root}/{folder}/quads")
     capability_index(stored).coalesce(1).write.parquet(f"{root}/{folder}/capabilities")
+    for forward in (True, False):
+        adjacency(stored, forward).write.parquet(f"{root}/{folder}/adjacency_{'out' if forward else 'in'}")
+    if closure is not None:
+        closure.repartitionByRange("p", F.col("s.v")).sortWithinPartitions("p", F.col("s.v")).write.parquet(f"{root}/{folder}/closure")
     digest = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("fact_id", 1, 12), 16, 10).cast("decimal(38,0)")).alias("d")).first()
-    manifest = {"folder": folder, "facts": digest.n, "digest": str(digest.d or 0)}
+    manifest = {"folder": folder, "facts": digest.n, "digest": str(digest.d or 0), "closure": closure is not None}
     _write(spark, f"{root}/manifest-{number + 1:012d}.json", json.dumps(manifest))
     return Snapshot(root, number + 1, manifest)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from html import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,63 @@ def to_xml(rel: Rel, names: list[str]) -> str:
     return f'<?xml version="1.0"?><sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>{vars_}</head><results>{rows}</results></sparql>'
 
 
+FORMS = {"csv": csv_rows, "tsv": tsv_rows, "json": json_rows, "xml": xml_rows}
+
+
+def write(rel: Rel, names: list[str], form: str, path: str) -> None:
+    """A result as text by the executors: rows/ holds the solutions, and beside it head/ and foot/ what makes them one document.
+
+    JSON rows are lines to be joined by commas; CSV and TSV files each begin with the header line.
+    """
+    spark = rel.df.sparkSession
+    rows = FORMS[form](rel, names)
+    if form in ("csv", "tsv"):
+        line = head(names, form == "tsv")
+
+        def headed(batches):
+            yield pd.DataFrame({"value": [line]})
+            yield from batches
+
+        rows.mapInPandas(headed, "value string").write.text(f"{path}/rows")
+        return
+    rows.write.text(f"{path}/rows")
+    vars_ = "".join(f'<variable name="{escape(n)}"/>' for n in names)
+    ends = {
+        "json": (f'{{"head":{{"vars":{json.dumps(names)}}},"results":{{"bindings":[', "]}}"),
+        "xml": (f'<?xml version="1.0"?><sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>{vars_}</head><results>', "</results></sparql>"),
+    }[form]
+    for name, text in zip(("head", "foot"), ends, strict=True):
+        spark.createDataFrame([(text,)], "value string").write.text(f"{path}/{name}")
+
+
+def arrow_batches(rel: Rel, names: list[str]) -> DataFrame:
+    """Bindings as Arrow record batches in the IPC stream format, one row a batch: (batch binary). They may be written or sent on as they come."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as writer:
+                writer.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    return rel.decoded(names).mapInArrow(pack, "batch binary")
+
+
+def from_arrow(batches: DataFrame, schema: str) -> DataFrame:
+    """Rows of Arrow batches made by arrow_batches()."""
+
+    def unpack(rows):
+        import pyarrow as pa
+
+        for b in rows:
+            for raw in b.column(0):
+                yield from pa.ipc.open_stream(raw.as_buffer())
+
+    return batches.mapInArrow(unpack, schema)
+
+
 def turtle_subjects(triples: DataFrame) -> DataFrame:
     """Turtle of a graph (s, p, o), one statement a subject; a subject's triples are one task's."""
     pair = F.concat(F.lit("<"), F.col("p"), F.lit("> "), ntriples(F.col("o")))
