@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import shuffle_partitions
+
 #: Texts in a group, about.
 GROUP_ROWS = 5_000
 #: Completions tried for one context, and nodes of the search over one window.
@@ -373,7 +375,9 @@ def pack_report(sized: DataFrame, key: str, size: str, capacity: int, group_rows
 
 
 def _loose(cut: DataFrame, capacity: int, groups: int) -> DataFrame:
-    return cut.where((F.col("n") > 0) & (F.col("n") < capacity)).withColumn("g", F.pmod(F.xxhash64("k", "at", "n", "copy"), F.lit(groups)))
+    """The pieces to pack, by group. The tasks are as many as groups or shuffle partitions: groups are few bytes and much work, so they are not to be coalesced by size."""
+    tasks = min(groups, shuffle_partitions(cut.sparkSession))
+    return cut.where((F.col("n") > 0) & (F.col("n") < capacity)).withColumn("g", F.pmod(F.xxhash64("k", "at", "n", "copy"), F.lit(groups))).repartition(tasks, "g")
 
 
 def _cut(sized: DataFrame, key: str, size: str, capacity: int, group_rows: int) -> tuple[DataFrame, int]:
