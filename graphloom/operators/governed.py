@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.reason import CHARACTERISTICS, OWL, RDFS, REFUSED, SCHEMA, Ontology
 from graphloom.plans.algebra import RDF_TYPE, XSD, Bgp, Graph, Iri, Lit, PIri, Query, Triple, Var, walk
+from graphloom.plans.values import TERM
 
 
 class PolicyViolation(ValueError):
@@ -36,6 +37,52 @@ def apply_policy(quads: DataFrame, policy: dict[str, Treatment]) -> tuple[DataFr
     return quads.where(F.col("p").isin(*shown)), quads.where(F.col("p").isin(*payload))
 
 
+# rows as facts
+
+
+@dataclass(frozen=True)
+class ObjectMap:
+    """What stands for a predicate's object. entity: a GUID column as urn:uuid:; iri: a constant; typed: a column with
+    a datatype; language: a column with a column of language tags."""
+
+    kind: str
+    column: str = ""
+    datatype: str = ""
+    language: str = ""
+    value: str = ""
+
+    def term(self) -> Column:
+        none, text = F.lit(None).cast("string"), F.col(self.column).cast("string") if self.column else F.lit(self.value)
+        k, v, d, l = {
+            "entity": (1, F.concat(F.lit("urn:uuid:"), F.lower(text)), none, none), "iri": (1, F.lit(self.value), none, none),
+            "typed": (3, text, F.lit(self.datatype), none), "language": (3, text, F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"), F.lower(F.col(self.language or self.column).cast("string"))),
+        }[self.kind]
+        there = v.isNotNull() & l.isNotNull() if self.kind == "language" else v.isNotNull()
+        return F.when(there, F.struct(F.lit(k).alias("k"), v.alias("v"), d.alias("d"), l.alias("l"))).cast(TERM)
+
+
+@dataclass(frozen=True)
+class RowMapping:
+    """A table as facts: columns of the subject's and the graph's IRIs, and for each predicate its object and treatment."""
+
+    subject: str
+    graph: str
+    predicates: tuple[tuple[str, ObjectMap, Treatment], ...]
+
+
+def mapped_quads(rows: DataFrame, mapping: RowMapping) -> tuple[DataFrame, DataFrame]:
+    """Queryable facts and payload of a table's rows: quads each, in one scan. Rows without a subject or graph, and objects that are null, state nothing."""
+
+    def quads(chosen: list[tuple[str, ObjectMap]]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(p).alias("p"), o.term().alias("o")) for p, o in chosen]) if chosen else F.array().cast(f"array<struct<p:string,o:{TERM}>>")
+        s = F.struct(F.lit(1).alias("k"), F.col(mapping.subject).cast("string").alias("v"), F.lit(None).cast("string").alias("d"), F.lit(None).cast("string").alias("l")).cast(TERM)
+        known = rows.where(F.col(mapping.subject).isNotNull() & F.col(mapping.graph).isNotNull())
+        return known.select(s.alias("s"), F.inline(pairs), F.col(mapping.graph).alias("g")).where("o is not null").select("s", "p", "o", "g")
+
+    payload = [(p, o) for p, o, t in mapping.predicates if t.kind == "payload"]
+    return quads([(p, o) for p, o, t in mapping.predicates if t.kind != "payload" and t.queryable]), quads(payload)
+
+
 # literals
 
 _INT = r"^[+-]?\d+$"

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.algebra import RDF, RDF_TYPE
 from graphloom.plans.values import TERM
-from graphloom.session import checkpoint, round_checkpoint
+from graphloom.session import checkpoint, round_checkpoint, small
 
 RDFS, OWL = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
 SAME = OWL + "sameAs"
@@ -177,7 +177,7 @@ def _iri(v: str | Column) -> Column:
 
 
 class _Rules:
-    """One round of all rules over facts (s, p, o, support)."""
+    """One round of all rules over facts (s, p, o, support), for what the last round added: each rule joins that with the facts, in every place."""
 
     def __init__(self, o: Ontology, facts: DataFrame):
         self.o, self.spark = o, facts.sparkSession
@@ -185,7 +185,10 @@ class _Rules:
 
     def pairs(self, d: dict[str, set[str]], a: str, b: str) -> DataFrame | None:
         rows = [(k, x) for k, v in d.items() for x in v if x != k]
-        return F.broadcast(self.spark.createDataFrame(rows, f"{a} string, {b} string")) if rows else None
+        return self.listed(rows, f"{a} string, {b} string") if rows else None
+
+    def listed(self, rows: list[tuple], schema: str) -> DataFrame:
+        return small(self.spark.createDataFrame(rows, schema), len(rows))
 
     def both(self, *supports: str) -> Column:
         c = self.t
@@ -199,10 +202,16 @@ class _Rules:
     def uses(self, facts: DataFrame, p: str, s: str = "s", o: str = "o", support: str = "support") -> DataFrame:
         return facts.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o), F.col("support").alias(support))
 
-    def __call__(self, facts: DataFrame) -> DataFrame:
+    def __call__(self, facts: DataFrame, delta: DataFrame | None = None) -> DataFrame:
         o, out = self.o, []
         add = out.append
-        types = self.types(facts)
+        new = facts if delta is None else delta
+
+        def places(n: int) -> list[list[DataFrame]]:
+            """For a rule of n facts, where the new ones stand: in one place each time, in all at first."""
+            return [[facts] * n] if delta is None else [[facts] * i + [delta] + [facts] * (n - 1 - i) for i in range(n)]
+
+        types = self.types(new)
 
         def typed(rows: DataFrame, s: str, c: Column | str, *supports: str) -> None:
             add(rows.select(F.col(s).alias("s"), F.lit(RDF_TYPE).alias("p"), _iri(c).alias("o"), self.both(*supports)))
@@ -210,51 +219,54 @@ class _Rules:
         if (m := self.pairs(o.sub_class, "c", "d")) is not None:
             typed(types.join(m, "c"), "s", F.col("d"), "support")
         if (m := self.pairs(o.sub_property, "p", "q")) is not None:
-            add(facts.join(m, "p").select("s", F.col("q").alias("p"), "o", self.both("support")))
+            add(new.join(m, "p").select("s", F.col("q").alias("p"), "o", self.both("support")))
         for pairs, end in ((o.domain, "s"), (o.range, "o")):
             if pairs:
-                m = F.broadcast(self.spark.createDataFrame(sorted(pairs), "p string, c string"))
-                typed(facts.where(F.col(f"{end}.k") < 3).join(m, "p"), end, F.col("c"), "support")
+                typed(new.where(F.col(f"{end}.k") < 3).join(self.listed(sorted(pairs), "p string, c string"), "p"), end, F.col("c"), "support")
         swaps = set(o.inverse) | {(p, p) for p in o.traits["SymmetricProperty"]}
         if swaps:
-            m = F.broadcast(self.spark.createDataFrame(sorted(swaps), "p string, q string"))
-            add(facts.where("o.k < 3").join(m, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), self.both("support")))
+            add(new.where("o.k < 3").join(self.listed(sorted(swaps), "p string, q string"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), self.both("support")))
         for steps, p in [*o.chains, *[((p, p), p) for p in sorted(o.traits["TransitiveProperty"])]]:
-            path = self.uses(facts, steps[0], "s", "x", "u")
-            for q in steps[1:]:
-                path = path.join(self.uses(facts, q, "x", "y", "w"), "x").select("s", F.col("y").alias("x"), self.both("u", "w").alias("u"))
-            add(path.select("s", F.lit(p).alias("p"), F.col("x").alias("o"), F.col("u").alias("support")))
+            for first, *rest in places(len(steps)):
+                path = self.uses(first, steps[0], "s", "x", "u")
+                for q, there in zip(steps[1:], rest, strict=True):
+                    path = path.join(self.uses(there, q, "x", "y", "w"), "x").select("s", F.col("y").alias("x"), self.both("u", "w").alias("u"))
+                add(path.select("s", F.lit(p).alias("p"), F.col("x").alias("o"), F.col("u").alias("support")))
         if o.has_value_above:
-            m = F.broadcast(self.spark.createDataFrame(o.has_value_above, f"c string, q string, v {TERM}"))
-            add(types.join(m, "c").select("s", F.col("q").alias("p"), F.col("v").alias("o"), self.both("support")))
+            add(types.join(self.listed(o.has_value_above, f"c string, q string, v {TERM}"), "c").select("s", F.col("q").alias("p"), F.col("v").alias("o"), self.both("support")))
         if o.has_value_below:
-            m = F.broadcast(self.spark.createDataFrame(o.has_value_below, f"p string, o {TERM}, c string"))
-            typed(facts.join(m, ["p", "o"]), "s", F.col("c"), "support")
+            typed(new.join(self.listed(o.has_value_below, f"p string, o {TERM}, c string"), ["p", "o"]), "s", F.col("c"), "support")
         for p, d, c in o.some_below:
-            use = self.uses(facts, p, "s", "y", "u")
             if d == OWL + "Thing":
-                typed(use, "s", c, "u")
-            else:
-                typed(use.join(types.where(F.col("c") == d).select(F.col("s").alias("y"), "support"), "y"), "s", c, "u", "support")
+                typed(self.uses(new, p, "s", "y", "u"), "s", c, "u")
+                continue
+            for x, y in places(2):
+                typed(self.uses(x, p, "s", "y", "u").join(self.types(y).where(F.col("c") == d).select(F.col("s").alias("y"), "support"), "y"), "s", c, "u", "support")
         for c, p, d in o.all_above:
-            typed(self.uses(facts, p, "s", "y", "u").join(types.where(F.col("c") == c).select("s", "support"), "s"), "y", d, "u", "support")
+            for x, y in places(2):
+                typed(self.uses(x, p, "s", "y", "u").join(self.types(y).where(F.col("c") == c).select("s", "support"), "s"), "y", d, "u", "support")
         for parts, c in o.intersections:
-            rows = types.where(F.col("c") == parts[0]).select("s", F.col("support").alias("u"))
-            for d in parts[1:]:
-                rows = rows.join(types.where(F.col("c") == d).select("s", F.col("support").alias("w")), "s").select("s", self.both("u", "w").alias("u"))
-            typed(rows, "s", c, "u")
+            for first, *rest in places(len(parts)):
+                rows = self.types(first).where(F.col("c") == parts[0]).select("s", F.col("support").alias("u"))
+                for d, there in zip(parts[1:], rest, strict=True):
+                    rows = rows.join(self.types(there).where(F.col("c") == d).select("s", F.col("support").alias("w")), "s").select("s", self.both("u", "w").alias("u"))
+                typed(rows, "s", c, "u")
         for trait, key, other in (("FunctionalProperty", "s", "o"), ("InverseFunctionalProperty", "o", "s")):
             for p in sorted(o.traits[trait]):
-                # every value is the same as the least of its group: a star, not all pairs
-                use = facts.where((F.col("p") == p) & (F.col("o.k") < 3))
+                # every value is the same as the least of its group, whatever groups the new facts touch
+                of = (F.col("p") == p) & (F.col("o.k") < 3)
+                use = facts.where(of).join(new.where(of).select(key).distinct(), key, "left_semi")
                 least = use.groupBy(key).agg(F.min_by(F.struct(other, "support"), F.col(f"{other}.v")).alias("m"), F.count_distinct(other).alias("n")).where("n > 1").select(key, F.col(f"m.{other}").alias("y"), F.col("m.support").alias("w"))
                 add(use.join(least, key).where(F.col(other) != F.col("y")).select(F.col(other).alias("s"), F.lit(SAME).alias("p"), F.col("y").alias("o"), self.both("support", "w")))
-        same = facts.where(F.col("p") == SAME)
-        eq = same.select(F.col("s").alias("a"), F.col("o").alias("b"), F.col("support").alias("w")).where("a <> b")
-        add(eq.select(F.col("b").alias("s"), F.lit(SAME).alias("p"), F.col("a").alias("o"), F.col("w").alias("support")))
+
+        def equal(rows: DataFrame) -> DataFrame:
+            return rows.where(F.col("p") == SAME).select(F.col("s").alias("a"), F.col("o").alias("b"), F.col("support").alias("w")).where("a <> b")
+
+        add(equal(new).select(F.col("b").alias("s"), F.lit(SAME).alias("p"), F.col("a").alias("o"), F.col("w").alias("support")))
         for end in ("s", "o"):
-            moved = facts.join(eq.withColumnRenamed("a", end), end)
-            add(moved.select(F.col("b").alias("s") if end == "s" else "s", "p", F.col("b").alias("o") if end == "o" else "o", self.both("support", "w")))
+            for x, y in places(2):
+                moved = x.join(equal(y).withColumnRenamed("a", end), end)
+                add(moved.select(F.col("b").alias("s") if end == "s" else "s", "p", F.col("b").alias("o") if end == "o" else "o", self.both("support", "w")))
         total = out[0]
         for x in out[1:]:
             total = total.unionByName(x)
@@ -264,28 +276,30 @@ class _Rules:
 def materialize(quads: DataFrame, onto: Ontology | None = None, rounds: int = 100) -> DataFrame:
     """All consequences that aren't asserted: (s, p, o, support).
 
-    Rounds of all rules until nothing new comes; each is kept by a checkpoint. A fact that follows from
+    Rounds of all rules, each over what the one before added, until nothing new comes; each is kept by a
+    checkpoint. A fact that follows from
     several sets of graphs has a row for each, unless one set holds another.
     """
     onto = onto or ontology(quads)
     schema = set(SCHEMA)
     asserted = quads.where(~F.col("p").isin(*schema)).where(~((F.col("p") == RDF_TYPE) & F.col("o.v").isin(*IGNORED_CLASSES))).select("s", "p", "o", F.array("g").alias("support")).distinct()
     facts = checkpoint(asserted)
-    rules = _Rules(onto, facts)
+    rules, delta = _Rules(onto, facts), None
     for _ in range(rounds):
-        new = rules(facts).where("s <> o or p <> '" + SAME + "'").distinct()
+        new = rules(facts, delta).where("s <> o or p <> '" + SAME + "'").distinct()
         # a row adds nothing if a known one has the same fact from fewer or the same graphs
         known = facts.select(F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("o").alias("o2"), F.col("support").alias("k2"))
         held = (F.col("s") == F.col("s2")) & (F.col("p") == F.col("p2")) & (F.col("o") == F.col("o2")) & (F.size(F.array_except("k2", "support")) == 0)
         new = checkpoint(new.join(known, held, "left_anti"))
         if not new.limit(1).count():
             break
+        delta = new
         facts = round_checkpoint(facts.unionByName(new))
     else:
         raise UnsupportedAxiom("no end of consequences within the rounds")
     if onto.disjoint:
         types = facts.where(F.col("p") == RDF_TYPE).select("s", F.col("o.v").alias("c"))
-        pairs = F.broadcast(facts.sparkSession.createDataFrame(sorted(onto.disjoint), "c string, d string"))
+        pairs = rules.listed(sorted(onto.disjoint), "c string, d string")
         if types.join(pairs, "c").join(types.withColumnRenamed("c", "d"), ["s", "d"]).limit(1).count():
             raise Inconsistent("an individual of two disjoint classes")
     mine = facts.join(quads.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t#]*$")
@@ -71,23 +71,53 @@ def chunks(text: str) -> list[tuple[str, str, int, int, bool]]:
     return out
 
 
-def chunk_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, kind, heading_path, byte_start, byte_end, requirement); null and blank texts have no chunks."""
+def sized(parts: list[tuple[str, str, int, int, bool]], raw: bytes, target: int, most: int) -> Iterator[tuple[str, str, int, int, bool]]:
+    """Chunks of about `target` bytes and never more than `most`.
+
+    Neighbours of one heading path and kind are put together up to the target; a longer block is cut at the
+    last line end before the limit, else at the last blank, else before a whole character.
+    """
+    held: tuple | None = None
+    for kind, path, a, b, must in parts:
+        if held and held[:2] == (kind, path) and kind != "heading" and b - held[2] <= target:
+            held = (kind, path, held[2], b, held[4] or must)
+            continue
+        if held:
+            yield held
+        while b - a > most:
+            piece = raw[a : a + most]
+            cut = max(piece.rfind(b"\n"), 0) or max(piece.rfind(b" "), 0)
+            cut = cut + 1 if cut else most
+            while cut > 1 and a + cut < len(raw) and raw[a + cut] & 0xC0 == 0x80:
+                cut -= 1
+            yield kind, path, a, a + cut, bool(_MUST.search(raw[a : a + cut].decode("utf-8", "replace")))
+            a += cut
+        held = (kind, path, a, b, must)
+    if held:
+        yield held
+
+
+def chunk_text(df: DataFrame, key: str, text: str, target: int | None = None, most: int | None = None) -> DataFrame:
+    """(key, ordinal, kind, heading_path, byte_start, byte_end, requirement); null and blank texts have no chunks.
+
+    target and most: bytes of a chunk, of sized(); without them every block is a chunk.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, *c) for k, t in zip(pdf.k, pdf.t, strict=True) for i, c in enumerate(chunks(t))]
+            rows = [(k, i, *c) for k, t in zip(pdf.k, pdf.t, strict=True) for i, c in enumerate(chunks(t) if most is None else sized(chunks(t), t.encode(), target or most, most))]
             yield pd.DataFrame(rows, columns=["k", "ordinal", "kind", "heading_path", "byte_start", "byte_end", "requirement"])
 
     out = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(cut, f"k {kind}, ordinal int, kind string, heading_path string, byte_start bigint, byte_end bigint, requirement boolean")
     return out.withColumnRenamed("k", key)
 
 
-def reduce_context(df: DataFrame, key: str, ordinal: str, size: str, mandatory: str, budget: int) -> DataFrame:
-    """Chunks kept for each key: the mandatory ones, then the others in order as long as each fits the budget.
+def reduce_context(df: DataFrame, key: str, ordinal: str, size: str, mandatory: str, budget: int, optional: int | None = None) -> DataFrame:
+    """Chunks kept for each key: the mandatory ones, then the others in order as long as each fits.
 
-    Mandatory chunks beyond the budget fail the query. A key's chunks, those of one text, are one task's.
+    Mandatory chunks beyond the budget fail the query; the others have what they leave of it, and no more
+    than `optional` if that is given. A key's chunks, those of one text, are one task's.
     """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -95,6 +125,7 @@ def reduce_context(df: DataFrame, key: str, ordinal: str, size: str, mandatory:
         left = budget - int(pdf[size][pdf[mandatory]].sum())
         if left < 0:
             raise OverBudget(f"mandatory chunks of {pdf[key].iloc[0]} take {budget - left} of {budget} bytes")
+        left = left if optional is None else min(left, optional)
         kept = []
         for must, n in zip(pdf[mandatory], pdf[size], strict=True):
             fits = must or n <= left
@@ -105,8 +136,20 @@ def reduce_context(df: DataFrame, key: str, ordinal: str, size: str, mandatory:
     return df.groupBy(key).applyInPandas(keep, df.schema)
 
 
-def memory_search(df: DataFrame, text: str, words: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
-    """The rows with most different query words, ties by order: a top-k report. score is the number of words found."""
+def visible_memories(df: DataFrame, subject: str, now_ms: int, memory_class: str | None = None) -> DataFrame:
+    """Memories that a subject may be shown: shared with the tenant or its own, of the class, not expired, and in a state that serves answers."""
+    state = F.when(F.col("memory_class") == "SEMANTIC", F.col("state") == "PUBLISHED").otherwise(F.col("state").isin("VALIDATED", "APPROVED", "PUBLISHED"))
+    seen = ((F.col("audience") == "TENANT") | (F.col("owner_subject") == subject)) & state & (F.col("expires_at_epoch_ms").isNull() | (F.col("expires_at_epoch_ms") > now_ms))
+    return df.where(seen if memory_class is None else seen & (F.col("memory_class") == memory_class))
+
+
+def memory_search(df: DataFrame, text: str, words: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
+    """The rows with all query words that have most of them, ties by order: a top-k report.
+
+    score is how often the words occur; without words every row has a score of 0. Case makes no difference.
+    """
     held = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
-    score = F.size(F.array_intersect(held, F.array(*[F.lit(w.lower()) for w in words])))
-    return df.withColumn("score", score).where("score > 0").orderBy(F.col("score").desc(), *order).limit(limit)
+    wanted = F.array(*[F.lit(w) for w in dict.fromkeys(w.lower() for w in words)]).cast("array<string>")
+    all_ = F.size(F.array_except(wanted, held)) == 0
+    found = df.withColumn("__held", held).where(all_).withColumn("score", F.size(F.filter("__held", lambda w: F.array_contains(wanted, w))).cast("bigint"))
+    return found.drop("__held").orderBy(F.col("score").desc(), *order).limit(limit)

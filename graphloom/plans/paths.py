@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.algebra import PAlt, PInv, PIri, PNot, PRepeat, PSeq
-from graphloom.session import BROADCAST_ROWS, checkpoint, round_checkpoint
+from graphloom.plans.values import TERM
+from graphloom.session import BROADCAST_ROWS, checkpoint, round_checkpoint, small
 
 
 class PathCeiling(RuntimeError):
     """A traversal grew beyond its limit; nothing is returned in part."""
 
 
+#: Kind of term that says a walk met its ceiling.
+STOPPED = -1
+
+
 @dataclass
 class Limits:
     rounds: int = 10_000
@@ -125,14 +132,23 @@ def labelled(edges: DataFrame, automaton: Automaton) -> DataFrame:
 def traverse(seeds: DataFrame, edges: DataFrame, automaton: Automaton, limits: Limits | None = None) -> DataFrame:
     """Pairs (origin, node, g) that a path from a seed (origin, g) leads to, each once.
 
-    Each round moves the frontier over the edges and keeps what wasn't visited. The frontier is
-    checkpointed; it is broadcast only where its count allows it. g must match, so a walk in a named
-    graph never leaves it; for the default graph it is one constant. Hot vertices are left to the split
-    of skewed partitions.
+    Where a count shows that the moves may be broadcast, each task walks them from its own seeds. Else the
+    frontier of all walks is moved over the edges in rounds, each kept by a written table; it is broadcast
+    only where its count allows it. Only seeds that have a first move walk; of the others a path that may
+    be empty leads to themselves. g must match, so a walk in a named graph never leaves it; for the default
+    graph it is one constant. Hot vertices are left to the split of skewed partitions.
     """
     limits = limits or Limits()
     moves = checkpoint(labelled(edges, automaton))
-    frontier = checkpoint(seeds.select("origin", F.col("origin").alias("node"), F.lit(0).alias("q"), "g").distinct())
+    seeds = seeds.select("origin", "g").distinct()
+    if moves.count() <= BROADCAST_ROWS:
+        pairs = checkpoint(_walked(seeds, moves, automaton, limits))
+        n, stopped = pairs.agg(F.count(F.lit(1)), F.bool_or(F.col("origin.k") == STOPPED)).first()
+        if stopped or n > limits.visited:
+            raise PathCeiling(f"path stopped after {limits.rounds} rounds or {limits.visited} states")
+        return pairs
+    first = moves.where("q = 0").select(F.col("node").alias("origin"), "g").distinct()
+    frontier = checkpoint(seeds.join(first, ["origin", "g"], "left_semi").select("origin", F.col("origin").alias("node"), F.lit(0).alias("q"), "g"))
     visited, count = frontier, frontier.count()
     total, rounds = count, 0
     columns = ["origin", "node", "q", "g"]
@@ -140,12 +156,67 @@ def traverse(seeds: DataFrame, edges: DataFrame, automaton: Automaton, limits: L
         rounds += 1
         if rounds > limits.rounds or total > limits.visited:
             raise PathCeiling(f"path stopped after {rounds} rounds with {total} states")
-        near = F.broadcast(frontier) if count <= BROADCAST_ROWS else frontier
-        step = moves.join(near, ["node", "q", "g"]).select("origin", F.col("to").alias("node"), F.col("q2").alias("q"), "g").distinct()
+        step = moves.join(small(frontier, count), ["node", "q", "g"]).select("origin", F.col("to").alias("node"), F.col("q2").alias("q"), "g").distinct()
         frontier = round_checkpoint(step.join(visited, columns, "left_anti"))
         count = frontier.count()
         total += count
         visited = visited.unionByName(frontier)
         if rounds % 8 == 0:
-            visited = checkpoint(visited)
-    return visited.where(F.col("q").isin(*automaton.accepting)).select("origin", "node", "g").distinct()
+            visited = round_checkpoint(visited)
+    walked = visited.where(F.col("q").isin(*automaton.accepting)).select("origin", "node", "g")
+    if automaton.empty:
+        walked = walked.unionByName(seeds.select("origin", F.col("origin").alias("node"), "g"))
+    return walked.distinct()
+
+
+def _walked(seeds: DataFrame, moves: DataFrame, automaton: Automaton, limits: Limits) -> DataFrame:
+    """The walks from each seed over moves that every task holds; at most BROADCAST_ROWS of them come by way of the driver."""
+
+    def flat(name: str) -> list[Column]:
+        return [F.col(name)[f].alias(f"{name}_{f}") for f in "kvdl"]
+
+    ids: dict[tuple, int] = {}
+    steps: dict[tuple, list[tuple[int, int]]] = {}
+    for r in moves.select(*flat("node"), "q", *flat("to"), "q2", "g").toLocalIterator():
+        a, b = (ids.setdefault(tuple(x), len(ids)) for x in (r[:4], r[5:9]))
+        steps.setdefault((a, r.q, r.g), []).append((b, r.q2))
+    shared = seeds.sparkSession.sparkContext.broadcast((ids, steps))
+    accepting, empty, most, rounds = automaton.accepting, automaton.empty, limits.visited, limits.rounds
+    columns = [*(f"{n}_{f}" for n in ("origin", "node") for f in "kvdl"), "g"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, steps = shared.value
+        terms = list(ids)
+        out = []
+        for pdf in batches:
+            for k, v, d, l, g in zip(*(pdf[c] for c in ("origin_k", "origin_v", "origin_d", "origin_l", "g")), strict=True):
+                origin = (int(k), *(None if pd.isna(x) else x for x in (v, d, l)))
+                start = ids.get(origin)
+                seen, front, n = set(), [] if start is None else [(start, 0)], 0
+                ends = set()
+                while front:
+                    n += 1
+                    ahead = []
+                    for node, q in front:
+                        for state in steps.get((node, q, g), ()):
+                            if state not in seen:
+                                seen.add(state)
+                                ahead.append(state)
+                                if state[1] in accepting:
+                                    ends.add(state[0])
+                    front = ahead
+                    if len(seen) > most or (front and n >= rounds):
+                        yield pd.DataFrame([(STOPPED, *[None] * 7, g)], columns=columns)
+                        return
+                if empty and (start is None or start not in ends):
+                    out.append((*origin, *origin, g))
+                out += [(*origin, *terms[e], g) for e in ends]
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    kinds = "{0}_k int, {0}_v string, {0}_d string, {0}_l string, "
+    laid = seeds.select(*flat("origin"), "g").mapInPandas(walk, kinds.format("origin") + kinds.format("node") + "g string")
+    return laid.select(*[F.struct(*[F.col(f"{n}_{f}").alias(f) for f in "kvdl"]).cast(TERM).alias(n) for n in ("origin", "node")], "g")

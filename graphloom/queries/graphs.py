@@ -68,7 +68,7 @@ def entail_chain(spark: SparkSession, d: str) -> DataFrame:
 
 def entail_scope(spark: SparkSession, d: str) -> DataFrame:
     """With FROM no closure takes part."""
-    return _entailed(spark, d).query(_P + "SELECT ?s FROM <urn:g:nation> WHERE { ?s a x:Place }")
+    return _entailed(spark, d).query(_P + "SELECT ?s ?t FROM <urn:g:nation> WHERE { ?s a ?t FILTER(?t IN (<urn:c:nation>, x:Place, x:Thing)) }")
 
 
 def closure_materialize(spark: SparkSession, d: str) -> DataFrame:
@@ -144,14 +144,33 @@ def nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return graph.nearest_rank(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", [0.5, 0.95, 0.99])
 
 
+OBSERVATIONS = governed.RowMapping(
+    "observation_iri", "graph_iri",
+    (
+        ("urn:core:observedOn", governed.ObjectMap("entity", "entity_guid"), governed.Treatment()),
+        ("urn:core:value", governed.ObjectMap("typed", "metric_value", "http://www.w3.org/2001/XMLSchema#double"), governed.Treatment("virtual", reasoning=False)),
+        ("urn:core:kind", governed.ObjectMap("iri", value="urn:core:Observation"), governed.Treatment()),
+        ("urn:core:label", governed.ObjectMap("language", "policy_label", language="lang"), governed.Treatment("virtual")),
+        ("urn:core:rawMessage", governed.ObjectMap("typed", "raw_message", "http://www.w3.org/2001/XMLSchema#string"), governed.Treatment("payload", queryable=False)),
+    ),
+)
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "observations").dropDuplicates(["record_guid"]).withColumn("lang", F.lit("en"))
+    return rows.withColumn("metric_value", F.when(F.col("metric_value") != -999, F.col("metric_value")))
+
+
 def mapped_observations(spark: SparkSession, d: str) -> DataFrame:
     """Observations by the graph their rows name: a relational mapping with core, virtual and payload predicates."""
-    rows = table(spark, d, "observations").dropDuplicates(["record_guid"])
-    core = rows.select(_iri("observation_iri").alias("s"), F.lit("urn:core:observedOn").alias("p"), _iri(F.concat(F.lit("urn:entity:"), "entity_guid")).alias("o"), F.col("graph_iri").alias("g"))
-    value = rows.where("metric_value is not null and metric_value <> -999").select(_iri("observation_iri").alias("s"), F.lit("urn:core:value").alias("p"), F.struct(F.lit(3).alias("k"), F.col("metric_value").cast("string").alias("v"), F.lit("http://www.w3.org/2001/XMLSchema#double").alias("d"), F.lit(None).cast("string").alias("l")).cast(TERM).alias("o"), F.col("graph_iri").alias("g"))
-    quads = core.unionByName(value).where("s is not null and o is not null")
-    e = Engine.over_quads(quads)
-    return e.query("SELECT ?g (COUNT(?v) AS ?n) (MAX(xsd:double(?v)) AS ?hi) WHERE { GRAPH ?g { ?x <urn:core:observedOn> ?e ; <urn:core:value> ?v FILTER(?v > 500) } } GROUP BY ?g".replace("xsd:double", "<http://www.w3.org/2001/XMLSchema#double>"))
+    e = Engine.over_quads(governed.mapped_quads(_observations(spark, d), OBSERVATIONS)[0])
+    return e.query("SELECT ?g (COUNT(?v) AS ?n) (MAX(<http://www.w3.org/2001/XMLSchema#double>(?v)) AS ?hi) WHERE { GRAPH ?g { ?x <urn:core:observedOn> ?e ; <urn:core:value> ?v FILTER(?v > 500) } } GROUP BY ?g")
+
+
+def mapped_objects(spark: SparkSession, d: str) -> DataFrame:
+    """What the object maps make of the observations, by predicate and kind of term."""
+    facts, payload = governed.mapped_quads(_observations(spark, d), OBSERVATIONS)
+    return facts.unionByName(payload).groupBy("p", F.col("o.k").alias("kind"), F.col("o.d").alias("datatype"), F.col("o.l").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min("o.v").alias("least"))
 
 
 def _iri(c):
@@ -164,14 +183,22 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reduce_context(spark: SparkSession, d: str) -> DataFrame:
-    """Headings are kept, other chunks as far as 2,000 bytes beyond them go."""
-    parts = chunk_text(spark, d).withColumn("size", F.col("byte_end") - F.col("byte_start")).withColumn("must", F.col("kind") == "heading")
-    return text.reduce_context(parts, "doc_id", "ordinal", "size", "must", 2_000).select("doc_id", "ordinal", "size")
+    """Chunks that state a requirement are kept, others as far as 2,000 bytes beyond them go."""
+    parts = chunk_text(spark, d).withColumn("size", F.col("byte_end") - F.col("byte_start"))
+    return text.reduce_context(parts, "doc_id", "ordinal", "size", "requirement", 24_000, 2_000).select("doc_id", "ordinal", "size")
+
+
+def chunk_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of at most 400 bytes, for each text: whether they lie apart and in order, and hold all its letters and digits."""
+    parts = text.chunk_text(table(spark, d, "documents"), "doc_id", "text", target=200, most=400)
+    texts = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    cut = parts.join(texts, "doc_id").withColumn("c", F.decode(F.expr("substring(b, int(byte_start) + 1, int(byte_end - byte_start))"), "UTF-8"))
+    letters = F.char_length(F.regexp_replace("c", r"[^\p{L}\p{N}]", ""))
+    return cut.groupBy("doc_id").agg(F.sum(letters).cast("bigint").alias("n_letters"), (F.max(F.col("byte_end") - F.col("byte_start")) <= 400).alias("small"))
 
 
 def memory_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("source = 'agent_memory'")
-    return text.memory_search(rows, "text", ["proof", "archive", "lease", "frontier", "digest"], ["doc_id"], 25).select("doc_id", "score")
+    return text.memory_search(table(spark, d, "documents"), "text", ["proof", "archive"], [F.col("created_at").desc(), F.col("doc_id")], 25).select("doc_id", "score")
 
 
 def invalid_literals(spark: SparkSession, d: str) -> DataFrame:
@@ -183,9 +210,9 @@ def invalid_literals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def without_source(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without an order, as subjects that nothing is derived from."""
+    """Customers without a pending order, as subjects that nothing is derived from."""
     quads = _tables(spark, d, ["customer"])
-    orders = table(spark, d, "orders").select(_iri(F.concat(F.lit("urn:customer:"), F.col("o_custkey").cast("string"))).alias("s"), F.lit("urn:from").alias("p"), _iri(F.concat(F.lit("urn:orders:"), F.col("o_orderkey").cast("string"))).alias("o"), F.lit("urn:g:x").alias("g"))
+    orders = table(spark, d, "orders").where("o_orderstatus = 'P'").select(_iri(F.concat(F.lit("urn:customer:"), F.col("o_custkey").cast("string"))).alias("s"), F.lit("urn:from").alias("p"), _iri(F.concat(F.lit("urn:orders:"), F.col("o_orderkey").cast("string"))).alias("o"), F.lit("urn:g:x").alias("g"))
     return governed.without_source(quads.unionByName(orders), "urn:from").select(F.col("s.v").alias("s")).where(F.col("s").startswith("urn:customer:"))
 
 
@@ -214,7 +241,7 @@ def routed_graphs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (entail_subclass, entail_domain_range, entail_chain, entail_scope, closure_materialize, sameas_rep, hydrate, capability_index, dictionary_encode, capability_all, dictionary_all, encoded_facts, adjacency_degree, semijoin_reduce, query_log, nearest_rank, mapped_observations, invalid_literals, without_source, encoded_join, leaf_scan, routed_graphs, chunk_text, reduce_context, memory_search)
+    for f in (entail_subclass, entail_domain_range, entail_chain, entail_scope, closure_materialize, sameas_rep, hydrate, capability_index, dictionary_encode, capability_all, dictionary_all, encoded_facts, adjacency_degree, semijoin_reduce, query_log, nearest_rank, mapped_observations, mapped_objects, invalid_literals, without_source, encoded_join, leaf_scan, routed_graphs, chunk_text, chunk_cover, reduce_context, memory_search)
 }
 
 
@@ -235,14 +262,14 @@ SQL: dict[str, str] = {
     "capability_all": f"""WITH {_FACTS} SELECT 'predicate' AS kind, iri, string_agg(g, ' ' ORDER BY g) AS graphs, sum(n)::BIGINT AS n FROM facts GROUP BY iri
 UNION ALL SELECT 'class', replace(g, 'urn:g:', 'urn:c:'), g, n FROM facts WHERE iri LIKE '%#type'""",
     "invalid_literals": "SELECT input_tokens::VARCHAR AS value, 'unsignedShort out of range' AS fault, count(*) AS n FROM model_call WHERE input_tokens < 0 OR input_tokens > 65535 GROUP BY 1",
-    "without_source": "SELECT 'urn:customer:' || c_custkey AS s FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "without_source": "SELECT 'urn:customer:' || c_custkey AS s FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "encoded_join": "SELECT o_custkey AS c, c_nationkey AS nation, 2 * count(*) AS m, 'o+c' AS proofs FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",
     "leaf_scan": "SELECT l_orderkey AS s, l_partkey AS p, l_suppkey AS o, l_linenumber AS g FROM lineitem WHERE l_partkey = 7 AND l_linenumber IN (1, 3)",
     "routed_graphs": "SELECT * FROM (VALUES ('urn:g:nation'), ('urn:g:region')) v(g)",
     "entail_subclass": "SELECT 'urn:nation:' || n_nationkey AS s FROM nation UNION ALL SELECT 'urn:region:' || r_regionkey FROM region",
     "entail_domain_range": "SELECT 'urn:supplier:' || s_suppkey AS s, 'urn:x:Seller' AS t FROM supplier UNION SELECT 'urn:nation:' || s_nationkey, 'urn:x:Market' FROM supplier",
     "entail_chain": "SELECT 'urn:region:' || n_regionkey AS r, 'urn:supplier:' || s_suppkey AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey",
-    "entail_scope": "SELECT '' AS s WHERE false",
+    "entail_scope": "SELECT 'urn:nation:' || n_nationkey AS s, 'urn:c:nation' AS t FROM nation",
     "closure_materialize": """SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, (SELECT 2 * count(*) FROM nation) + (SELECT 2 * count(*) FROM region) + (SELECT count(*) + count(DISTINCT s_nationkey) FROM supplier) AS n
 UNION ALL SELECT 'urn:x:within', count(*) FROM nation UNION ALL SELECT 'urn:x:sellsIn', count(*) FROM supplier UNION ALL SELECT 'urn:x:hosts', count(*) FROM supplier
 UNION ALL SELECT 'http://www.w3.org/2000/01/rdf-schema#subClassOf', 5 UNION ALL SELECT 'http://www.w3.org/2000/01/rdf-schema#subPropertyOf', 1""",
@@ -264,5 +291,11 @@ UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', c.n + x.n +
     "query_log": "SELECT query_execution_id, start_time_epoch_ms, total_duration_ms FROM query_execution_log WHERE status = 'COMPLETED' AND total_duration_ms >= 100 ORDER BY start_time_epoch_ms DESC NULLS LAST, query_execution_id DESC NULLS LAST, loaded_at DESC NULLS LAST LIMIT 50 OFFSET 10",
     "nearest_rank": "SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.95) AS p95, quantile_disc(o_totalprice, 0.99) AS p99 FROM orders GROUP BY 1",
     "mapped_observations": "SELECT graph_iri AS g, count(*) AS n, max(metric_value) AS hi FROM (SELECT DISTINCT ON (record_guid) * FROM observations) WHERE metric_value > 500 AND observation_iri IS NOT NULL AND entity_guid IS NOT NULL GROUP BY 1",
-    "memory_search": "SELECT doc_id, score FROM (SELECT doc_id, len(list_intersect(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['proof', 'archive', 'lease', 'frontier', 'digest'])) AS score FROM documents WHERE source = 'agent_memory') WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25",
+    "memory_search": r"""SELECT doc_id, len(list_filter(l, lambda x: x IN ('proof', 'archive'))) AS score FROM (SELECT doc_id, created_at, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') l FROM documents)
+WHERE list_contains(l, 'proof') AND list_contains(l, 'archive') ORDER BY score DESC, created_at DESC, doc_id LIMIT 25""",
+    "chunk_cover": r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS n_letters, true AS small FROM documents WHERE regexp_matches(text, '\S')",
+    "mapped_objects": """WITH o AS (SELECT * EXCLUDE (rn), CASE WHEN metric_value <> -999 THEN metric_value END v FROM (SELECT *, row_number() OVER (PARTITION BY record_guid ORDER BY loaded_at) rn FROM observations) WHERE rn = 1 AND observation_iri IS NOT NULL AND graph_iri IS NOT NULL),
+x AS (SELECT 'urn:core:observedOn' p, 1 kind, NULL datatype, NULL lang, 'urn:uuid:' || lower(entity_guid) v FROM o UNION ALL SELECT 'urn:core:kind', 1, NULL, NULL, 'urn:core:Observation' FROM o
+  UNION ALL SELECT 'urn:core:label', 3, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString', 'en', policy_label FROM o UNION ALL SELECT 'urn:core:rawMessage', 3, 'http://www.w3.org/2001/XMLSchema#string', NULL, raw_message FROM o)
+SELECT p, kind, datatype, lang, count(*) AS n, min(v) AS least FROM x WHERE v IS NOT NULL GROUP BY ALL UNION ALL SELECT 'urn:core:value', 3, 'http://www.w3.org/2001/XMLSchema#double', NULL, count(v), min(v)::VARCHAR FROM o""",
 }
