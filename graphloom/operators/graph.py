@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.session import BROADCAST_ROWS, shuffle_partitions
 
@@ -115,5 +116,13 @@ def query_log(log: DataFrame, dataset: str | None = None, principal: str | None
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Exact nearest-rank percentiles; for columns that fit, the summaries of quantiles serve larger ones."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(q * 100)}") for q in qs])
+    """Exact nearest-rank percentiles: (keys..., p<q>...). Null values are left out, null keys are a group.
+
+    Equal values are counted before they are shuffled; a group's different values then pass in order with
+    a running count, and may spill.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    by = Window.partitionBy(*keys)
+    upto = by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"__upto": F.sum("__c").over(upto), "__n": F.sum("__c").over(by)})
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") >= F.greatest(F.lit(1), F.ceil(F.round(F.lit(q) * F.col("__n"), 9))), F.col(value))).alias(f"p{round(q * 100)}") for q in qs])

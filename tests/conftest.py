@@ -11,6 +11,7 @@ def spark():
     from graphloom.session import session
 
     s = session("tests", 4)
+    s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

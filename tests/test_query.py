@@ -59,13 +59,13 @@ def test_errors(ask):
     assert ask("SELECT ?o { :e :p ?o FILTER(?o > 1) }") == [("2.0e0",)]
     assert ask("SELECT ?o { :e :p ?o FILTER(!(?o > 1)) }") == []
     assert ask('SELECT (IF(1/0 > 1, "a", "b") AS ?x) {}') == [(None,)]
-    assert ask("SELECT (COALESCE(1/0, ?none, 7) AS ?x) {}") == [("7",)] or ask("SELECT (COALESCE(1/0, ?none, 7) AS ?x) {}")
+    assert [float(x) for x, in ask("SELECT (COALESCE(1/0, ?none, 7) AS ?x) {}")] == [7.0]
     assert ask("SELECT ?s (SUM(?o) AS ?t) { ?s :p ?o FILTER(?s IN (:b, :e)) } GROUP BY ?s") == [("urn:x:b", "2"), ("urn:x:e", None)]
     assert ask("SELECT (1 = 1.0 AS ?a) (\"a\" = 1 AS ?b) (:a = 1 AS ?c) {}") == [(True, None, False)]
 
 
 def test_aggregates(ask):
-    assert ask("SELECT (COUNT(*) AS ?n) (SUM(?o) AS ?s) { ?x :nothing ?o }") == [(0, "0")] or ask("SELECT (COUNT(*) AS ?n) { ?x :nothing ?o }") == [(0,)]
+    assert ask("SELECT (COUNT(*) AS ?n) (SUM(?o) AS ?s) { ?x :nothing ?o }") == [(0, "0")]
     assert ask("SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?s :knows ?o } } GROUP BY ?g") == [("urn:x:g1", 2), ("urn:x:g2", 2)]
     assert ask("SELECT (GROUP_CONCAT(?n; SEPARATOR=\",\") AS ?x) { :a :name ?n }") == [("Ann,Anna",)]
     assert ask("SELECT (MIN(?o) AS ?lo) (MAX(?o) AS ?hi) { ?s :p ?o FILTER(isNUMERIC(?o)) }") == [("1", "5")]
