@@ -69,7 +69,14 @@ def _closed(direct: dict[str, set[str]]) -> dict[str, set[str]]:
 
 
 def ontology(quads: DataFrame) -> Ontology:
-    """The axioms among the quads; UnsupportedAxiom for one the rules can't decide."""
+    """The axioms among the quads; UnsupportedAxiom for one the rules can't decide, and for an import whose ontology isn't there.
+
+    What an ontology imports must be among the quads, as a graph of that name or under its ontology header.
+    """
+    imports = quads.where(F.col("p") == OWL + "imports").select(F.col("o.v").alias("iri")).distinct()
+    headers = quads.where((F.col("p") == RDF_TYPE) & (F.col("o.v") == OWL + "Ontology")).select(F.col("s.v").alias("iri"))
+    if missing := imports.join(quads.select(F.col("g").alias("iri")).unionByName(headers).distinct(), "iri", "left_anti").limit(20).collect():
+        raise UnsupportedAxiom("imports that aren't there: " + ", ".join(sorted(r.iri for r in missing)))
     schema = quads.where(F.col("p").isin(*SCHEMA, *REFUSED) | ((F.col("p") == RDF_TYPE) & F.col("o.v").isin(*CHARACTERISTICS, OWL + "AllDisjointClasses", OWL + "NegativePropertyAssertion"))).distinct()
     rows = schema.limit(ONTOLOGY_TRIPLES + 1).collect()
     if len(rows) > ONTOLOGY_TRIPLES:

@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import adjacency, capability_index
+from graphloom.operators.graph import adjacency, capability_index, term_key
+from graphloom.plans.algebra import XSD
+from graphloom.plans.values import DEC, DOUBLES, INTEGERS
 from graphloom.sources.rdf import normalized
 
 
@@ -62,6 +64,36 @@ class Snapshot:
         return spark.read.parquet(f"{self.root}/{self.manifest['folder']}/capabilities")
 
 
+def spine(quads: DataFrame, terms: DataFrame) -> DataFrame:
+    """Facts as typed columns: ids of the dictionary for subjects, predicates and object IRIs or blank nodes, native values for literals.
+
+    (fact_id, subject, predicate, object, value_bool, value_int, value_double, value_decimal, value_time, value_text, datatype, language, g).
+    A literal whose text isn't of its type stays text.
+    """
+    facts = normalized(quads)
+    d = terms.select("term_key", "id")
+    for name, key in (("subject", term_key(F.col("s"))), ("predicate", F.concat(F.lit("1\0"), F.col("p"), F.lit("\0\0"))), ("object", F.when(F.col("o.k") < 3, term_key(F.col("o"))))):
+        facts = facts.withColumn("__k", key).join(d.select(F.col("term_key").alias("__k"), F.col("id").alias(name)), "__k", "left").drop("__k")
+    v, t = F.col("o.v"), F.col("o.d")
+    native = {
+        "value_bool": F.when(t == XSD + "boolean", F.when(v.isin("true", "1"), True).when(v.isin("false", "0"), False)), "value_int": F.when(t.isin(*INTEGERS), v.try_cast("bigint")),
+        "value_double": F.when(t.isin(*DOUBLES), F.regexp_replace(v, "INF$", "Infinity").try_cast("double")), "value_decimal": F.when(t == XSD + "decimal", v.try_cast(DEC)), "value_time": F.when(t == XSD + "dateTime", v.try_cast("timestamp")),
+    }
+    facts = facts.withColumns(native)
+    text = F.when((F.col("o.k") == 3) & ~F.greatest(*[F.col(c).isNotNull() for c in native]), v)
+    return facts.select("fact_id", "subject", "predicate", "object", *native, text.alias("value_text"), F.when(F.col("o.k") == 3, t).alias("datatype"), F.col("o.l").alias("language"), "g")
+
+
+def write_spine(quads: DataFrame, terms: DataFrame, path: str) -> None:
+    """The spine as Parquet, laid out by graph, predicate and subject, so that a pattern reads few row groups."""
+    spine(quads, terms).repartitionByRange("g", "predicate", "subject").sortWithinPartitions("g", "predicate", "subject").write.parquet(path)
+
+
+def write_payload(rows: DataFrame, key: str, columns: list[str], path: str) -> None:
+    """Payload columns by their key, laid out so that the files' statistics locate a key's rows."""
+    rows.where(F.col(key).isNotNull()).select(key, *columns).repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+
+
 def publish(quads: DataFrame, root: str, expected: int | None = None, closure: DataFrame | None = None) -> Snapshot:
     """Writes a snapshot and makes it current; Conflict if the current one isn't the one expected.
 

@@ -98,6 +98,8 @@ class Lowering:
         match p:
             case A.Bgp(triples):
                 return self.leaf(self.bgp(triples, scope))
+            case Rel():
+                return self.leaf(p)  # a pattern that was answered before
             case A.Join(a, b):
                 return join(self(a, scope), self(b, scope))
             case A.LeftJoin(a, b, e):

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from graphloom import results
 from graphloom.cache import ResultCache
 from graphloom.engine import Catalog, Engine, GraphRecord
-from graphloom.operators import governed, graph, snapshot
+from graphloom.operators import exact, governed, graph, snapshot
 from graphloom.operators.reason import OWL, Ontology, ontology
 from graphloom.plans.algebra import Bgp, Iri, Triple, Var
+from graphloom.plans.lower import Scope
+from graphloom.plans.parser import parse
 from graphloom.queries.graphs import ONTOLOGY, _facts_of, _tables
 from graphloom.queries.tables import ALL, MAPPINGS, engine
-from graphloom.session import shared_folder, table
+from graphloom.session import checkpoint, shared_folder, table
 from graphloom.sources import rdf
 from graphloom.streaming import ingest
 
@@ -186,6 +188,40 @@ def snapshot_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy(F.col("anchor.v").alias("nation"), F.col("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def spine_types(spark: SparkSession, d: str) -> DataFrame:
+    """A written spine of two tables: by predicate, how many values of each type."""
+    quads, path = _tables(spark, d, ["nation", "customer"]), _folder(spark)
+    terms = checkpoint(graph.dictionary(quads))
+    snapshot.write_spine(quads, terms, path)
+    back = spark.read.parquet(path).join(terms.withColumnRenamed("id", "predicate"), "predicate")
+    counts = [F.count(c).alias(f"n_{c.removeprefix('value_')}") for c in ("object", "value_int", "value_double", "value_text")]
+    return back.groupBy(F.split("term_key", "\0")[1].alias("iri"), "g").agg(*counts, F.sum("value_int").alias("total"))
+
+
+def payload_located(spark: SparkSession, d: str) -> DataFrame:
+    """Payload rows of some keys, read from where they were written."""
+    path = _folder(spark)
+    snapshot.write_payload(table(spark, d, "documents"), "doc_id", ["text", "lang"], path)
+    keys = table(spark, d, "documents").where("source = 'query_notes'").select("doc_id", F.col("doc_id").alias("ordinal"))
+    return graph.hydrate(keys, spark.read.parquet(path), "doc_id", ["text", "lang"]).select("doc_id", F.md5("text").alias("digest"), "lang")
+
+
+def bgp_substituted(spark: SparkSession, d: str) -> DataFrame:
+    """A query whose patterns are answered one by one and put back."""
+    e = engine(spark, d)
+    q = parse(_P + "SELECT ?name (COUNT(?c) AS ?n) WHERE { ?x p:n_name ?name OPTIONAL { ?c p:c_nationkey:ref ?x ; p:c_acctbal ?b FILTER(?b > 5000) } } GROUP BY ?name")
+    lower = e.lowering(q, ALL)
+    answers = {(b, g, v): lower(b, Scope(g, v)) for b, g, v in exact.bgp_templates(q)}
+    return lower(exact.substituted(q, answers).pattern).decoded(["name", "n"])
+
+
+def exact_merge(spark: SparkSession, d: str) -> DataFrame:
+    """An answer made in four ranges of candidates, merged when all are there."""
+    orders = table(spark, d, "orders").select(F.expr("o_orderkey % 4").cast("int").alias("part"), "o_orderkey")
+    ranges = spark.createDataFrame([(i, 10 * i, 10 * i + 10, "COMPLETE") for i in range(4)], "part int, first bigint, after bigint, status string")
+    return exact.merged(orders, ranges, 40)
+
+
 def result_cache(spark: SparkSession, d: str) -> DataFrame:
     """The second answer comes from the cache."""
     cache = ResultCache(engine(spark, d), _folder(spark), "1")
@@ -214,7 +250,7 @@ _FORMS = [_named(f"results_{n}", _rows(f)) for n, f in (("csv", results.csv_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (*_FORMS, results_written, arrow_stream, graph_turtle, result_hash, construct_blank, ingest_nquads, ingest_ntriples, ingest_turtle, quads_normalized, hash_buckets, graph_merge, routed_query, role_restricted, policy_split, entailment_routes, first_invalid, optional_context, snapshot_read, snapshot_adjacency, result_cache, stream_append)
+    for f in (*_FORMS, results_written, arrow_stream, graph_turtle, result_hash, construct_blank, ingest_nquads, ingest_ntriples, ingest_turtle, quads_normalized, hash_buckets, graph_merge, routed_query, role_restricted, policy_split, entailment_routes, first_invalid, optional_context, snapshot_read, snapshot_adjacency, spine_types, payload_located, bgp_substituted, exact_merge, result_cache, stream_append)
 }
 
 _INT = "http://www.w3.org/2001/XMLSchema#integer"
@@ -249,6 +285,12 @@ SQL: dict[str, str] = {
     "optional_context": "SELECT o_orderkey, o_totalprice, true AS more FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30",
     "snapshot_read": f"SELECT *, sum(n) OVER ()::BIGINT AS facts FROM ({_counted('nation', 'customer')})",
     "snapshot_adjacency": "SELECT 'urn:nation:' || c_nationkey AS nation, 'urn:p:c_nationkey:ref' AS pred, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'urn:nation:' || s_nationkey, 'urn:p:s_nationkey:ref', count(*) FROM supplier GROUP BY 1",
+    "spine_types": f"""SELECT iri, g, CASE WHEN iri LIKE '%:ref' OR iri LIKE '%#type' THEN n ELSE 0 END AS n_object, CASE WHEN regexp_matches(iri, 'key$') THEN n ELSE 0 END AS n_int, CASE WHEN iri LIKE '%acctbal' THEN n ELSE 0 END AS n_double,
+  CASE WHEN regexp_matches(iri, '(name|segment)$') THEN n ELSE 0 END AS n_text, CASE iri WHEN 'urn:p:n_nationkey' THEN (SELECT sum(n_nationkey)::BIGINT FROM nation) WHEN 'urn:p:n_regionkey' THEN (SELECT sum(n_regionkey)::BIGINT FROM nation)
+  WHEN 'urn:p:c_custkey' THEN (SELECT sum(c_custkey)::BIGINT FROM customer) WHEN 'urn:p:c_nationkey' THEN (SELECT sum(c_nationkey)::BIGINT FROM customer) END AS total FROM ({_counted('nation', 'customer')})""",
+    "payload_located": "SELECT doc_id, md5(text) AS digest, lang FROM documents WHERE source = 'query_notes'",
+    "bgp_substituted": "SELECT n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 GROUP BY 1",
+    "exact_merge": "SELECT o_orderkey FROM orders",
     "result_cache": "SELECT c_mktsegment AS m, count(*) AS n, 1::BIGINT AS hits FROM customer GROUP BY 1",
     "stream_append": _counted("nation", "supplier"),
 }

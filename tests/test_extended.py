@@ -119,3 +119,52 @@ def test_written_json_is_one_document(spark, tables, tmp_path):
     read = lambda part: [r.value for r in spark.read.text(str(tmp_path / "r" / part)).collect()]
     doc = json.loads(read("head")[0] + ",".join(read("rows")) + read("foot")[0])
     assert doc["head"]["vars"] == ["n", "k"] and len(doc["results"]["bindings"]) == 50 and sum("k" in b for b in doc["results"]["bindings"]) == 25
+
+
+def test_merged_answers_are_whole_or_none(spark, rows):
+    from graphloom.operators import exact
+
+    parts = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b")], "part int, x string")
+    good = [(0, 0, 5, "COMPLETE"), (1, 5, 9, "COMPLETE")]
+    table = lambda r: spark.createDataFrame(r, "part int, first bigint, after bigint, status string")
+    assert rows(exact.merged(parts, table(good), 9)) == [("a",), ("b",), ("b",)]
+    bad = [(good, 10), ([good[0], (1, 6, 9, "COMPLETE")], 9), ([good[0], (1, 4, 9, "COMPLETE")], 9), ([good[0], (1, 5, 9, "FAILED")], 9), ([good[0], (1, 5, 9, None)], 9), ([(0, 0, 9, "COMPLETE")], 9), ([], 0)]
+    for ranges, total in bad:
+        with pytest.raises(exact.Incomplete):
+            exact.merged(parts, table(ranges), total)
+
+
+def test_templates_and_substitution(spark, rows):
+    from graphloom.operators import exact
+    from graphloom.plans.lower import Scope
+    from graphloom.plans.parser import parse
+
+    e = Engine.over_quads(rdf.from_text(spark, DATA))
+    text_ = P + "SELECT ?s ?o { ?s :p ?o . GRAPH ?g { ?s :p ?o } FILTER NOT EXISTS { ?s :q ?x FILTER(?o > 5) } }"
+    q = parse(text_)
+    found = exact.bgp_templates(q)
+    assert len(found) == 3 and sorted(f[2] or "" for f in found) == ["", "", "g"]
+    low = e.lowering(q, frozenset({"public"}))
+    got = low(exact.substituted(q, {(b, g, v): low(b, Scope(g, v)) for b, g, v in found}).pattern).decoded(["s", "o"])
+    assert rows(got) == rows(e.query(text_)) != []
+
+
+def test_imports_are_there_or_refused(spark):
+    from graphloom.operators.reason import UnsupportedAxiom, ontology
+
+    owl = "@prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix : <urn:x:> . "
+    ontology(rdf.from_text(spark, owl + ":g { :a owl:imports :h } :h { :k :p :b }"))
+    with pytest.raises(UnsupportedAxiom):
+        ontology(rdf.from_text(spark, owl + ":g { :a owl:imports :none }"))
+
+
+def test_spine_keeps_what_is_no_number(spark, rows):
+    from graphloom.operators import snapshot
+
+    xsd = "@prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix : <urn:x:> . "
+    quads = rdf.from_text(spark, xsd + ':g { :a :p 1 , "x"^^xsd:integer , 2.5 , 1e3 , true , "t"@en , :b , "2024-01-02T03:04:05Z"^^xsd:dateTime }')
+    s = snapshot.spine(quads, graph.dictionary(quads))
+    got = rows(s.selectExpr("value_int", "cast(value_decimal as string)", "value_double", "value_bool", "value_text", "language", "object is not null", "value_time is not null"))
+    none = (None,) * 6
+    assert len(got) == 8 and (*none, True, False) in got and (*none, False, True) in got and (None, None, None, None, "x", None, False, False) in got
+    assert (None, None, None, None, "t", "en", False, False) in got and (1, *none[1:], False, False) in got and (None, None, 1000.0, *none[3:], False, False) in got
