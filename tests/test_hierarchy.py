@@ -52,8 +52,7 @@ def data(kind):
     }[kind]
 
 
-@pytest.mark.parametrize("kind", ["empty", "odd", "chain", "star", "random", "forked", "graph", "acyclic"])
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize(("kind", "small"), [(k, False) for k in ("empty", "odd", "chain", "star", "random", "forked", "graph", "acyclic")] + [(k, True) for k in ("chain", "random", "graph", "acyclic")])
 def test_against_brute_force(spark, monkeypatch, kind, small):
     if small:  # every way that large inputs take
         monkeypatch.setattr(hierarchy, "TASK_LINKS", 5)
