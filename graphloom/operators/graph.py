@@ -26,14 +26,16 @@ def term_key(c: Column) -> Column:
 
 
 def dictionary(quads: DataFrame) -> DataFrame:
-    """(term_key, id): ids from 1, dense, in the keys' order.
+    """(term_key, as_predicate, id): ids from 1, dense, in the keys' order; as_predicate: whether a fact has the term as its predicate.
 
     A range sort and the counts of its partitions give each row its number; only one count a partition
     goes through the driver.
     """
     from graphloom.operators.ordered import PID, range_sorted
 
-    keys = quads.select(F.explode(F.array(term_key(F.col("s")), F.concat(F.lit("1\0"), F.col("p"), F.lit("\0\0")), term_key(F.col("o")))).alias("term_key")).distinct()
+    roles = [(term_key(F.col("s")), False), (_predicate_key(F.col("p")), True), (term_key(F.col("o")), False)]
+    places = F.inline(F.array(*[F.struct(k.alias("term_key"), F.lit(r).alias("as_predicate")) for k, r in roles]))
+    keys = quads.select(places).groupBy("term_key").agg(F.bool_or("as_predicate").alias("as_predicate"))
     ordered = range_sorted(keys, ["term_key"], shuffle_partitions(quads.sparkSession)).withColumn(PID, F.spark_partition_id())
     counts = sorted((r[PID], r["count"]) for r in ordered.groupBy(PID).count().collect())
     before, total = {}, 0
@@ -43,15 +45,36 @@ def dictionary(quads: DataFrame) -> DataFrame:
     starts = quads.sparkSession.createDataFrame(list(before.items()), f"{PID} int, start bigint")
     # within a partition ids count up in its order: the low bits of the built-in id
     numbered = ordered.withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    return numbered.join(F.broadcast(starts), PID).select("term_key", (F.col("start") + F.col("at") + 1).alias("id"))
+    return numbered.join(F.broadcast(starts), PID).select("term_key", "as_predicate", (F.col("start") + F.col("at") + 1).alias("id"))
+
+
+def _predicate_key(p: Column) -> Column:
+    """The term_key of a predicate's IRI."""
+    return F.concat(F.lit("1\0"), p, F.lit("\0\0"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """One side of a join: broadcast if its rows were counted and are few, else shuffled and merged whatever its size is estimated as."""
+    n = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+
+
+def predicates(terms: DataFrame) -> DataFrame:
+    """(p, iri) of a dictionary's predicates, as a side of a join."""
+    return _counted(terms.where("as_predicate").select(F.col("id").alias("p"), F.split("term_key", "\0")[1].alias("iri")))
 
 
 def encoded(quads: DataFrame, terms: DataFrame) -> DataFrame:
-    """Facts by ids (s, p, o, g); every term must be in the dictionary."""
+    """Facts by ids (s, p, o, g); every term must be in the dictionary.
+
+    Predicates are few and broadcast. Subjects and objects are merged with the dictionary: it is a checkpoint,
+    whose estimated size follows the tables' files and may be far below that of its terms, so an estimate
+    must not choose a broadcast.
+    """
     d = terms.select("term_key", "id")
-    out = quads.select(term_key(F.col("s")).alias("ks"), F.concat(F.lit("1\0"), F.col("p"), F.lit("\0\0")).alias("kp"), term_key(F.col("o")).alias("ko"), "g")
-    for c in ("s", "p", "o"):
-        out = out.join(d.select(F.col("term_key").alias(f"k{c}"), F.col("id").alias(c)), f"k{c}")
+    out = quads.select(term_key(F.col("s")).alias("ks"), F.col("p").alias("iri"), term_key(F.col("o")).alias("ko"), "g").join(predicates(terms), "iri")
+    for c in ("s", "o"):
+        out = out.join(d.select(F.col("term_key").alias(f"k{c}"), F.col("id").alias(c)).hint("merge"), f"k{c}")
     return out.select("s", "p", "o", "g")
 
 

@@ -71,6 +71,17 @@ def test_dictionary_is_dense_and_ordered(spark):
     assert graph.encoded(quads, graph.dictionary(quads)).count() == quads.count()
 
 
+def test_encoding_never_broadcasts_by_estimate(spark):
+    """A dictionary's estimated size follows the tables' files; only counted frames are broadcast (predicates, partition starts)."""
+    from graphloom.queries.graphs import _tables
+
+    quads = _tables(spark, "/root/testdata/sf0.001", ["region", "nation", "customer"])
+    facts = graph.encoded(quads, graph.dictionary(quads))
+    assert facts.count() == quads.count()
+    plan = facts._jdf.queryExecution().optimizedPlan().toString() + facts._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin [k") == 2 and "BroadcastHashJoin [k" not in plan
+
+
 def test_hydration(spark, rows):
     keys = spark.createDataFrame([(2, "b"), (1, "a"), (3, "a")], "ordinal int, k string")
     payload = spark.createDataFrame([("a", "A", "pub"), ("b", None, "pub"), ("c", "C", "sec")], "k string, v string, label string")
