@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t#]*$")
 _ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+")
@@ -113,27 +115,53 @@ def chunk_text(df: DataFrame, key: str, text: str, target: int | None = None, mo
     return out.withColumnRenamed("k", key)
 
 
-def reduce_context(df: DataFrame, key: str, ordinal: str, size: str, mandatory: str, budget: int, optional: int | None = None) -> DataFrame:
+def reduce_context(df: DataFrame, key: str, ordinal: str, size: str, mandatory: str, budget: int, optional: int | None = None, refusals: bool = False) -> DataFrame:
     """Chunks kept for each key: the mandatory ones, then the others in order as long as each fits.
 
-    Mandatory chunks beyond the budget fail the query; the others have what they leave of it, and no more
-    than `optional` if that is given. A key's chunks, those of one text, are one task's.
+    The others have what mandatory chunks leave of the budget, and no more than `optional` if that is given.
+    A key whose mandatory chunks go beyond the budget has no context: it fails the query, or with `refusals`
+    it alone is refused, as one row of the key and the size of those chunks with nulls elsewhere. Keys pass
+    in order through a task that holds the chunks of one, those of one text, and a batch.
     """
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal, kind="stable")
-        left = budget - int(pdf[size][pdf[mandatory]].sum())
-        if left < 0:
-            raise OverBudget(f"mandatory chunks of {pdf[key].iloc[0]} take {budget - left} of {budget} bytes")
-        left = left if optional is None else min(left, optional)
-        kept = []
-        for must, n in zip(pdf[mandatory], pdf[size], strict=True):
-            fits = must or n <= left
-            left -= 0 if must or not fits else n
-            kept.append(bool(fits))
-        return pdf[kept]
-
-    return df.groupBy(key).applyInPandas(keep, df.schema)
+    def decide(t: pa.Table) -> pa.Table:
+        keep, refused, i = [], [], 0
+        keys, sizes, musts = (t[c].to_pylist() for c in (key, size, mandatory))
+        while i < len(keys):
+            end = next((j for j in range(i + 1, len(keys)) if keys[j] != keys[i]), len(keys))
+            needed = sum(n for must, n in zip(musts[i:end], sizes[i:end], strict=True) if must and n is not None)
+            if needed > budget and not refusals:
+                raise OverBudget(f"mandatory chunks of {keys[i]} take {needed} of {budget} bytes")
+            if needed > budget:
+                refused.append({key: keys[i], size: needed})
+                keep += [False] * (end - i)
+            else:
+                left = budget - needed if optional is None else min(budget - needed, optional)
+                for must, n in zip(musts[i:end], sizes[i:end], strict=True):
+                    fits = bool(must) or (n is not None and n <= left)
+                    left -= 0 if must or not fits else n
+                    keep.append(fits)
+            i = end
+        return pa.concat_tables([t.filter(pa.array(keep, pa.bool_())), pa.Table.from_pylist(refused, schema=t.schema)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch[key].to_pylist()
+            first = next((i for i in range(len(keys) - 1, 0, -1) if keys[i] != keys[i - 1]), 0)
+            if held and (first or keys[0] != held[-1][key][0].as_py()):
+                yield from decide(pa.Table.from_batches([*held, batch.slice(0, first)])).to_batches()
+                held = []
+            elif first:
+                yield from decide(pa.Table.from_batches([batch.slice(0, first)])).to_batches()
+            held.append(batch.slice(first))
+        if held:
+            yield from decide(pa.Table.from_batches(held)).to_batches()
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+    return df.repartition(key).sortWithinPartitions(key, ordinal).mapInArrow(scan, schema)
 
 
 def visible_memories(df: DataFrame, subject: str, now_ms: int, memory_class: str | None = None) -> DataFrame:

@@ -183,9 +183,12 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reduce_context(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that state a requirement are kept, others as far as 2,000 bytes beyond them go."""
+    """Chunks that state a requirement are kept, others as far as 2,000 bytes beyond them go.
+
+    A document whose requirements take over 24,000 bytes is refused: one row with a null ordinal and what they take.
+    """
     parts = chunk_text(spark, d).withColumn("size", F.col("byte_end") - F.col("byte_start"))
-    return text.reduce_context(parts, "doc_id", "ordinal", "size", "requirement", 24_000, 2_000).select("doc_id", "ordinal", "size")
+    return text.reduce_context(parts, "doc_id", "ordinal", "size", "requirement", 24_000, 2_000, refusals=True).select("doc_id", "ordinal", "size")
 
 
 def chunk_cover(spark: SparkSession, d: str) -> DataFrame:

@@ -142,6 +142,39 @@ def test_reduce_context(spark, rows):
         text.reduce_context(df, "k", "i", "n", "must", 5).collect()
 
 
+def test_reduce_context_refuses_one_text_alone(spark, rows, tmp_path):
+    from graphloom.queries.graphs import QUERIES
+
+    long = "\n\n".join(f"It must hold {i}. " + "x" * 500 for i in range(60))
+    docs = [(1, long), (2, "It must.\n\n" + "y" * 1990 + "\n\nshort"), (3, None), (4, "z")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    need = sum(e - b for _, _, b, e, must in text.chunks(long) if must)
+    assert need > 24_000
+    assert rows(QUERIES["reduce_context"](spark, str(tmp_path))) == sorted([(1, None, need), (2, 0, 9), (2, 1, 1991), (2, 2, 5), (4, 0, 1)], key=repr)
+
+
+def test_reduce_context_across_batches(spark, rows):
+    """Keys, a null one too, whose chunks fall into several batches of one task."""
+    data = [(None if k == 5 else k, i, (k * 7 + i * 13) % 11 + 1, (k + i) % 5 == 0) for k in range(23) for i in range(k)]
+    want = []
+    for k in range(23):
+        left = 20 - sum(n for kk, _, n, must in data if kk == (None if k == 5 else k) and must)
+        if left < 0:
+            want.append((k, None, 20 - left))
+            continue
+        for kk, i, n, must in data:
+            if kk == (None if k == 5 else k) and (must or n <= left):
+                left -= 0 if must else n
+                want.append((kk, i, n))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = rows(text.reduce_context(spark.createDataFrame(data, "k int, i int, n bigint, must boolean"), "k", "i", "n", "must", 20, refusals=True).select("k", "i", "n"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(want, key=repr) and any(i is None for _, i, _ in want)
+
+
 def test_stream_keeps_each_fact_once(spark, tmp_path):
     quads = rdf.from_text(spark, PRE + ":g { :a :p 1 , 2 }").withColumn("at", F.lit(datetime(2026, 1, 1)))
     quads.unionByName(quads).write.parquet(str(tmp_path / "in"))
