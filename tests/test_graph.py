@@ -82,6 +82,16 @@ def test_encoding_never_broadcasts_by_estimate(spark):
     assert plan.count("SortMergeJoin [k") == 2 and "BroadcastHashJoin [k" not in plan
 
 
+def test_facts_of_one_file_are_spread(spark):
+    """Lines are one row group: their facts are made by several tasks, and a line's subject once, not once a fact."""
+    from graphloom.queries.graphs import _tables
+
+    quads = _tables(spark, "/root/testdata/sf0.01", ["lineitem"])
+    assert quads.groupBy(F.spark_partition_id()).count().count() > 1
+    plan = quads._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("md5(") and plan.count("md5(") == 1
+
+
 def test_hydration(spark, rows):
     keys = spark.createDataFrame([(2, "b"), (1, "a"), (3, "a")], "ordinal int, k string")
     payload = spark.createDataFrame([("a", "A", "pub"), ("b", None, "pub"), ("c", "C", "sec")], "k string, v string, label string")
